@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from keyloom.llm import exact_dedup as exact
+from keyloom.llm import near_dedup as near
 from keyloom.llm import secrets
 from keyloom.session import table
 
@@ -15,11 +16,15 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest_columns(secrets.secret_scan(table(spark, sf_dir, "documents")))
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_dedup(table(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = [op1_secrets, op4_exact_dedup]
+QUERIES = [op1_secrets, op2_near_dedup, op4_exact_dedup]
 
 SQL = {
     "op4_exact_dedup": """
