@@ -6,12 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from keyloom.llm import bpe
 from keyloom.llm import exact_dedup as exact
 from keyloom.llm import near_dedup as near
 from keyloom.llm import secrets
 from keyloom.session import table
 
 
+def vocabulary(name: str) -> str:
+    """The file of a public tokenizer, installed on driver and executors alike."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest_columns(secrets.secret_scan(table(spark, sf_dir, "documents")))
 
@@ -24,7 +32,11 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = [op1_secrets, op2_near_dedup, op4_exact_dedup]
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+QUERIES = [op1_secrets, op2_near_dedup, op4_exact_dedup, op8_bpe]
 
 SQL = {
     "op4_exact_dedup": """
