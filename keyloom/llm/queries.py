@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from keyloom.llm import bpe
 from keyloom.llm import exact_dedup as exact
 from keyloom.llm import near_dedup as near
-from keyloom.llm import secrets
+from keyloom.llm import packing, secrets
 from keyloom.session import table
 
 
@@ -36,7 +36,11 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
-QUERIES = [op1_secrets, op2_near_dedup, op4_exact_dedup, op8_bpe]
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), special={"<|endoftext|>": 50256})
+
+
+QUERIES = [op1_secrets, op2_near_dedup, op4_exact_dedup, op8_bpe, op10_packing]
 
 SQL = {
     "op4_exact_dedup": """
