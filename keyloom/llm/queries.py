@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keyloom.llm import bpe
+from keyloom.llm import bpe, embed_dedup
 from keyloom.llm import exact_dedup as exact
 from keyloom.llm import near_dedup as near
 from keyloom.llm import packing, secrets
@@ -40,7 +40,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), special={"<|endoftext|>": 50256})
 
 
-QUERIES = [op1_secrets, op2_near_dedup, op4_exact_dedup, op8_bpe, op10_packing]
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.embed_dedup(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = [op1_secrets, op2_near_dedup, op4_exact_dedup, op8_bpe, op9_embedding_dedup, op10_packing]
 
 SQL = {
     "op4_exact_dedup": """
