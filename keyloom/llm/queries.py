@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from keyloom.llm import bpe, embed_dedup
 from keyloom.llm import exact_dedup as exact
 from keyloom.llm import near_dedup as near
-from keyloom.llm import packing, secrets
+from keyloom.llm import language, packing, secrets
+from keyloom.llm import toxicity as toxic
 from keyloom.session import table
 
 
@@ -28,10 +29,18 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxic.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
@@ -44,7 +53,7 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.embed_dedup(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = [op1_secrets, op2_near_dedup, op4_exact_dedup, op8_bpe, op9_embedding_dedup, op10_packing]
+QUERIES = [op1_secrets, op2_near_dedup, op3_language, op4_exact_dedup, op7_toxicity, op8_bpe, op9_embedding_dedup, op10_packing]
 
 SQL = {
     "op4_exact_dedup": """
