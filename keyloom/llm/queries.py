@@ -11,6 +11,7 @@ from keyloom.llm import exact_dedup as exact
 from keyloom.llm import near_dedup as near
 from keyloom.llm import language, packing, secrets
 from keyloom.llm import toxicity as toxic
+from keyloom.llm import url_filter as urls
 from keyloom.session import table
 
 
@@ -37,6 +38,14 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+#: The rules of the registered query.
+URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.url_filter(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxic.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -53,7 +62,7 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.embed_dedup(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = [op1_secrets, op2_near_dedup, op3_language, op4_exact_dedup, op7_toxicity, op8_bpe, op9_embedding_dedup, op10_packing]
+QUERIES = [op1_secrets, op2_near_dedup, op3_language, op4_exact_dedup, op6_url_filter, op7_toxicity, op8_bpe, op9_embedding_dedup, op10_packing]
 
 SQL = {
     "op4_exact_dedup": """
