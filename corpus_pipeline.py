@@ -1,6 +1,6 @@
 """A corpus pipeline: each stage calls one operator, works on all its predecessor kept, and its decisions take effect.
 
-Its rows can't be had in SQL, so ORACLE_SQL is None; tests hold each stage against a brute-force version.
+Its rows can't be had in SQL, so ORACLE_SQL is None; tests hold the stages against brute-force versions.
 """
 
 from __future__ import annotations
@@ -8,29 +8,46 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm import exact_dedup as exact
-from keyloom.llm import secrets
+from keyloom.llm import exact_dedup, language, near_dedup, packing, secrets
 from keyloom.llm.common import Scratch
+from keyloom.llm.queries import vocabulary
 from keyloom.session import table
 
 
+def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a language that can be told go."""
+    return language.accepted(docs)
+
+
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the row with the largest id stays."""
-    kept = exact.exact_dedup(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    """Of equal texts, the document with the largest id stays."""
+    gone = exact_dedup.exact_dedup(docs).where("NOT kept").select("doc_id", F.col("text_sha256").alias("sha"))
+    sha = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    return docs.join(gone, (docs["doc_id"] == gone["doc_id"]) & (sha == gone["sha"]), "left_anti")
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies, the document with the smallest id stays."""
+    return docs.join(near_dedup.near_dedup(docs).where("NOT kept").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
 
 
 def secret_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are cut out of the texts; every document stays."""
-    return secrets.redact(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    clean = secrets.redact(docs)
+    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns) if "n_chars" in docs.columns else clean
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, by sequence and offset."""
+    return packing.pack(docs, vocabulary("byte_bpe_50k.tiktoken"), special={"<|endoftext|>": 50256})
 
 
-STAGES = [("exact_dedup", exact_copies), ("secrets", secret_spans)]
+STAGES = [("language", languages), ("exact_dedup", exact_copies), ("near_dedup", near_copies), ("secrets", secret_spans), ("packing", packed)]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each result written and read again."""
+    """All stages over documents, each result written and read again as the next one's documents."""
     scratch, docs = Scratch(spark, "pipeline"), table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         made = stage(spark, docs, sf_dir)

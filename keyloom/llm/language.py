@@ -8,8 +8,10 @@ executors; the weights, a few vectors, go to every task.
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -158,3 +160,19 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
     texts = documents(docs, id_col, text_col).withColumn("held_out", held_out())
     return map_texts(texts, row, "doc_id long, held_out boolean, lang_pred string, score double", _letters)
+
+
+def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 500, least_score: float = 0.3) -> DataFrame:
+    """The rows of docs, all columns as they are, whose text has a language that is told with `least_score` or more.
+
+    Rejected are null texts, texts without letters, and, where nothing was to be learned from, all.
+    """
+    model = fit(docs, id_col, text_col, lang_col, per_lang)
+
+    def told(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        letters = _letters()
+        for batch in texts:
+            vectors = (features(letters, t) if t and model else None for t in batch)
+            yield pd.Series([v is not None and model.predict(v)[1] >= least_score for v in vectors], dtype=bool)
+
+    return docs.where(F.pandas_udf(told, "boolean")(F.col(f"`{text_col}`")))

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from keyloom.llm import bpe, embed_dedup
 from keyloom.llm import exact_dedup as exact
 from keyloom.llm import near_dedup as near
-from keyloom.llm import language, packing, secrets
+from keyloom.llm import language, licenses, packing, secrets
 from keyloom.llm import toxicity as toxic
 from keyloom.llm import url_filter as urls
 from keyloom.session import table
@@ -38,6 +39,13 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents has no paths: a document is a file of its source's directory, in a folder a thousand ids."""
+    folder = F.floor(F.col("doc_id") / 1000).cast("string")
+    docs = table(spark, sf_dir, "documents")
+    return licenses.license_scan(docs.withColumn("path", F.concat_ws("/", "source", folder, F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))))
+
+
 #: The rules of the registered query.
 URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
 
@@ -62,7 +70,7 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.embed_dedup(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = [op1_secrets, op2_near_dedup, op3_language, op4_exact_dedup, op6_url_filter, op7_toxicity, op8_bpe, op9_embedding_dedup, op10_packing]
+QUERIES = [op1_secrets, op2_near_dedup, op3_language, op4_exact_dedup, op5_licenses, op6_url_filter, op7_toxicity, op8_bpe, op9_embedding_dedup, op10_packing]
 
 SQL = {
     "op4_exact_dedup": """
