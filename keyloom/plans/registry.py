@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-FLAGSHIP = "q_row_counts"
+from keyloom.plans import catalog_queries, data_queries
+
+FLAGSHIP = "fk_candidates_sampled"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {**data_queries.QUERIES, **catalog_queries.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {**data_queries.SQL, **catalog_queries.SQL}
