@@ -75,7 +75,8 @@ def from_dict(spark: SparkSession, schema: dict) -> Catalog:
         checks += [(name, i, k.get("name"), k.get("expression"), list(k.get("columns") or []), k.get("enum_values")) for i, k in enumerate(t.get("check_constraints") or [])]
     s = schema.get("source") or {}
     source = [(s.get("dialect"), s.get("server_version"), s.get("database"), s.get("namespace"))] if s else []
-    made = [spark.createDataFrame(rows, kind) for rows, kind in ((tables, TABLES), (columns, COLUMNS), (keys, KEYS), (fks, FKS), (checks, CHECKS), (source, SOURCE))]
+    # one partition each: metadata is small, and joins of single partitions need no shuffle
+    made = [spark.createDataFrame(rows, kind).coalesce(1) for rows, kind in ((tables, TABLES), (columns, COLUMNS), (keys, KEYS), (fks, FKS), (checks, CHECKS), (source, SOURCE))]
     return Catalog(*made)
 
 

@@ -19,6 +19,7 @@ def local_session(cpus: int = 8, shuffle_partitions: int = 8, app: str = "keyloo
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .getOrCreate()
     )
