@@ -135,10 +135,14 @@ def owl_turtle(triples: DataFrame, base: str = BASE, physical: str = PHYSICAL) -
     lines = [f"@prefix {k}: <{v}> ." for k, v in prefixes.items()]
     lines += ["", f"<{base.rstrip('#/')}> a owl:Ontology ;", '  rdfs:label "Conceptual Schema" .', "", *(f"phys:{a} a owl:AnnotationProperty ." for a in ANNOTATIONS), ""]
     subjects: dict[str, list[str]] = {}
-    for t in triples.orderBy("s", F.col("p") != "rdf:type", "p", "o").collect():
-        subjects.setdefault(t.s, []).append(f"{'a' if t.p == 'rdf:type' else t.p} {_quote(t.o) if t.literal else t.o}")
+    kinds: dict[str, list[str]] = {}
+    for t in triples.orderBy("s", F.col("o").endswith("FunctionalProperty"), "p", "o").collect():
+        if t.p == "rdf:type":
+            kinds.setdefault(t.s, []).append(t.o)
+        else:
+            subjects.setdefault(t.s, []).append(f"{t.p} {_quote(t.o) if t.literal else t.o}")
     for s, facts in subjects.items():
-        lines += [f"{s} " + " ;\n  ".join(facts) + " .", ""]
+        lines += [f"{s} " + " ;\n  ".join([f"a {', '.join(kinds.get(s, []))}", *facts]) + " .", ""]
     return "\n".join(lines).rstrip() + "\n"
 
 
