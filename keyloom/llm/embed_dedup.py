@@ -2,9 +2,9 @@
 
 Equal vectors form a class at once. The cells' centres are fitted on a bounded sample; every class is assigned. A class
 is at home in its nearest cell, and a guest in each cell whose border it is so near that a vector of cosine `least` may
-lie across: its component along the border's normal is at most `margin`. Cells are cut into blocks of at most `BLOCK`
-classes, every block pair of a cell is one group of two blocks, and what a group returns are sums and spanning links,
-no more than its rows. So a cell that holds a third of all vectors is many groups, and its links aren't listed pair by
+lie across: its component along the border's normal is at most `margin`. A cell's residents and its guests are cut into
+blocks of about `BLOCK` classes; each block of residents meets each other block of its cell in one group of two blocks,
+guests don't meet guests, and what a group returns are sums and spanning links, no more than its rows. So a cell that holds a third of all vectors is many groups, and its links aren't listed pair by
 pair.
 """
 
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from keyloom.llm.common import Scratch
 from keyloom.llm.graph import components
 
-BLOCK = 512
+BLOCK = 2048
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
@@ -122,7 +122,8 @@ def embed_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
     vector. An empty table gives no rows; other columns are ignored.
     """
     spark, scratch = vectors.sparkSession, Scratch(vectors.sparkSession, "embed")
-    rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vector_col}`").cast("array<double>").alias("vector"))
+    rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vector_col}`").alias("vector"))
+    element = vectors.schema[vector_col].dataType.elementType.simpleString()
     sound = F.coalesce(F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < math.inf)) & F.exists("vector", lambda x: x != 0), F.lit(False))
     able = rows.where(sound & F.col("vec_id").isNotNull())
     classes = scratch.write(able.groupBy("vector").agg(F.min("vec_id").alias("id"), F.count_distinct("vec_id").alias("weight")))
@@ -133,11 +134,15 @@ def embed_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
         centres = spherical_kmeans(_unit(np.stack(fit["vector"]).astype(float)), min(most_cells, -(-total // per_cell)))
     else:
         centres = np.ones((1, 1))
-    placed = scratch.write(classes.mapInPandas(_assigned(centres, margin), "id long, weight long, vector array<double>, home int, guest array<int>"))
+    placed = scratch.write(classes.mapInPandas(_assigned(centres, margin), f"id long, weight long, vector array<{element}>, home int, guest array<int>"))
     lodged = placed.withColumn("cell", F.explode(F.concat(F.array("home"), "guest")))
-    sizes = lodged.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = lodged.join(F.broadcast(sizes), "cell").withColumn("block", F.pmod(F.xxhash64("id", "cell"), F.col("blocks")).cast("int"))
-    pairs = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
+    count = lambda own: F.ceil(F.count_if(own) / BLOCK).cast("int")
+    resident = F.col("home") == F.col("cell")
+    sizes = lodged.groupBy("cell").agg(F.greatest(F.lit(1), count(resident)).alias("own"), count(~resident).alias("more"))
+    place = lambda blocks: F.pmod(F.xxhash64("id", "cell"), F.greatest(F.lit(1), blocks)).cast("int")
+    dealt = lodged.join(F.broadcast(sizes), "cell").withColumn("block", F.when(resident, place(F.col("own"))).otherwise(F.col("own") + place(F.col("more"))))  # sizes: a row a cell
+    meets = F.when(resident, F.sequence(F.lit(0), F.col("own") + F.col("more") - 1)).otherwise(F.sequence(F.lit(0), F.col("own") - 1))
+    pairs = dealt.select("*", F.explode(meets).alias("other")).select(
         "cell", "id", "weight", "vector", "home", "guest", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"),
         F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"), (F.col("block") == F.col("other")).alias("same"),
     )
