@@ -7,7 +7,7 @@ from collections import deque
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.plans.catalog import Catalog
+from keyloom.plans.catalog import Catalog, local_frame
 
 
 def _references(catalog: Catalog) -> dict[str, set[str]]:
@@ -41,7 +41,7 @@ def load_order(catalog: Catalog) -> tuple[DataFrame, list[list[str]]]:
                 ready.append(t)
     stuck = sorted(set(refers) - set(order))
     rows = [(i, t, t in stuck) for i, t in enumerate(order + stuck)]
-    return catalog.spark.createDataFrame(rows, "pos int, table_name string, cyclic boolean"), _cycles(refers, stuck)
+    return local_frame(catalog.spark, rows, "pos int, table_name string, cyclic boolean"), _cycles(refers, stuck)
 
 
 def _cycles(refers: dict[str, set[str]], among: list[str]) -> list[list[str]]:

@@ -13,7 +13,7 @@ from typing import Any
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from keyloom.plans.catalog import FKS, KEYS, Catalog
+from keyloom.plans.catalog import FKS, KEYS, Catalog, local_frame, settled
 
 PREFIX = "overlay:"
 MARK = "overlay"
@@ -127,7 +127,7 @@ def apply_overlay(catalog: Catalog, overlay: dict) -> Catalog:
     foreign key where its set of columns has none; foreign keys are not enforced. Tables that gain something are marked."""
     spark = catalog.spark
     key_rows, fk_rows = _resolved(catalog, overlay)
-    given, fks = spark.createDataFrame(key_rows, KEYS), spark.createDataFrame(fk_rows, FKS)
+    given, fks = local_frame(spark, key_rows, KEYS), local_frame(spark, fk_rows, FKS)
     new_pk = given.where("kind = 'PK'").join(catalog.keys.where("kind = 'PK'").select("table_name"), "table_name", "left_anti")
     had = catalog.keys.where("kind = 'UNIQUE'").select("table_name", _set("columns").alias("s")).distinct()
     first = lambda df, pos: df.withColumn("again", F.row_number().over(Window.partitionBy("table_name", "s").orderBy(pos))).where("again = 1").drop("again")
@@ -150,7 +150,7 @@ def apply_overlay(catalog: Catalog, overlay: dict) -> Catalog:
     note = F.to_json(F.struct(F.col("primaryKey"), F.when(F.col("uniqueConstraints") > 0, F.col("uniqueConstraints")).alias("uniqueConstraints"), F.when(F.col("foreignKeys") > 0, F.col("foreignKeys")).alias("foreignKeys")))
     tables = catalog.tables.join(gained.select("table_name", note.alias("note")), "table_name", "left")
     tables = tables.withColumn("extra", F.when(F.col("note").isNull(), F.col("extra")).otherwise(F.map_concat(F.map_filter("extra", lambda k, _: k != MARK), F.create_map(F.lit(MARK), F.col("note"))))).select(catalog.tables.columns)
-    return catalog.with_(tables=tables, columns=columns, keys=keys, fks=catalog.fks.unionByName(new_fks))
+    return settled(catalog.with_(tables=tables, columns=columns, keys=keys, fks=catalog.fks.unionByName(new_fks)))
 
 
 def overlay_summary(catalog: Catalog) -> DataFrame:

@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keyloom.plans.catalog import local_frame
+
 #: A pair of columns: local table and column, foreign table and column.
 Pair = tuple[str, str, str, str]
 
@@ -46,11 +48,12 @@ def value_overlap_pairs(frames: dict[str, DataFrame], pairs: list[Pair]) -> Data
     and value, then one by pair, does all of them: scans by tables, not by pairs.
     """
     spark = next(iter(frames.values())).sparkSession
-    sides = spark.createDataFrame(
+    sides = local_frame(
+        spark,
         [(i, lt, lc, True) for i, (lt, lc, _, _) in enumerate(pairs)] + [(i, ft, fc, False) for i, (_, _, ft, fc) in enumerate(pairs)],
         "pair int, t string, c string, is_local boolean",
     )
-    named = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "pair int, table_name string, column_name string, foreign_table string, foreign_column string")
+    named = local_frame(spark, [(i, *p) for i, p in enumerate(pairs)], "pair int, table_name string, column_name string, foreign_table string, foreign_column string")
     used: dict[str, set[str]] = {}
     for lt, lc, ft, fc in pairs:
         used.setdefault(lt, set()).add(lc)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keyloom.operators import probes
-from keyloom.plans.catalog import Catalog
+from keyloom.plans.catalog import Catalog, local_frame
 
 #: Words that name a type column, alone or after an underscore.
 STEMS = ("type", "kind", "category", "class", "subtype", "variant", "discriminator", "role", "flavor", "flavour")
@@ -63,7 +63,7 @@ def sampled_discriminators(catalog: Catalog, frames: dict[str, DataFrame], optio
     chosen = sorted((r.table_name, r.column_name) for r in open_.collect() if r.table_name in frames)
     schema = "table_name string, column_name string, values array<string>, source string, confidence double"
     if not chosen:
-        return catalog.spark.createDataFrame([], schema)
+        return local_frame(catalog.spark, [], schema)
     found = [probes.enumerate_values(frames[t], c, options.sample_limit).agg(F.array_sort(F.collect_list("value")).alias("values")).select(F.lit(t).alias("table_name"), F.lit(c).alias("column_name"), "values") for t, c in chosen]
     return reduce(DataFrame.unionByName, found).where(_labels(options)).select("table_name", "column_name", "values", F.lit("sampled").alias("source"), F.lit(0.6).alias("confidence"))
 
@@ -97,7 +97,7 @@ def measure(catalog: Catalog, frames: dict[str, DataFrame]) -> DataFrame:
         probes.specialization_counts(frames[p], key[p], [(frames[c], key[c]) for c in own]).select(F.lit(p).alias("parent"), "total", "in_multiple", "in_none")
         for p, own in kids.items() if len(own) >= 2 and p in key and p in frames and all(c in frames for c in own)
     ]
-    return reduce(DataFrame.unionByName, parts) if parts else catalog.spark.createDataFrame([], schema)
+    return reduce(DataFrame.unionByName, parts) if parts else local_frame(catalog.spark, [], schema)
 
 
 def property_extents(properties: DataFrame) -> DataFrame:
@@ -119,7 +119,7 @@ def abstract_classes(catalog: Catalog, names: DataFrame, properties: DataFrame,
     extent = held.groupBy("parent", "up", "name").agg(F.array_sort(F.collect_set("down")).alias("members"))
     between = extent.join(whole.select("parent", F.size("members").alias("all")), "parent").where((F.size("members") >= 2) & (F.size("members") < F.col("all")))
     between = between.groupBy("parent", "up", "members").agg(F.array_sort(F.collect_set("name")).alias("shared"))
-    counts = measured if measured is not None else catalog.spark.createDataFrame([], "parent string, total long, in_multiple long, in_none long")
+    counts = measured if measured is not None else local_frame(catalog.spark, [], "parent string, total long, in_multiple long, in_none long")
     common = extent.join(whole.select("parent", F.size("members").alias("all")), "parent").where(F.size("members") == F.col("all")).groupBy("parent").agg(F.array_sort(F.collect_set("name")).alias("shared"))
     top = whole.join(common, "parent", "left").join(counts, "parent", "left").select(
         F.col("up").alias("name"), "members", F.coalesce("shared", F.array().cast("array<string>")).alias("shared"), F.lit(False).alias("synthesized"), (F.col("in_multiple") == 0).alias("disjoint"), (F.col("in_none") == 0).alias("complete")

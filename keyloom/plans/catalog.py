@@ -11,8 +11,10 @@ from dataclasses import dataclass, replace
 from pathlib import Path
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from keyloom.functions.sqltypes import json_type, type_category
 
@@ -45,6 +47,28 @@ class Catalog:
         return self.columns.withColumns({"json_type": json_type(F.col("data_type")), "type_category": type_category(F.col("data_type"))})
 
 
+_ARROW = {"string": pa.string(), "integer": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64(), "array": pa.list_(pa.string()), "map": pa.map_(pa.string(), pa.string())}
+
+
+def local_frame(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
+    """A DataFrame of metadata held in the plan itself, so that its size is known and joins with it are broadcast, in one
+    partition, so that what isn't broadcast needs no shuffle. Arrays and maps are of strings."""
+    fields = T.StructType.fromDDL(ddl).fields
+    columns = list(zip(*rows, strict=True)) if rows else [()] * len(fields)
+    values = [[list(x.items()) if isinstance(x, dict) else x for x in column] for column in columns]
+    table = pa.table({f.name: pa.array(v, _ARROW[f.dataType.typeName()]) for f, v in zip(fields, values, strict=True)})
+    return spark.createDataFrame(table, T.StructType(fields)).coalesce(1)
+
+
+def settled(catalog: Catalog) -> Catalog:
+    """The same catalog, gathered and held in the plan: what is read from it again isn't worked out again."""
+
+    def held(df: DataFrame, ddl: str) -> DataFrame:
+        return local_frame(df.sparkSession, [tuple(r) for r in df.select(*(f.name for f in T.StructType.fromDDL(ddl).fields)).collect()], ddl)
+
+    return Catalog(held(catalog.tables, TABLES), held(catalog.columns, COLUMNS), held(catalog.keys, KEYS), held(catalog.fks, FKS), held(catalog.checks, CHECKS), held(catalog.source, SOURCE))
+
+
 def _field(d: dict, *names: str, default: Any = None) -> Any:
     return next((d[n] for n in names if d.get(n) is not None), default)
 
@@ -75,8 +99,7 @@ def from_dict(spark: SparkSession, schema: dict) -> Catalog:
         checks += [(name, i, k.get("name"), k.get("expression"), list(k.get("columns") or []), k.get("enum_values")) for i, k in enumerate(t.get("check_constraints") or [])]
     s = schema.get("source") or {}
     source = [(s.get("dialect"), s.get("server_version"), s.get("database"), s.get("namespace"))] if s else []
-    # one partition each: metadata is small, and joins of single partitions need no shuffle
-    made = [spark.createDataFrame(rows, kind).coalesce(1) for rows, kind in ((tables, TABLES), (columns, COLUMNS), (keys, KEYS), (fks, FKS), (checks, CHECKS), (source, SOURCE))]
+    made = [local_frame(spark, rows, kind) for rows, kind in ((tables, TABLES), (columns, COLUMNS), (keys, KEYS), (fks, FKS), (checks, CHECKS), (source, SOURCE))]
     return Catalog(*made)
 
 

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.plans.catalog import CHECKS, COLUMNS, FKS, KEYS, SOURCE, TABLES, Catalog
+from keyloom.plans.catalog import CHECKS, COLUMNS, FKS, KEYS, SOURCE, TABLES, Catalog, settled
 from keyloom.sources.urls import Target, jdbc_target, source_type
 
 #: Shapes of the rows that every dialect's queries give.
@@ -151,7 +151,7 @@ def assemble(spark: SparkSession, raw: dict[str, DataFrame], dialect: str, datab
     source = v.limit(1).select(F.lit(dialect).alias("dialect"), "server_version", F.lit(database).cast("string").alias("database"), F.lit(namespace).cast("string").alias("namespace"))
     empty = lambda kind: spark.createDataFrame([], kind).schema
     made = Catalog(tables.to(empty(TABLES)), columns.to(empty(COLUMNS)), keys, fks.to(empty(FKS)), checks.to(empty(CHECKS)), source.to(empty(SOURCE)))
-    return roll_up_partitions(made, raw["partitions"]) if "partitions" in raw else made
+    return settled(roll_up_partitions(made, raw["partitions"]) if "partitions" in raw else made)
 
 
 def _by(partition: str | None, order: str):
