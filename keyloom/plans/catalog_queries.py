@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from keyloom.operators import baseline, foreign_keys, graph, taxonomy
+from keyloom.functions import naming
+from keyloom.functions.sqltypes import json_type, type_category
+from keyloom.operators import baseline, exports, foreign_keys, graph, taxonomy
 from keyloom.operators.overlay import apply_overlay, overlay_summary
 from keyloom.plans import driver, samples
-from keyloom.plans.catalog import from_dict
+from keyloom.plans.catalog import from_dict, from_frames, local_frame
 from keyloom.plans.data_queries import PAIRS, _overlap_sql
 
 QUERIES: dict = {}
@@ -128,3 +130,55 @@ SQL["schema_diff"] = _values(
     ("nullability_changed", "users", "email", "false", "true"), ("primary_key_changed", "products", "", "id", "sku"), ("foreign_key_removed", "orders", "user_id -> users(id)", None, None),
 )
 QUERIES["schema_fingerprint"] = lambda s, d: graph.fingerprint(driver.catalog(s, d))
+
+# vocabularies
+_TYPES = [
+    ("int4", "integer", "integer"), ("numeric(10,2)", "float", "decimal"), ("double precision", "float", "decimal"), ("bool", "boolean", "boolean"), ("varchar(20)", "string", "string"), ("text[]", "array", "array"),
+    ("timestamptz", "string", "temporal"), ("time with time zone", "string", "temporal"), ("uniqueidentifier", "string", "uuid"), ("varbinary", "string", "binary"), ("jsonb", "object", "json"), ("variant", "object", "json"), ("year", "integer", "temporal"), ("hstore", "string", "string"),
+]
+QUERIES["type_categories"] = lambda s, d: local_frame(s, [(t,) for t, _, _ in _TYPES], "data_type string").select("data_type", json_type(F.col("data_type")).alias("json_type"), type_category(F.col("data_type")).alias("type_category"))
+SQL["type_categories"] = _values("data_type, json_type, type_category", *_TYPES)
+_NAMES = [("order", "orders", "order", "order", "order", "Order"), ("categories", "categorieses", "category", "categories", "categories", "Categories"), ("OrderItems", "OrderItemses", "OrderItem", "order_items", "orderItems", "OrderItems"), ("box", "boxes", "box", "box", "box", "Box"), ("HTTPServer_id", "HTTPServer_ids", "HTTPServer_id", "http_server_id", "httpServerId", "HttpServerId")]
+QUERIES["naming_forms"] = lambda s, d: local_frame(s, [(n[0],) for n in _NAMES], "name string").select("name", naming.plural(F.col("name")).alias("plural"), naming.singular(F.col("name")).alias("singular"), *(naming.recase(F.col("name"), c).alias(c) for c in ("snake", "camel", "pascal")))
+SQL["naming_forms"] = _values("name, plural, singular, snake, camel, pascal", *_NAMES)
+
+
+# exports
+def _sales(s):
+    catalog = from_dict(s, samples.SALES)
+    return catalog, baseline.Baseline(baseline.entities(catalog), baseline.properties(catalog), baseline.relationships(catalog), None)
+
+
+QUERIES["owl_triples"] = lambda s, d: exports.owl_triples(*_sales(s)).where("p IN ('rdf:type', 'rdfs:domain', 'rdfs:range')").select("s", "p", "o")
+_FIELDS = [("Orders", "id", "integer", True), ("Orders", "user_id", "integer", False), ("Products", "id", "integer", True), ("Products", "sku", "string", True), ("Products", "price", "decimal", False), ("Users", "id", "integer", True), ("Users", "email", "string", False)]
+SQL["owl_triples"] = _values(
+    "s, p, o",
+    *((f":{e}", "rdf:type", "owl:Class") for e in ("Orders", "Products", "Users")),
+    *(t for e, f, x, u in _FIELDS for t in ((f":{e}_{f}", "rdf:type", "owl:DatatypeProperty"), (f":{e}_{f}", "rdfs:domain", f":{e}"), (f":{e}_{f}", "rdfs:range", f"xsd:{x}"), *(((f":{e}_{f}", "rdf:type", "owl:FunctionalProperty"), (f":{e}_{f}", "rdf:type", "owl:InverseFunctionalProperty")) if u else ()))),
+    *((f":Orders_{t}", "rdf:type", "owl:ObjectProperty") for t in ("Products", "Users")), *((f":Orders_{t}", "rdfs:domain", ":Orders") for t in ("Products", "Users")), *((f":Orders_{t}", "rdfs:range", f":{t}") for t in ("Products", "Users")),
+    (":Orders_Users", "rdf:type", "owl:FunctionalProperty"),
+)
+QUERIES["r2rml_triples_maps"] = lambda s, d: _joined(exports.r2rml_maps(*_sales(s)).select("map_name", "table_name", "subject_columns", "predicate", "column_name", "datatype", "parent_map", "child_columns", "parent_columns"), "subject_columns", "child_columns", "parent_columns")
+SQL["r2rml_triples_maps"] = _values(
+    "map_name, table_name, subject_columns, predicate, column_name, datatype, parent_map, child_columns, parent_columns",
+    *((e, e.lower(), "id", f"{e}_{f}", f, f"xsd:{x}", None, None, None) for e, f, x, _ in _FIELDS), ("Orders", "orders", "id", "Orders_Users", None, None, "Users", "user_id", "id"), ("Orders_Products_Link", "basket", "order_id", "Orders_Products", None, None, "Products", "product_sku", "sku"),
+)
+
+
+def _mapped(s, d):
+    names = ["region", "nation"]
+    catalog = apply_overlay(from_frames(driver.frames(s, d, names)), {"tables": {t: {"primaryKey": driver.KEYS[t]} for t in names}})
+    model = baseline.Baseline(baseline.entities(catalog), baseline.properties(catalog), baseline.relationships(catalog), None)
+    return exports.run_mapping(exports.r2rml_maps(catalog, model), driver.frames(s, d, names), "data:")
+
+
+QUERIES["r2rml_run"] = _mapped
+SQL["r2rml_run"] = """SELECT 'data:Region/' || r_regionkey AS s, 'Region_regionkey' AS p, r_regionkey::VARCHAR AS o FROM region UNION ALL SELECT 'data:Region/' || r_regionkey, 'Region_name', r_name FROM region
+    UNION ALL SELECT 'data:Nation/' || n_nationkey, 'Nation_nationkey', n_nationkey::VARCHAR FROM nation UNION ALL SELECT 'data:Nation/' || n_nationkey, 'Nation_name', n_name FROM nation UNION ALL SELECT 'data:Nation/' || n_nationkey, 'Nation_regionkey', n_regionkey::VARCHAR FROM nation
+    UNION ALL SELECT 'data:Nation/' || n_nationkey, 'Nation_Region', 'data:Region/' || n_regionkey FROM nation"""
+QUERIES["fk_as_declared"] = lambda s, d: _joined(foreign_keys.as_declared(foreign_keys.infer(from_dict(s, samples.CRM))).select("table_name", "columns", "foreign_table", "constraint_name", "enforced"), "columns")
+SQL["fk_as_declared"] = _values(
+    "table_name, columns, foreign_table, constraint_name, enforced",
+    ("order_lines", "order_id,product_id", "order_products", "inferred:order_lines_order_id_product_id_fk", False), ("contracts", "account_id", "accounts", "inferred:contracts_account_id_fk", False),
+    ("opportunities", "account_id", "accounts", "inferred:opportunities_account_id_fk", False), ("opportunities", "contract_id", "contracts", "inferred:opportunities_contract_id_fk", False),
+)
