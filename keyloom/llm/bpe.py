@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame
 
 from keyloom.llm.common import documents
 
-#: Characters of distinct words that one index holds, and words that a task remembers.
-INDEX_CHARS, REMEMBERED = 4_000_000, 400_000
+#: Characters of texts that are encoded together, of distinct words that one index holds, and words that a task remembers.
+TEXT_CHARS, INDEX_CHARS, REMEMBERED = 1_000_000, 300_000, 100_000
 
 
 def byte_letters() -> list[str]:
@@ -155,11 +155,25 @@ def encode_words(vocabulary: Vocabulary, words: list[str]) -> dict[str, list[int
     return {w: [x for x in symbol[s : e - 1] if x != -2] for w, s, e in zip(words, starts, ends, strict=True)}
 
 
+def _slices(frames: Iterable[pd.DataFrame]) -> Iterator[tuple[list, list[str]]]:
+    """Ids and texts, so many documents at a time that memory goes with the longest text and not with the batch."""
+    for frame in frames:
+        ids, texts, size = [], [], 0
+        for doc_id, text in zip(frame["doc_id"].tolist(), frame["text"], strict=True):
+            ids.append(doc_id)
+            texts.append(text)
+            size += len(text)
+            if size >= TEXT_CHARS:
+                yield ids, texts
+                ids, texts, size = [], [], 0
+        yield ids, texts
+
+
 def _batches(vocabulary: Vocabulary, frames: Iterable[pd.DataFrame]) -> Iterator[tuple[list, list[list[int]]]]:
-    """Ids of documents and their token ids, batch by batch; the index of a batch covers its words not yet known."""
+    """Ids of documents and their token ids, slice by slice; the index of a slice covers its words not yet known."""
     known: dict[str, list[int]] = {}
-    for frame in frames:
-        cut = [vocabulary.pieces(t) for t in frame["text"]]
+    for doc_ids, texts in _slices(frames):
+        cut = [vocabulary.pieces(t) for t in texts]
         if len(known) > REMEMBERED:
             known = {}
         new: dict[str, None] = {}
@@ -179,7 +193,7 @@ def _batches(vocabulary: Vocabulary, frames: Iterable[pd.DataFrame]) -> Iterator
             for w in words:
                 one += known[w] if w.__class__ is str else [w]
             ids.append(one)
-        yield frame["doc_id"].tolist(), ids
+        yield doc_ids, ids
 
 
 def _sha(text: str) -> str:

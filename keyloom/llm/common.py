@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Rows that a task turns into Python results at a time.
+SLICE = 500
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or one made here where that is unset (tests)."""
     if path := spark.conf.get("spark.checkpoint.dir", None):
@@ -63,7 +67,7 @@ def map_texts(df: DataFrame, row: Callable[..., tuple], schema: T.StructType | s
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         state = setup() if setup else None
-        for batch in batches:
+        for batch in (whole.iloc[at : at + SLICE] for whole in batches for at in range(0, len(whole), SLICE)):
             rows = [row(state, *values) for values in zip(*(batch[c].tolist() for c in batch.columns), strict=True)]
             yield pd.DataFrame({n: list(x) for n, x in zip(names, zip(*rows) if rows else [()] * len(names), strict=True)})
 

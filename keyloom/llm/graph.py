@@ -32,3 +32,12 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
         )
         jump = down.select(F.col("node").alias("component"), F.col("component").alias("to"))
         labels = scratch.write(down.join(jump, "component", "left").select("node", F.least("component", "to").alias("component")))
+
+
+def labels(links: DataFrame, scratch: Scratch) -> DataFrame:
+    """node, component for pruning: equal components are connected, connected nodes may still differ. One round only:
+    the least node next to a node, and what that one points to."""
+    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = scratch.write(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("component")))
+    jump = near.select(F.col("node").alias("component"), F.col("component").alias("to"))
+    return scratch.write(near.join(jump, "component").select("node", F.col("to").alias("component")))

@@ -7,11 +7,13 @@
    most `SMALL`, which makes unions within the sketch exact). At J = 0.85, runs of 4 in 48 values miss a pair with
    probability 7e-7.
 3. Each list's smallest document, its hub, meets every other member: as many rows as the list is long. The sketch of
-   the union estimates the similarity; pairs far below are dropped, the others are confirmed on full sets.
-4. Jaccard distance is a metric. Members linked to the hub are in one component; a member at distance over 0.30 from
-   the hub links with none of those linked to it. What is left of a list, other components' members, is compared in blocks
-   of at most `BLOCK` documents each way by union sketches, and confirmed in the same way. So a group of n copies takes
-   about n rows, not n * n, and no link between different components is left out.
+   the union estimates the similarity; pairs far below are dropped, the others are measured on full sets.
+4. Jaccard distance is a metric. Members linked to the hub are in one component; members over 0.30 away from the hub link
+   with none of those. So what a hub leaves open is two things: pairs among the documents around it that aren't all linked
+   to it (families, one for each hub, compared in blocks on full sets, only where the distances to the hub allow a link and
+   the components differ), and the list without the hub and what is linked to it, which takes its next hub. After
+   `ROUNDS` hubs the rest of a list, documents that share a passage but are unlike, is compared in blocks by sketches.
+   A group of n copies takes about n rows, and no link between different components is left out.
 5. Components of the links give the groups.
 """
 
@@ -26,13 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keyloom.llm.common import Scratch, documents, map_texts
-from keyloom.llm.graph import components
+from keyloom.llm.graph import components, labels
 
 WORDS = 5
 SKETCH, RUN, SHORT_RUN, SMALL = 48, 4, 3, 8
 #: Shares of a union sketch below which no pair at the similarity, or at the hub's range, is to be expected.
 LEAST_LINK, LEAST_RANGE = 0.60, 0.40
-BLOCK = 128
+BLOCK, ROUNDS = 128, 2
 #: A member of a list, as seen from the hub.
 LINKED, NEAR, FAR = 0, 1, 2
 
@@ -87,42 +89,98 @@ def _estimated(least: float):
     return run
 
 
-def _blocks(group: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of one block pair of a list that may be linked: other components, and not ruled out by the hub."""
-    group = group.drop_duplicates(["id", "side"])
-    left, right = group[group.side == 0], group[group.side == 1]
-    if group.same.iloc[0]:
-        right = left
-    values, place = np.unique(np.concatenate([*left.sketch, *right.sketch]), return_inverse=True)
-    cut = np.cumsum([0, *map(len, left.sketch), *map(len, right.sketch)])
+def _shared(left: list, right: list) -> np.ndarray:
+    """How many values each on the left shares with each on the right."""
+    values, place = np.unique(np.concatenate([*left, *right]), return_inverse=True)
     seen = np.zeros((len(left) + len(right), len(values)), np.float32)
-    for i in range(len(seen)):
-        seen[i, place[cut[i] : cut[i + 1]]] = 1
-    shared = seen[: len(left)] @ seen[len(left) :].T
-    # a union sketch of k values with share s of both has at least s * k values in both sketches, k being bounded by the larger set
-    need = LEAST_LINK * np.minimum(SKETCH, np.maximum.outer(left.n.to_numpy(), right.n.to_numpy()))
-    x, y = left.kind.to_numpy()[:, None], right.kind.to_numpy()[None]
-    barred = ((x == LINKED) & (y != NEAR)) | ((y == LINKED) & (x != NEAR))
-    i, j = np.nonzero((shared >= need) & ~barred & (left.component.to_numpy()[:, None] != right.component.to_numpy()[None]))
-    keep = [union_share(left.sketch.iloc[x], right.sketch.iloc[y]) >= LEAST_LINK for x, y in zip(i, j, strict=True)]
+    seen[np.repeat(np.arange(len(seen)), [len(x) for x in (*left, *right)]), place] = 1
+    return seen[: len(left)] @ seen[len(left) :].T
+
+
+def _sides(group: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+    left = group[group.side == 0]
+    return left, left if group.same.iloc[0] else group[group.side == 1]
+
+
+def _likely(left: pd.DataFrame, right: pd.DataFrame, sketch: str) -> np.ndarray:
+    """Pairs of different components whose sketches have enough in common. A union sketch of k values with a share s in both
+    has s * k values in both sketches, and k is at least the size of the larger sketch."""
+    x, y = ([np.asarray(v)[:SKETCH] for v in side[sketch]] for side in (left, right))
+    larger = np.maximum.outer([len(v) for v in x], [len(v) for v in y])
+    return (_shared(x, y) >= LEAST_LINK * larger) & (left.component.to_numpy()[:, None] != right.component.to_numpy()[None])
+
+
+def _family(percent: int):
+    """Links within one block pair of a family, on full sets: as many as join what isn't joined yet."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        left, right = _sides(group)
+        out: list[tuple[int, int]] = []
+        if len(left) and len(right):
+            far = np.abs(left.away.to_numpy()[:, None] - right.away.to_numpy()[None]) > 1 - percent / 100 + 1e-9
+            both_linked = (left.kind.to_numpy()[:, None] == LINKED) & (right.kind.to_numpy()[None] == LINKED)
+            label = {c: c for c in group.component.tolist()}
+
+            def root(c: int) -> int:
+                while label[c] != c:
+                    c = label[c]
+                return c
+
+            a, b, u, v = left.id.tolist(), right.id.tolist(), left.component.tolist(), right.component.tolist()
+            for i, j in np.argwhere(_likely(left, right, "shingles") & ~far & ~both_linked).tolist():
+                p, q = root(u[i]), root(v[j])
+                if p != q:
+                    x, y = np.asarray(left.shingles.iloc[i]), np.asarray(right.shingles.iloc[j])
+                    shared = len(np.intersect1d(x, y, assume_unique=True))
+                    if 100 * shared >= percent * (len(x) + len(y) - shared):
+                        label[max(p, q)] = min(p, q)
+                        out.append((min(a[i], b[j]), max(a[i], b[j])))
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    return run
+
+
+def _blocks(group: pd.DataFrame) -> pd.DataFrame:
+    """Pairs of one block pair of a list's rest that may be linked and aren't near the same hub, which has settled them."""
+    left, right = _sides(group)
+    if not len(left) or not len(right):
+        return pd.DataFrame({"a": [], "b": []})
+    i, j = np.nonzero(_likely(left, right, "sketch"))
+    hubs = [[set(h) for h in side.near] for side in (left, right)]
+    keep = [hubs[0][x].isdisjoint(hubs[1][y]) and union_share(left.sketch.iloc[x], right.sketch.iloc[y]) >= LEAST_LINK for x, y in zip(i, j, strict=True)]
     a, b = left.id.to_numpy()[i[keep]], right.id.to_numpy()[j[keep]]
     return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
 
 
+def _dealt(members: DataFrame, key: str, *columns: str) -> DataFrame:
+    """Members of each key in blocks of about BLOCK, every block with itself and each other block once; size is the key's."""
+    blocks = members.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    return blocks.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
+        key, "id", "component", *columns, F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"),
+        F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"), (F.col("block") == F.col("other")).alias("same"),
+    )
+
+
 class _Sets:
-    """Full sets of the documents that some pair names, and the confirming of pairs on them."""
+    """Full sets of the documents that some pair names, and the measuring of pairs on them."""
 
     def __init__(self, texts: DataFrame, scratch: Scratch):
         self.texts, self.scratch = texts, scratch
 
-    def confirm(self, pairs: DataFrame) -> DataFrame:
+    def of(self, named: DataFrame) -> DataFrame:
+        """id, shingles of the ids named."""
+        own = self.texts.join(named.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+        return self.scratch.write(map_texts(own, _whole, "id long, shingles array<long>", _setup))
+
+    def measured(self, pairs: DataFrame) -> DataFrame:
         """a, b, shared, either: sizes of intersection and union on full sets."""
-        named = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        of = self.scratch.write(map_texts(self.texts.join(named, "doc_id", "left_semi"), _whole, "doc_id long, shingles array<long>", _setup))
-        first = pairs.join(of.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
-        both = first.join(of.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
+        of = self.of(pairs.select(F.explode(F.array("a", "b")).alias("id")))
+        first = pairs.join(of.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
+        both = first.join(of.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
         shared = F.size(F.array_intersect("sa", "sb"))
-        return self.scratch.write(both.select("a", "b", shared.alias("shared"), (F.size("sa") + F.size("sb") - shared).alias("either")))
+        out = self.scratch.write(both.select("a", "b", shared.alias("shared"), (F.size("sa") + F.size("sb") - shared).alias("either")))
+        self.scratch.drop(of)
+        return out
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
@@ -139,8 +197,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = documents(docs, id_col, text_col)
     sketches = scratch.write(map_texts(texts, _sketch, "doc_id long, n_shingles long, digest binary, sketch array<long>", _setup))
     able = sketches.where("digest IS NOT NULL AND doc_id IS NOT NULL")
-    classes = scratch.write(able.join(able.groupBy("digest").agg(F.min("doc_id").alias("class_id")), "digest").select("doc_id", "class_id", "n_shingles", "sketch"))
-    reps = classes.where("doc_id = class_id").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sketch")
+    classes = scratch.write(able.select("doc_id", "digest").join(able.groupBy("digest").agg(F.min("doc_id").alias("class_id")), "digest").select("doc_id", "class_id"))
+    first = classes.where("doc_id = class_id").select("doc_id").distinct()
+    reps = scratch.write(able.join(first, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sketch"))
 
     def runs(length: int):
         last = F.size("sketch") - length
@@ -148,43 +207,55 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     none = F.array().cast("array<long>")
     keys = F.concat(F.coalesce(runs(RUN), none), F.coalesce(F.when(F.col("n") <= SMALL, runs(SHORT_RUN)), none))
-    lists = scratch.write(reps.select("id", F.explode(F.array_distinct(keys)).alias("key")))
-    hubs = lists.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("members")).where("members > 1")
-    members = scratch.write(lists.join(hubs, "key"))
-    scratch.drop(lists)
+    lists = reps.select("id", F.explode(F.array_distinct(keys)).alias("key"))
+    shared_keys = lists.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
+    members = scratch.write(lists.join(shared_keys, "key").withColumn("near", F.array().cast("array<long>")))
 
     sets = _Sets(texts, scratch)
+    linked = 100 * F.col("shared") >= percent * F.col("either")
     sketch_of = lambda name, s: reps.select(F.col("id").alias(name), F.col("sketch").alias(s))
-    met = members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    near = scratch.write(met.join(sketch_of("a", "sa"), "a").join(sketch_of("b", "sb"), "b").mapInPandas(_estimated(LEAST_RANGE), "a long, b long"))
-    measured = sets.confirm(near)
-    links = measured.where(100 * F.col("shared") >= percent * F.col("either"))
-
-    # what the hubs leave open
+    with_component = lambda df, found: df.drop("component").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    links = found = None
+    for _ in range(ROUNDS):
+        hubs = members.groupBy("key").agg(F.min("id").alias("hub"))
+        held = scratch.write(members.select("key", "id", "near").join(hubs, "key").where("id <> hub"))
+        met = held.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+        near = scratch.write(met.join(sketch_of("a", "sa"), "a").join(sketch_of("b", "sb"), "b").mapInPandas(_estimated(LEAST_RANGE), "a long, b long"))
+        measured = sets.measured(near)
+        new = measured.where(linked).select("a", "b")
+        links = new if links is None else links.unionByName(new)
+        found = labels(links, scratch)
+
+        # families: the documents around a hub, where some aren't linked to it
+        away = 1 - F.col("shared") / F.col("either")
+        kind = F.when(linked, LINKED).when(10 * F.col("shared") >= 7 * F.col("either"), NEAR).otherwise(FAR)
+        around = with_component(measured.select(F.col("a").alias("hub"), F.col("b").alias("id"), kind.alias("kind"), away.alias("away")), found)
+        bounds = around.where(F.col("kind") != FAR).groupBy("hub").agg(
+            F.min(F.when(F.col("kind") == NEAR, F.col("away"))).alias("nearest"), F.count_if(F.col("kind") == NEAR).alias("n_near"), F.min("component").alias("least"), F.max("component").alias("most")
+        ).where("n_near > 0 AND least < most")
+        open_ = around.where(F.col("kind") != FAR).join(bounds, "hub").where((F.col("kind") == NEAR) | (F.col("away") >= F.col("nearest") - (1 - percent / 100) - 1e-9))
+        sizes = open_.groupBy("hub").agg(F.count("*").alias("size"), F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("hub", "size")
+        family = scratch.write(open_.select("hub", "id", "kind", "away", "component").join(sizes, "hub"))
+        if not family.isEmpty():
+            own = sets.of(family)
+            more = scratch.write(_dealt(family.join(own, "id"), "hub", "kind", "away", "shingles").groupBy("hub", "x", "y").applyInPandas(_family(percent), "a long, b long"))
+            scratch.drop(own)
+            links = links.unionByName(more)
+
+        # the lists without their hubs and what is linked to these; what is near the hub is settled among itself
+        left = held.join(around.select("hub", "id", "kind"), ["hub", "id"], "left").where(F.coalesce("kind", F.lit(FAR)) != LINKED)
+        near_hub = F.when(F.col("kind") == NEAR, F.col("hub"))
+        left = scratch.write(with_component(left.select("key", "id", F.coalesce(near_hub, "id").alias("settled"), F.when(near_hub.isNull(), F.col("near")).otherwise(F.concat("near", F.array("hub"))).alias("near")), found))
+        open_lists = left.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.min("settled").alias("s0"), F.max("settled").alias("s1"), F.count("*").alias("size")).where("least < most AND s0 < s1")
+        members = scratch.write(left.drop("settled").join(open_lists.select("key", "size"), "key"))
+        if members.isEmpty():
+            break
+    else:
+        rest = members.select("key", "size", "id", "component", "near").join(reps, "id")
+        more = scratch.write(_dealt(rest, "key", "near", "sketch").groupBy("key", "x", "y").applyInPandas(_blocks, "a long, b long").distinct())
+        if not more.isEmpty():
+            links = links.unionByName(sets.measured(more).where(linked).select("a", "b"))
     found = components(links, scratch)
-    kind = F.when(100 * F.col("shared") >= percent * F.col("either"), LINKED).when(10 * F.col("shared") >= 7 * F.col("either"), NEAR).otherwise(FAR)
-    state = scratch.write(
-        members.where("id <> hub")
-        .join(measured.select(F.col("a").alias("hub"), F.col("b").alias("id"), kind.alias("kind")), ["hub", "id"], "left")
-        .join(found.withColumnRenamed("node", "id"), "id", "left")
-        .select("key", "id", F.coalesce("kind", F.lit(FAR)).alias("kind"), F.coalesce("component", "id").alias("component"))
-    )
-    of_list = state.groupBy("key").agg(
-        F.min("component").alias("least"), F.max("component").alias("most"), F.count_if(F.col("kind") == NEAR).alias("n_near"), F.count_if(F.col("kind") != LINKED).alias("n_open"), F.count("*").alias("size")
-    )
-    open_lists = of_list.where("least < most AND n_open > 0").select("key", "n_near", F.when(F.col("n_near") > 0, F.col("size")).otherwise(F.col("n_open")).alias("size"))
-    rest = state.join(open_lists, "key").where((F.col("kind") != LINKED) | (F.col("n_near") > 0)).join(reps, "id")
-    rest = rest.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    # each block meets itself and every other block once: a member goes to as many groups as its list has blocks
-    pairs = rest.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
-        "key", "id", "n", "sketch", "kind", "component", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"),
-        F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"), (F.col("block") == F.col("other")).alias("same"),
-    )
-    more = scratch.write(pairs.groupBy("key", "x", "y").applyInPandas(_blocks, "a long, b long").distinct())
-    if not more.isEmpty():
-        again = sets.confirm(more.join(measured, ["a", "b"], "left_anti"))
-        links = links.unionByName(again.where(100 * F.col("shared") >= percent * F.col("either")))
-        found = components(links, scratch)
 
     grouped = classes.select("doc_id", "class_id").join(found.withColumnRenamed("node", "class_id"), "class_id", "left")
     named = grouped.groupBy("doc_id").agg(F.min(F.coalesce("component", "class_id")).alias("component_id"))
