@@ -166,7 +166,8 @@ def _slices(frames: Iterable[pd.DataFrame]) -> Iterator[tuple[list, list[str]]]:
             if size >= TEXT_CHARS:
                 yield ids, texts
                 ids, texts, size = [], [], 0
-        yield ids, texts
+        if ids:
+            yield ids, texts
 
 
 def _batches(vocabulary: Vocabulary, frames: Iterable[pd.DataFrame]) -> Iterator[tuple[list, list[list[int]]]]:
@@ -217,7 +218,7 @@ def decode(encoded: DataFrame, vocabulary_path: str, ids_col: str = "ids") -> Da
 
     def run(frames):
         vocabulary = Vocabulary(vocabulary_path)
-        for f in frames:
+        for f in (frame for frame in frames if len(frame)):
             yield pd.DataFrame({"doc_id": f["doc_id"], "text": [vocabulary.decode([] if x is None else list(x)) for x in f[ids_col]]})
 
     return encoded.select("doc_id", ids_col).mapInPandas(run, "doc_id long, text string")

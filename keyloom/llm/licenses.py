@@ -101,7 +101,8 @@ def _frequencies(texts: DataFrame, vocabulary: set[str]) -> dict[str, int]:
         for f in frames:
             for text in f["text"]:
                 seen.update(vocabulary.intersection(words(text)))
-        yield pd.DataFrame({"term": list(seen), "n": list(seen.values())})
+        if seen:  # an empty frame has no string column that Arrow takes
+            yield pd.DataFrame({"term": list(seen), "n": list(seen.values())})
 
     return {r.term: r.n for r in texts.mapInPandas(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
 

@@ -145,7 +145,8 @@ def pieces(docs: DataFrame, ranks_path: str, length: int, end_id: int, special:
                     kind = -(-len(piece) // GRAIN)
                     rows.append((doc_id, start, len(piece), zlib.crc32(piece.tobytes()), len(ids), part, kind, places[kind]))
                     places[kind] += 1
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in PIECES.split(", ")])
+            if rows:
+                yield pd.DataFrame(rows, columns=[c.split()[0] for c in PIECES.split(", ")])
 
     return docs.mapInPandas(run, PIECES)
 
