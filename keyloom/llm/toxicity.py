@@ -1,7 +1,8 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over block-max inverted lists.
 
 Examples are a bounded sample of labelled rows, `per_class` of each label. Terms that are evidence of the label span the
-vector space; their document frequencies are counted over all documents. The inverted lists keep, for each term and each
+vector space, and with them marks of how many different ones a text has, so that a long text with a lone such word by
+chance isn't next to one that is full of them. Document frequencies are counted over all documents. The inverted lists keep, for each term and each
 block of examples, the greatest weight in it: blocks are opened in order of the sum of these bounds, until no closed block
 can reach the k-th nearest, so the nearest are exact. Examples vote by similarity, weighted back to the labels' true
 frequencies and smoothed by the rate among texts without such terms.
@@ -21,12 +22,20 @@ from keyloom.llm.common import documents, held_out, map_texts
 
 WORD = re.compile(r"\w+")
 BLOCK = 64
+#: Different chosen terms up to which a text has a mark for each number; the weight, as a count, of the mark of a lone one.
+MARKS, LONE = 4, 4
 
 
 def terms(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
+def marked(counts: dict[str, int]) -> dict[str, int]:
+    """The counts of chosen terms and the marks of how many there are; no word is like a mark."""
+    marks = {"\0=1": LONE} if len(counts) == 1 else {f"\0>={n}": 1 for n in range(2, min(len(counts), MARKS) + 1)}
+    return counts | marks
+
+
 class Index:
     """Block-max inverted lists over the examples' vectors (term -> weight), each scaled to length one."""
 
@@ -104,13 +113,13 @@ class Model:
 
 
 def _counts(docs: DataFrame, lexicon: list[str]) -> dict[str, int]:
-    """Documents of the whole table that hold each term, a row a term and task before the sum."""
+    """Documents of the whole table that hold each term or mark, a row a term and task before the sum."""
 
     def run(frames):
         words, seen = set(lexicon), Counter()
         for f in frames:
             for text in f["text"]:
-                seen.update(words.intersection(terms(text)))
+                seen.update(marked(dict.fromkeys(words.intersection(terms(text)), 1)).keys())
         if seen:  # an empty frame has no string column that Arrow takes
             yield pd.DataFrame({"term": list(seen), "n": list(seen.values())})
 
@@ -120,7 +129,7 @@ def _counts(docs: DataFrame, lexicon: list[str]) -> dict[str, int]:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 4000, most_terms: int = 20_000, k: int = 15) -> Model:
     """Learns from labelled rows that aren't held out: per_class of each label at most, the least by a hash of the id.
 
-    Chosen are terms, most_terms at most, that tell of label 1: a log-likelihood ratio of 24 or more, and a smoothed share
+    Chosen are terms, most_terms at most, that tell of label 1: a log-likelihood ratio of 15 or more, and a smoothed share
     of label 1 among the rows with the term, at the labels' true frequencies, of 0.5 or more.
     """
     told = labels.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("label"))
@@ -143,10 +152,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         ratio = 2 * (part(F.col("c1"), m1, both) + part(F.col("c0"), m0, both) + part(m1 - F.col("c1"), m1, m1 + m0 - both) + part(m0 - F.col("c0"), m0, m1 + m0 - both))
         prior = n1 / (n1 + n0) if n1 + n0 else 0.0
         pure = (F.col("c1") * share[1] + prior) / (F.col("c1") * share[1] + F.col("c0") * share[0] + 1.0)
-        best = of_term.withColumn("ratio", ratio).where((F.col("ratio") >= 24) & (pure >= 0.5)).orderBy(F.desc("ratio"), "term").limit(most_terms)
+        best = of_term.withColumn("ratio", ratio).where((F.col("ratio") >= 15) & (pure >= 0.5)).orderBy(F.desc("ratio"), "term").limit(most_terms)
         lexicon = [r.term for r in best.select("term").collect()]
         kept = F.map_filter("bag", lambda t, _: t.isin(lexicon)) if lexicon else F.map_filter("bag", lambda t, _: F.lit(False))
-        examples = [(r.doc_id, r.label, dict(r.bag)) for r in bags.select("doc_id", "label", kept.alias("bag")).orderBy("doc_id").collect()]
+        examples = [(r.doc_id, r.label, marked(dict(r.bag))) for r in bags.select("doc_id", "label", kept.alias("bag")).orderBy("doc_id").collect()]
     finally:
         bags.unpersist()
     return Model(examples, share, _counts(texts, lexicon) if lexicon else {}, texts.count(), k)
@@ -164,7 +173,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     def row(_, doc_id, text, out):
         words = terms(text)
-        score, evidence = model.score({t: n for t, n in Counter(words).items() if t in lexicon} if not lexicon.isdisjoint(words) else {})
+        score, evidence = model.score(marked({t: n for t, n in Counter(words).items() if t in lexicon}) if not lexicon.isdisjoint(words) else {})
         return doc_id, out, score, int(score >= threshold), evidence
 
     texts = documents(docs, id_col, text_col).withColumn("held_out", held_out())
