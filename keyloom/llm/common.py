@@ -58,6 +58,22 @@ def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     )
 
 
+#: Bits of the broadcast bitmap of ids, 4 MB whatever the table.
+ID_BITS = 1 << 25
+
+
+def maybe_among(rows: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
+    """Rows whose id may be among the named ones: all that are, and others that share a bit of the bitmap with one. So that
+    a semi-join that follows shuffles few of the others. The bitmap is ID_BITS at most, hence the broadcast."""
+    bit = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(ID_BITS)) + 1
+    bits = ids.select(bit(ids.columns[0]).alias("bit")).withColumn("bucket", F.bitmap_bucket_number("bit")).repartition("bucket")
+    maps = bits.groupBy("bucket").agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+    place = F.bitmap_bit_position(bit(column))
+    byte = F.conv(F.hex(F.substring("bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    kept = rows.join(F.broadcast(maps), F.bitmap_bucket_number(bit(column)) == maps["bucket"]).where(F.getbit(byte, (place % 8).cast("int")) == 1)
+    return kept.select(*(rows[c] for c in rows.columns))
+
+
 def map_texts(df: DataFrame, row: Callable[..., tuple], schema: T.StructType | str, setup: Callable | None = None) -> DataFrame:
     """row(state, *columns) -> tuple for each row; setup() makes the state once a task. Rows of a batch are handed on
     in small pieces, so that memory follows one batch and not a partition."""

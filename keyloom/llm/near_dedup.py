@@ -12,7 +12,8 @@
    with none of those. So what a hub leaves open is two things: pairs among the documents around it that aren't all linked
    to it (families, one for each hub, compared in blocks on full sets, only where the distances to the hub allow a link and
    the components differ), and the list without the hub and what is linked to it, which takes its next hub. After
-   `ROUNDS` hubs the rest of a list, documents that share a passage but are unlike, is compared in blocks by sketches.
+   `ROUNDS` hubs the rest of a list, documents that share a passage but are unlike, is compared in blocks, by sketches
+   and then on full sets; a block pair returns no more links than join its components.
    A group of n copies takes about n rows, and no link between different components is left out.
 5. Components of the links give the groups.
 """
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import Scratch, documents, map_texts
+from keyloom.llm.common import Scratch, documents, map_texts, maybe_among
 from keyloom.llm.graph import components, labels
 
 WORDS = 5
@@ -110,46 +111,56 @@ def _likely(left: pd.DataFrame, right: pd.DataFrame, sketch: str) -> np.ndarray:
     return (_shared(x, y) >= LEAST_LINK * larger) & (left.component.to_numpy()[:, None] != right.component.to_numpy()[None])
 
 
+def _spanning(group: pd.DataFrame, left: pd.DataFrame, right: pd.DataFrame, open_: np.ndarray, percent: int) -> pd.DataFrame:
+    """Links on full sets among the open pairs: as many as join what isn't joined yet."""
+    out: list[tuple[int, int]] = []
+    label = {c: c for c in group.component.tolist()}
+
+    def root(c: int) -> int:
+        while label[c] != c:
+            c = label[c]
+        return c
+
+    a, b, u, v = left.id.tolist(), right.id.tolist(), left.component.tolist(), right.component.tolist()
+    for i, j in np.argwhere(open_).tolist():
+        p, q = root(u[i]), root(v[j])
+        if p != q:
+            x, y = left.shingles.iloc[i], right.shingles.iloc[j]
+            shared = len(np.intersect1d(x, y, assume_unique=True))
+            if 100 * shared >= percent * (len(x) + len(y) - shared):
+                label[max(p, q)] = min(p, q)
+                out.append((min(a[i], b[j]), max(a[i], b[j])))
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+
 def _family(percent: int):
-    """Links within one block pair of a family, on full sets: as many as join what isn't joined yet."""
+    """Links within one block pair of a family."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         left, right = _sides(group)
-        out: list[tuple[int, int]] = []
-        if len(left) and len(right):
-            far = np.abs(left.away.to_numpy()[:, None] - right.away.to_numpy()[None]) > 1 - percent / 100 + 1e-9
-            both_linked = (left.kind.to_numpy()[:, None] == LINKED) & (right.kind.to_numpy()[None] == LINKED)
-            label = {c: c for c in group.component.tolist()}
-
-            def root(c: int) -> int:
-                while label[c] != c:
-                    c = label[c]
-                return c
-
-            a, b, u, v = left.id.tolist(), right.id.tolist(), left.component.tolist(), right.component.tolist()
-            for i, j in np.argwhere(_likely(left, right, "shingles") & ~far & ~both_linked).tolist():
-                p, q = root(u[i]), root(v[j])
-                if p != q:
-                    x, y = np.asarray(left.shingles.iloc[i]), np.asarray(right.shingles.iloc[j])
-                    shared = len(np.intersect1d(x, y, assume_unique=True))
-                    if 100 * shared >= percent * (len(x) + len(y) - shared):
-                        label[max(p, q)] = min(p, q)
-                        out.append((min(a[i], b[j]), max(a[i], b[j])))
-        return pd.DataFrame(out, columns=["a", "b"])
+        if not len(left) or not len(right):
+            return pd.DataFrame({"a": [], "b": []})
+        far = np.abs(left.away.to_numpy()[:, None] - right.away.to_numpy()[None]) > 1 - percent / 100 + 1e-9
+        both_linked = (left.kind.to_numpy()[:, None] == LINKED) & (right.kind.to_numpy()[None] == LINKED)
+        return _spanning(group, left, right, _likely(left, right, "shingles") & ~far & ~both_linked, percent)
 
     return run
 
 
-def _blocks(group: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of one block pair of a list's rest that may be linked and aren't near the same hub, which has settled them."""
-    left, right = _sides(group)
-    if not len(left) or not len(right):
-        return pd.DataFrame({"a": [], "b": []})
-    i, j = np.nonzero(_likely(left, right, "sketch"))
-    hubs = [[set(h) for h in side.near] for side in (left, right)]
-    keep = [hubs[0][x].isdisjoint(hubs[1][y]) and union_share(left.sketch.iloc[x], right.sketch.iloc[y]) >= LEAST_LINK for x, y in zip(i, j, strict=True)]
-    a, b = left.id.to_numpy()[i[keep]], right.id.to_numpy()[j[keep]]
-    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+def _blocks(percent: int):
+    """Links within one block pair of a list's rest, of those that aren't near the same hub, which has settled them."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        left, right = _sides(group)
+        if not len(left) or not len(right):
+            return pd.DataFrame({"a": [], "b": []})
+        open_ = _likely(left, right, "shingles")
+        hubs = [[set(h) for h in side.near] for side in (left, right)]
+        for i, j in np.argwhere(open_).tolist():
+            open_[i, j] = hubs[0][i].isdisjoint(hubs[1][j])
+        return _spanning(group, left, right, open_, percent)
+
+    return run
 
 
 def _dealt(members: DataFrame, key: str, *columns: str) -> DataFrame:
@@ -169,7 +180,8 @@ class _Sets:
 
     def of(self, named: DataFrame) -> DataFrame:
         """id, shingles of the ids named."""
-        own = self.texts.join(named.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+        ids = self.scratch.write(named.select(F.col("id").alias("doc_id")).distinct())
+        own = maybe_among(self.texts, ids).join(ids, "doc_id", "left_semi")
         return self.scratch.write(map_texts(own, _whole, "id long, shingles array<long>", _setup))
 
     def measured(self, pairs: DataFrame) -> DataFrame:
@@ -209,7 +221,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keys = F.concat(F.coalesce(runs(RUN), none), F.coalesce(F.when(F.col("n") <= SMALL, runs(SHORT_RUN)), none))
     lists = reps.select("id", F.explode(F.array_distinct(keys)).alias("key"))
     shared_keys = lists.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
-    members = scratch.write(lists.join(shared_keys, "key").withColumn("near", F.array().cast("array<long>")))
+    listed = scratch.write(lists.join(shared_keys, "key"))
+    # lists of the same members tell the same: one of each stays, by 128 bits of their ids
+    alike = listed.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"))
+    one_each = alike.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key")
+    members = scratch.write(listed.join(one_each, "key").withColumn("near", F.array().cast("array<long>")))
 
     sets = _Sets(texts, scratch)
     linked = 100 * F.col("shared") >= percent * F.col("either")
@@ -220,7 +236,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         hubs = members.groupBy("key").agg(F.min("id").alias("hub"))
         held = scratch.write(members.select("key", "id", "near").join(hubs, "key").where("id <> hub"))
         met = held.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-        near = scratch.write(met.join(sketch_of("a", "sa"), "a").join(sketch_of("b", "sb"), "b").mapInPandas(_estimated(LEAST_RANGE), "a long, b long"))
+        met = scratch.write(met)
+        sa, sb = (maybe_among(sketch_of(x, f"s{x}"), met.select(x), x) for x in "ab")
+        near = scratch.write(met.join(sa, "a").join(sb, "b").mapInPandas(_estimated(LEAST_RANGE), "a long, b long"))
         measured = sets.measured(near)
         new = measured.where(linked).select("a", "b")
         links = new if links is None else links.unionByName(new)
@@ -251,10 +269,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if members.isEmpty():
             break
     else:
-        rest = members.select("key", "size", "id", "component", "near").join(reps, "id")
-        more = scratch.write(_dealt(rest, "key", "near", "sketch").groupBy("key", "x", "y").applyInPandas(_blocks, "a long, b long").distinct())
-        if not more.isEmpty():
-            links = links.unionByName(sets.measured(more).where(linked).select("a", "b"))
+        rest = members.select("key", "size", "id", "component", "near").join(sets.of(members), "id")
+        more = scratch.write(_dealt(rest, "key", "near", "shingles").groupBy("key", "x", "y").applyInPandas(_blocks(percent), "a long, b long").distinct())
+        links = links.unionByName(more)
     found = components(links, scratch)
 
     grouped = classes.select("doc_id", "class_id").join(found.withColumnRenamed("node", "class_id"), "class_id", "left")
