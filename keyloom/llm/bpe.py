@@ -8,6 +8,7 @@ pairs of higher rank (checked when the vocabulary is read), so this gives what m
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import heapq
 import json
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from keyloom.llm.common import documents
 
 #: Characters of texts that are encoded together, of distinct words that one index holds, and words that a task remembers.
-TEXT_CHARS, INDEX_CHARS, REMEMBERED = 1_000_000, 300_000, 100_000
+TEXT_CHARS, INDEX_CHARS, REMEMBERED = 1_000_000, 300_000, 400_000
 
 
 def byte_letters() -> list[str]:
@@ -102,6 +103,12 @@ class Vocabulary:
         return out.decode("utf-8", "replace")
 
 
+@functools.lru_cache(maxsize=4)
+def vocabulary_at(path: str) -> Vocabulary:
+    """Read once a Python worker, not once a task."""
+    return Vocabulary(path)
+
+
 def lower(text: str) -> str:
     """Lower case a character at a time, so that a final sigma doesn't depend on its place."""
     return text.lower() if "Σ" not in text else "".join(c.lower() for c in text)
@@ -207,7 +214,7 @@ def encode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_c
     vocabulary file has to be at this path on every executor."""
 
     def run(frames):
-        for doc_ids, ids in _batches(Vocabulary(vocabulary_path), frames):
+        for doc_ids, ids in _batches(vocabulary_at(vocabulary_path), frames):
             yield pd.DataFrame({"doc_id": doc_ids, "ids": ids})
 
     return documents(docs, id_col, text_col).mapInPandas(run, "doc_id long, ids array<int>")
@@ -217,7 +224,7 @@ def decode(encoded: DataFrame, vocabulary_path: str, ids_col: str = "ids") -> Da
     """doc_id, text of rows with token ids, special tokens included; null ids as none."""
 
     def run(frames):
-        vocabulary = Vocabulary(vocabulary_path)
+        vocabulary = vocabulary_at(vocabulary_path)
         for f in (frame for frame in frames if len(frame)):
             yield pd.DataFrame({"doc_id": f["doc_id"], "text": [vocabulary.decode([] if x is None else list(x)) for x in f[ids_col]]})
 
@@ -228,7 +235,7 @@ def round_trip(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", te
     """doc_id, n_tokens, ids_sha256, decoded_sha256: encodes, decodes, and keeps digests of both in one pass."""
 
     def run(frames):
-        vocabulary = Vocabulary(vocabulary_path)
+        vocabulary = vocabulary_at(vocabulary_path)
         for doc_ids, ids in _batches(vocabulary, frames):
             yield pd.DataFrame(
                 {
