@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 
+from keyloom.llm import embed_dedup as module
 from keyloom.llm.embed_dedup import embed_dedup
 
 SCHEMA = "vec_id long, embedding array<float>, n_links string"
@@ -57,6 +58,20 @@ def test_recall_at_the_threshold(spark):
     assert found.sum() / true.sum() >= 0.95
 
 
+def test_no_link_is_lost_across_borders(spark, monkeypatch):
+    """Vectors near a space of 4 dimensions in many cells, by the default margin."""
+    monkeypatch.setattr(module, "ROW", 0, raising=False)  # handed-on rows are free: as many cells as asked for
+    r = np.random.default_rng(5)
+    x = (r.normal(size=(1200, 4)) @ r.normal(size=(4, 64)) + 0.05 * r.normal(size=(1200, 64))).astype(np.float32)
+    sizes = []
+    monkeypatch.setattr(module, "_assigned", lambda centres, margin, f=module._assigned: sizes.append(len(centres)) or f(centres, margin))
+    got = {v.vec_id: v.n_links for v in embed_dedup(spark.createDataFrame([(i, v.tolist(), "") for i, v in enumerate(x)], SCHEMA), per_cell=20).collect()}
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    true = (unit @ unit.T >= 0.9).sum(axis=1) - 1
+    assert sizes[0] > 10
+    assert [got[i] for i in range(len(x))] == true.tolist()
+
+
 def test_empty(spark):
     assert embed_dedup(spark.createDataFrame([], SCHEMA)).count() == 0
     assert [tuple(r) for r in embed_dedup(spark.createDataFrame([(1, None, "")], SCHEMA)).collect()] == [(1, 0, 1, True)]
