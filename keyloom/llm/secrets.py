@@ -20,8 +20,10 @@ KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
+#: A credential's name, alone or in an identifier with _ or -, and the value up to a blank: quoted or not.
 CONTEXT = re.compile(
-    r"""(?i:\b(?:pwd|pass|passphrase|passcode|credentials?|private_?key|access_?key|client_?key|signing_?key|auth(?:orization)?|bearer)\b)["']?\x20*[:=]\x20*["']?(?:(?i:bearer|basic)\x20+)?([!-~]+)""",
+    r"""(?i:(?:pass(?:word|wd|phrase|code)|pwd|secret|token|credential|(?:api|private|access|client|signing|encryption|secret|account)[_-]?key|(?<![a-z0-9])(?:pass|auth(?:orization)?|bearer)(?![a-z0-9]))s?(?:[_-]{1,3}[a-z0-9]{0,40}+){0,8}+)"""
+    r"""["']?[\x20\t]*(?::=|=>|[:=])[\x20\t]*(?:(?i:bearer|basic)\x20+)?(?:"(?P<double>(?:\\\S|[^"\\\s])+)|'(?P<single>(?:\\\S|[^'\\\s])+)|(?P<bare>(?:(?!&[A-Za-z0-9_.-]+=)[!-~])+))""",
     re.ASCII,
 )
 #: Frequent password words, most frequent first; the rank is the guess.
@@ -74,22 +76,22 @@ def guess_cost(value: str) -> float:
 def scan(text: str, least: float, least_chars: int) -> tuple[list[tuple[int, int, int]], float]:
     """(start, kind's number, end) in order; the highest guess cost of a credential-context value, or -1."""
     found, most = [], -1.0
-    taken = []
     for m in ASSIGN.finditer(text):
         if m.end(2) - m.start(2) >= 8:
             found.append((m.start(), 0, m.end()))
             most = max(most, guess_cost(m[2]))
-            taken.append((m.start(), m.end()))
     if "AKIA" in text:
         found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 16]
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-    at = 0
+    covered = sorted((start, end) for start, _, end in found)
+    at = far = 0
     for m in CONTEXT.finditer(text):
-        while at < len(taken) and taken[at][1] <= m.start():
-            at += 1
-        value = m[1].rstrip("\"'`,;)]}>")
-        if len(value) >= least_chars and not (at < len(taken) and taken[at][0] < m.end()) and (cost := guess_cost(value)) >= least:
-            found.append((m.start(), 3, m.start(1) + len(value)))
+        start = m.start(m.lastgroup)
+        value = m[m.lastgroup].rstrip("\"'`,;)]}>") if m.lastgroup == "bare" else m[m.lastgroup]
+        while at < len(covered) and covered[at][0] <= start:  # the furthest end of what starts no later
+            far, at = max(far, covered[at][1]), at + 1
+        if len(value) >= least_chars and start + len(value) > far and (cost := guess_cost(value)) >= least:
+            found.append((m.start(), 3, start + len(value)))
             most = max(most, cost)
     found.sort()
     return found, most

@@ -41,6 +41,24 @@ def test_redaction(spark):
     assert [(r.doc_id, r.text, r.n) for r in s.redact(docs).orderBy("doc_id").collect()] == [(1, "a [SECRET] b", 5), (2, None, 0), (3, "clean", 1)]
 
 
+@pytest.mark.parametrize(
+    ("before", "name", "value", "after"),
+    [
+        ("", 'password = "', "Xk#9$mQ2!vLpW7", '" end'), ("", 'secret: "', "@Zt7!kQ0xv", '"'), ("AWS_", "SECRET_ACCESS_KEY=", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "\n"),
+        ("DB_", "PASS=", "q8#Lm!z0Rw", ""), ("db_", "pwd: ", "q8#Lm!z0Rw", ", x"), ("x ", "password=", "abcdefgh12$!Zq", " y"), ("?", "token=", "abcdefgh12", "&user=bob"), ("my-", "api-key: '", "ä8#Lm!z0Rw;", "'"),
+    ],
+)
+def test_values_that_the_fixed_patterns_cut_are_whole(before, name, value, after):
+    text = before + name + value + after
+    found, _ = s.scan(text, 8.0, 8)
+    assert (min(a for a, _, _ in found), max(b for _, _, b in found)) == (len(before), len(before + name + value))
+
+
+def test_no_credentials_and_long_names():
+    assert s.scan("bypass: 9#xQ!zPw2r tokenizer = Qx9!zPw2#r compass=Zq8#xQ!zPw", 8.0, 8) == ([], -1.0)
+    assert s.scan("token-" * 50_000 + "secret " * 50_000, 8.0, 8) == ([], -1.0)
+
+
 def brute_cost(value):
     n, low = len(value), value.lower()
     plain = low.translate(s.LEET)
