@@ -1,17 +1,21 @@
-"""Toxicity by the nearest labelled examples: exact TF-IDF cosine over block-max inverted lists.
-
-Examples are a bounded sample of labelled rows, `per_class` of each label. Terms that are evidence of the label span the
-vector space, and with them marks of how many different ones a text has, so that a long text with a lone such word by
-chance isn't next to one that is full of them. Document frequencies are counted over all documents. The inverted lists keep, for each term and each
-block of examples, the greatest weight in it: blocks are opened in order of the sum of these bounds, until no closed block
-can reach the k-th nearest, so the nearest are exact. Examples vote by similarity, weighted back to the labels' true
-frequencies and smoothed by the rate among texts without such terms.
+"""Toxicity by the nearest labelled examples: exact TF-IDF cosine over all words.
+
+Examples are a bounded sample of labelled rows, `per_class` of each label. A text's vector has a part of all its words and,
+if it holds terms that are evidence of the label, a part of these and of marks of how many different ones there are, so
+that a long text with a lone such word by chance isn't next to one that is full of them; the cosine weighs the two parts.
+Document frequencies are counted over all documents. Words of many examples are rows of a dense matrix, multiplied for many
+texts at once, all others are inverted lists; what comes near the k-th nearest is computed again in double precision, so the
+nearest are exact. Examples vote by similarity, copies of the text before all others, weighted back to the labels' true frequencies and smoothed
+by a base rate, the less the nearer the nearest is.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from array import array
 from collections import Counter
+from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
@@ -21,7 +25,10 @@ from pyspark.sql import functions as F
 from keyloom.llm.common import documents, held_out, map_texts
 
 WORD = re.compile(r"\w+")
-BLOCK = 64
+#: Share of the examples from which a term is common, and texts that are multiplied at once.
+COMMON, BATCH = 0.02, 128
+#: Share of the evidence part in a cosine; the similarity from which an example is a copy, and how much more it votes.
+EVIDENCE, COPY, MORE = 0.9, 0.99, 1000
 #: Different chosen terms up to which a text has a mark for each number; the weight, as a count, of the mark of a lone one.
 MARKS, LONE = 4, 4
 
@@ -37,99 +44,140 @@ def marked(counts: dict[str, int]) -> dict[str, int]:
 
 
 class Index:
-    """Block-max inverted lists over the examples' vectors (term -> weight), each scaled to length one."""
-
-    def __init__(self, vectors: list[dict[str, float]]):
-        self.n = len(vectors)
-        lists: dict[str, list[tuple[int, float]]] = {}
-        for i, v in enumerate(vectors):
-            for t, w in v.items():
-                lists.setdefault(t, []).append((i, w))
-        self.lists = {}
-        for t, own in lists.items():
-            rows, weights = np.array([i for i, _ in own]), np.array([w for _, w in own])
-            blocks, starts = np.unique(rows // BLOCK, return_index=True)
-            self.lists[t] = rows, weights, blocks, np.maximum.reduceat(weights, starts), np.append(starts, len(rows))
+    """Products with the examples' vectors (term -> weight), each scaled to length one."""
+
+    def __init__(self, vectors: Iterable[dict[str, float]]):
+        self.column: dict[str, int] = {}
+        starts, columns, weights = array("q", [0]), array("i"), array("d")
+        for v in vectors:
+            columns.extend([self.column.setdefault(t, len(self.column)) for t in v])
+            weights.extend(v.values())
+            starts.append(len(columns))
+        self.n = len(starts) - 1
+        self.starts, self.columns, self.weights = np.array(starts), np.array(columns), np.array(weights)
+        order = np.argsort(self.columns, kind="stable")
+        self.rows = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(self.starts))[order]
+        self.of_rows = self.weights[order].astype(np.float32)
+        size = np.bincount(self.columns, minlength=len(self.column))
+        self.at = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+        self.place = np.full(len(self.column), -1, np.int32)  # of common terms in the dense matrix
+        common = np.flatnonzero(size >= max(1, COMMON * self.n))
+        self.place[common] = np.arange(len(common))
+
+    def dense(self) -> np.ndarray:
+        """The common terms' rows; made where it is used, once a task."""
+        if "_dense" not in self.__dict__:
+            self._dense = np.zeros((int(self.place.max(initial=-1)) + 1, self.n), np.float32)
+            for c in np.flatnonzero(self.place >= 0):
+                own = slice(self.at[c], self.at[c + 1])
+                self._dense[self.place[c], self.rows[own]] = self.of_rows[own]
+        return self._dense
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "_dense"}
+
+    @staticmethod
+    def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+        return np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
+
+    def nearest_all(self, queries: list[dict[str, float]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each: examples, and their cosines, that are among the k nearest with a cosine over 0, ties with the last too."""
+        if not self.n:
+            return [(np.empty(0, int), np.empty(0))] * len(queries)
+        dense, known = self.dense(), []
+        part = np.zeros((len(queries), len(dense)), np.float32)
+        for r, q in enumerate(queries):
+            own = [(c, w) for t, w in q.items() if (c := self.column.get(t)) is not None]
+            c, w = np.array([c for c, _ in own], np.int64), np.array([w for _, w in own], float)
+            known.append((c, w))
+            put = self.place[c] >= 0
+            part[r, self.place[c[put]]] = w[put]
+        near = part @ dense
+        values, out, m = np.zeros(len(self.column)), [], min(k, self.n)
+        for (c, w), row in zip(known, near, strict=True):
+            rare = self.place[c] < 0
+            size = self.at[c[rare] + 1] - self.at[c[rare]]
+            at = self._ranges(self.at[c[rare]], size)
+            if len(at):
+                row += np.bincount(self.rows[at], self.of_rows[at] * np.repeat(w[rare], size), self.n).astype(np.float32)
+            least = np.partition(row, self.n - m)[self.n - m]
+            hit = np.flatnonzero((row > 0) & (row >= least - 1e-4))
+            if not len(hit):
+                out.append((hit, np.empty(0)))
+                continue
+            values[c] = w
+            size = self.starts[hit + 1] - self.starts[hit]
+            at = self._ranges(self.starts[hit], size)
+            cosine = np.add.reduceat(self.weights[at] * values[self.columns[at]], np.cumsum(size) - size)
+            values[c] = 0
+            if len(hit) > k:
+                kept = cosine >= np.partition(cosine, -k)[-k] - 1e-12
+                hit, cosine = hit[kept], cosine[kept]
+            order = np.lexsort((hit, -cosine))
+            out.append((hit[order], cosine[order]))
+        return out
 
     def nearest(self, query: dict[str, float], k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Examples, and their cosines, that are among the k nearest with a cosine over 0; ties with the last are all in."""
-        lists = [(w, self.lists[t]) for t, w in query.items() if t in self.lists]
-        bound = np.zeros(-(-self.n // BLOCK))
-        for w, (_, _, blocks, most, _) in lists:
-            bound[blocks] += w * most
-        found, cosines, least = [], [], 0.0
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or bound[b] < least - 1e-12:
-                break
-            near = np.zeros(BLOCK)
-            for w, (rows, weights, blocks, _, starts) in lists:
-                at = np.searchsorted(blocks, b)
-                if at < len(blocks) and blocks[at] == b:
-                    own = slice(starts[at], starts[at + 1])
-                    near[rows[own] - b * BLOCK] += w * weights[own]
-            hit = np.flatnonzero(near > 0)
-            found.append(hit + b * BLOCK)
-            cosines.append(near[hit])
-            if sum(map(len, cosines)) >= k:
-                least = float(np.partition(np.concatenate(cosines), -k)[-k])
-        if not found:
-            return np.empty(0, int), np.empty(0)
-        rows, near = np.concatenate(found), np.concatenate(cosines)
-        rows, near = rows[near >= least - 1e-12], near[near >= least - 1e-12]
-        order = np.lexsort((rows, -near))
-        return rows[order], near[order]
+        return self.nearest_all([query], k)[0]
 
 
 class Model:
-    def __init__(self, examples: list[tuple[int, int, dict[str, int]]], share: dict[int, float], frequency: dict[str, int], total: int, k: int):
-        """examples: id, label, counts of the chosen terms; share: true rows of a label for each of its examples."""
+    def __init__(self, examples: list[tuple[int, int, list[str], list[int]]], share: dict[int, float], frequency: dict[str, int], total: int, k: int, lexicon: list[str]):
+        """examples: id, label, all words and their counts; share: true rows of a label for each of its examples."""
         self.idf = {t: float(np.log((1 + total) / (1 + n)) + 1) for t, n in frequency.items()}
-        self.k, self.share = k, share
-        bare = [(y, share[y]) for _, y, counts in examples if not counts]
+        self.other = float(np.log((1 + total) / 2) + 1)
+        self.k, self.share, self.lexicon = k, share, set(lexicon)
+        bare = [(y, share[y]) for _, y, words, _ in examples if self.lexicon.isdisjoint(words)]
         self.base = (sum(w for y, w in bare if y) + 0.5) / (sum(w for _, w in bare) + 1.0)
         told = [e for e in examples if e[2]]
         self.ids, self.labels = [e[0] for e in told], np.array([e[1] for e in told], float)
         mean = np.mean([share[e[1]] for e in told]) if told else 1.0
         self.weights = np.array([share[e[1]] / mean for e in told])
-        self.index = Index([self.vector(c) for _, _, c in told])
-        self.known: dict = {}
+        self.index = Index(self.vector(dict(zip(words, counts, strict=True))) for _, _, words, counts in told)
+
+    def part(self, counts: dict[str, int], weight: float, before: str = "") -> dict[str, float]:
+        v = {before + t: (1.0 if n == 1 else 1 + math.log(n)) * self.idf.get(t, self.other) for t, n in counts.items()}
+        scale = (weight / sum(w * w for w in v.values())) ** 0.5 if v else 0.0
+        return {t: w * scale for t, w in v.items()}
 
     def vector(self, counts: dict[str, int]) -> dict[str, float]:
-        v = {t: (1 + float(np.log(n))) * self.idf[t] for t, n in counts.items() if t in self.idf}
-        length = sum(w * w for w in v.values()) ** 0.5
-        return {t: w / length for t, w in v.items()}
-
-    def score(self, counts: dict[str, int]) -> tuple[float, list[dict]]:
-        key = tuple(sorted(counts.items()))
-        if key not in self.known:
-            if len(self.known) > 50_000:
-                self.known.clear()
-            rows, near = self.index.nearest(self.vector(counts), self.k)
-            vote = near * self.weights[rows]
-            score = (float((vote * self.labels[rows]).sum()) + self.base) / (float(vote.sum()) + 1.0)
+        """Of all words, and of the chosen ones, if any; words of no example weigh as in one document."""
+        chosen = {t: counts[t] for t in self.lexicon.intersection(counts)}
+        return self.part(counts, 1 - EVIDENCE) | self.part(marked(chosen), EVIDENCE, "\0") if chosen else self.part(counts, 1.0)
+
+    def scores(self, texts: list[dict[str, int]]) -> list[tuple[float, list[dict]]]:
+        out = []
+        for rows, near in self.index.nearest_all([self.vector(c) for c in texts], self.k):
+            vote = near * np.where(near >= COPY, MORE, 1) * self.weights[rows]
+            rest = max(0.01, 1 - float(near[0])) if len(near) else 1.0
+            score = (float((vote * self.labels[rows]).sum()) + rest * self.base) / (float(vote.sum()) + rest)
             evidence = [{"doc_id": self.ids[r], "similarity": float(c), "toxic": int(self.labels[r])} for r, c in zip(rows[: self.k].tolist(), near, strict=False)]
-            self.known[key] = min(1.0, max(0.0, score)), evidence
-        return self.known[key]
+            out.append((min(1.0, max(0.0, score)), evidence))
+        return out
 
 
-def _counts(docs: DataFrame, lexicon: list[str]) -> dict[str, int]:
+def _counts(docs: DataFrame, vocabulary: set[str], lexicon: list[str]) -> dict[str, int]:
     """Documents of the whole table that hold each term or mark, a row a term and task before the sum."""
 
     def run(frames):
         words, seen = set(lexicon), Counter()
         for f in frames:
             for text in f["text"]:
-                seen.update(marked(dict.fromkeys(words.intersection(terms(text)), 1)).keys())
+                own = set(terms(text))
+                seen.update(vocabulary.intersection(own))
+                if chosen := words.intersection(own):
+                    seen.update(t for t in marked(dict.fromkeys(chosen, 1)) if t[0] == "\0")
         if seen:  # an empty frame has no string column that Arrow takes
             yield pd.DataFrame({"term": list(seen), "n": list(seen.values())})
 
-    return {r.term: r.n for r in docs.mapInPandas(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    found = docs.mapInPandas(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    return {t: n for f in found.to_batches(10_000) for t, n in zip(f["term"].to_pylist(), f["n"].to_pylist(), strict=True)}
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 4000, most_terms: int = 20_000, k: int = 15) -> Model:
     """Learns from labelled rows that aren't held out: per_class of each label at most, the least by a hash of the id.
 
-    Chosen are terms, most_terms at most, that tell of label 1: a log-likelihood ratio of 15 or more, and a smoothed share
+    Evidence, which weighs more than other words, are terms, most_terms at most, that tell of label 1: a log-likelihood ratio of 15 or more, and a smoothed share
     of label 1 among the rows with the term, at the labels' true frequencies, of 0.5 or more.
     """
     told = labels.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("label"))
@@ -139,13 +187,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     texts = documents(docs, id_col, text_col)
     sample = texts.join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id")  # 2 * per_class rows at most
     bags = map_texts(
-        sample, lambda _, doc_id, text, label: (doc_id, label, dict(Counter(terms(text)))), "doc_id long, label int, bag map<string,int>"
+        sample, lambda _, doc_id, text, label: (doc_id, label, list(bag := Counter(terms(text))), list(bag.values())), "doc_id long, label int, words array<string>, counts array<int>"
     ).dropDuplicates(["doc_id"]).persist()
     try:
         used = {r.label: r["count"] for r in bags.groupBy("label").count().collect()}
         share = {y: true.get(y, 0) / used[y] if used.get(y) else 0.0 for y in (0, 1)}
         n1, n0 = (used.get(y, 0) * share[y] for y in (1, 0))
-        of_term = bags.select("label", F.explode(F.map_keys("bag")).alias("term")).groupBy("term").agg(F.count_if(F.col("label") == 1).alias("c1"), F.count_if(F.col("label") == 0).alias("c0"))
+        of_term = bags.select("label", F.explode("words").alias("term")).groupBy("term").agg(F.count_if(F.col("label") == 1).alias("c1"), F.count_if(F.col("label") == 0).alias("c0"))
         m1, m0 = used.get(1, 0), used.get(0, 0)
         part = lambda c, rows, both: F.when(c > 0, c * F.log(c * F.lit(m1 + m0) / (F.lit(rows) * both))).otherwise(0.0)
         both = F.col("c1") + F.col("c0")
@@ -154,27 +202,31 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         pure = (F.col("c1") * share[1] + prior) / (F.col("c1") * share[1] + F.col("c0") * share[0] + 1.0)
         best = of_term.withColumn("ratio", ratio).where((F.col("ratio") >= 15) & (pure >= 0.5)).orderBy(F.desc("ratio"), "term").limit(most_terms)
         lexicon = [r.term for r in best.select("term").collect()]
-        kept = F.map_filter("bag", lambda t, _: t.isin(lexicon)) if lexicon else F.map_filter("bag", lambda t, _: F.lit(False))
-        examples = [(r.doc_id, r.label, marked(dict(r.bag))) for r in bags.select("doc_id", "label", kept.alias("bag")).orderBy("doc_id").collect()]
+        same: dict[str, str] = {}  # one string for all examples with a word
+        examples = []
+        for f in bags.toArrow().to_batches(500):  # 2 * per_class rows at most
+            for i, y, words, counts in zip(*(f[c].to_pylist() for c in ("doc_id", "label", "words", "counts")), strict=True):
+                examples.append((i, y, [same.setdefault(t, t) for t in words], counts))
+        examples.sort(key=lambda e: e[0])
     finally:
         bags.unpersist()
-    return Model(examples, share, _counts(texts, lexicon) if lexicon else {}, texts.count(), k)
+    return Model(examples, share, _counts(texts, set(same), lexicon) if examples else {}, texts.count(), k, lexicon)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.7, **how) -> DataFrame:
     """doc_id, held_out, score, predicted, evidence: a row for each row of docs, by whole texts only.
 
-    evidence lists the nearest examples. Null and empty texts, and those without any chosen term, get the smoothed rate
-    among such examples. held_out is null for a null id. Without labels the score is 0.5 for all. An empty table gives no
-    rows; other columns are ignored.
+    evidence lists the nearest examples. Every text with a word is compared by all its words; null and empty ones get the
+    smoothed rate among examples without terms of evidence. held_out is null for a null id. Without labels the score is 0.5
+    for all. An empty table gives no rows; other columns are ignored.
     """
     model = fit(docs, labels, id_col, text_col, label_col, **how)
-    lexicon = set(model.idf)
 
-    def row(_, doc_id, text, out):
-        words = terms(text)
-        score, evidence = model.score(marked({t: n for t, n in Counter(words).items() if t in lexicon}) if not lexicon.isdisjoint(words) else {})
-        return doc_id, out, score, int(score >= threshold), evidence
+    def run(frames):
+        for f in (whole.iloc[at : at + BATCH] for whole in frames for at in range(0, len(whole), BATCH)):
+            found = model.scores([Counter(terms(text)) for text in f["text"]])
+            scores = [score for score, _ in found]
+            yield pd.DataFrame({"doc_id": f["doc_id"], "held_out": f["held_out"], "score": scores, "predicted": [int(x >= threshold) for x in scores], "evidence": [e for _, e in found]})
 
     texts = documents(docs, id_col, text_col).withColumn("held_out", held_out())
-    return map_texts(texts, row, "doc_id long, held_out boolean, score double, predicted int, evidence array<struct<doc_id:long,similarity:double,toxic:int>>")
+    return texts.mapInPandas(run, "doc_id long, held_out boolean, score double, predicted int, evidence array<struct<doc_id:long,similarity:double,toxic:int>>")

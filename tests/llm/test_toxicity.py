@@ -30,6 +30,21 @@ def test_held_out_quality(spark):
     assert hit.toxic.mean() >= 0.95 and len(hit[hit.toxic == 1]) / (got.toxic == 1).sum() >= 0.8
 
 
+def test_copies_of_examples_without_chosen_terms(spark):
+    """Few examples, so that no term is evidence: a copy of a toxic one, and one whose words are toxic only together."""
+    r = random.Random(4)
+    texts = [" ".join(r.choices([f"w{i}" for i in range(60)], k=12)) for _ in range(40)]
+    told = [(i, int(i < 3)) for i in range(120) if i % 3 == 0]  # some are held out
+    docs = [(i, t) for (i, _), t in zip(told, texts)] + [(1000, texts[0]), (1001, " ".join(reversed(texts[0].split()))), (1002, texts[5]), (1003, "")]
+    held = {x.doc_id for x in spark.createDataFrame(docs, "doc_id long, text string").where(t.held_out()).collect()}
+    labels = [(i, int(texts[k] == texts[0])) for k, (i, _) in enumerate(told) if i not in held or k == 0]
+    assert told[0][0] not in held
+    got = {x.doc_id: x for x in t.toxicity(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    assert got[1000].evidence[0].doc_id == 0 and abs(got[1000].evidence[0].similarity - 1) < 1e-9
+    assert got[1000].predicted == got[1001].predicted == 1
+    assert got[1002].predicted == got[1003].predicted == 0
+
+
 def test_edges(spark):
     docs = spark.createDataFrame([(1, None, 0.0), (2, "", 0.0), (3, "idiot " * 50_000, 0.0), (3, "idiot", 0.0), (None, "x", 0.0)], "doc_id long, text string, score double")
     labels = spark.createDataFrame([(3, 1), (3, 1), (9, 0), (None, 1), (2, None)], "doc_id long, toxic int")
