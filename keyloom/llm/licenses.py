@@ -1,8 +1,10 @@
-"""License scans: sparse TF-IDF cosine of lines to templates, then inheritance from the nearest directory above.
+"""License scans: sparse TF-IDF cosine of lines and of windows over joined lines to templates, then inheritance from the nearest directory above.
 
 Every line of every whole text is a vector over its words; document frequencies of the templates' words are counted over
 all documents. A line can only reach the least cosine if it has one of a template's anchor words (the words of largest
-weight, such that all others together stay below it), so other lines are passed over without loss. Files without a
+weight, such that all others together stay below it), so other lines are passed over without loss. Around such words, windows of a template's length in the joined text are compared
+too, whatever the line breaks, so that wrapped headers, whole license files and notices inside longer lines are found; of
+windows that overlap, long and near ones count. Files without a
 license of their own take that of the nearest directory at or above their own which declares one: the paths above are
 exploded, once a distinct directory, and joined.
 """
@@ -30,7 +32,20 @@ TEMPLATES = [
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'),
     ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License"),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc."),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1989, 1991 Free Software Foundation, Inc."),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007 Copyright (C) 2007 Free Software Foundation, Inc."),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc."),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0 1. Definitions 1.1. Contributor means each individual or legal entity that creates, contributes to the creation of, or owns Covered Software."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
+    ("BSD-2-Clause", "%(bsd)s 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES"),
+    ("BSD-3-Clause", "%(bsd)s 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
     ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-only"),
     ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3."),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
@@ -41,6 +56,8 @@ TEMPLATES = [
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights to this work. CC0 1.0"),
 ]
+BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
+TEMPLATES = [(name, text.replace("%(bsd)s", BSD)) for name, text in TEMPLATES]
 #: Names of files that declare the license of their directory.
 DECLARES = r"(?i)^(un)?(licen[cs]e|copying)([._-].*)?$"
 
@@ -58,15 +75,17 @@ class Matcher:
         bags = [Counter(words(t)) for _, t in templates]
         self.idf, self.other = {t: idf(frequency.get(t, 0)) for b in bags for t in b}, idf(1)
         self.lists: dict[str, list[tuple[int, float]]] = {}
-        self.anchors = set()
+        self.anchors, self.sizes, self.weights, self.starts = set(), [b.total() for b in bags], [], {}
         for k, bag in enumerate(bags):
             v = {t: n * self.idf[t] for t, n in bag.items()}
             length = sum(w * w for w in v.values()) ** 0.5
+            self.weights.append({t: w / length for t, w in v.items()})
             rest = 1.0
             for t in sorted(v, key=lambda t: (-v[t], t)):
                 self.lists.setdefault(t, []).append((k, v[t] / length))
                 if rest >= least - 1e-9:  # what is left could still reach the least cosine
                     self.anchors.add(t)
+                    self.starts.setdefault(t, []).append(k)
                 rest = max(0.0, rest**2 - (v[t] / length) ** 2) ** 0.5
 
     def line(self, tokens: list[str]) -> tuple[float, str] | None:
@@ -79,18 +98,72 @@ class Matcher:
         best = max(((d / length, -k) for k, d in dots.items()), default=(0.0, 0))
         return (best[0], self.names[-best[1]]) if best[0] >= self.least - 1e-9 else None
 
+    def windows(self, tokens: list[str]) -> list[tuple[int, int, float, int]]:
+        """start, end, cosine, template: of each template, the best windows of its length that reach `least`; of those that
+        overlap, the one of the greatest length times eighth power of the cosine."""
+        spots: dict[int, list[int]] = {}
+        for at, t in enumerate(tokens):
+            for k in self.starts.get(t, ()):
+                spots.setdefault(k, []).append(at)
+        found = []
+        for k, places in spots.items():
+            size, own, done = self.sizes[k], self.weights[k], 0
+            if len(tokens) < size:
+                continue
+            for at in places:
+                first, last = max(done, at - size + 1), min(at, len(tokens) - size)
+                if first > last:
+                    continue
+                done = last + 1
+                bag, square, dot = Counter(), 0.0, 0.0
+
+                def move(t: str, by: int) -> None:
+                    nonlocal square, dot
+                    w = self.idf.get(t, self.other)
+                    square += ((bag[t] + by) ** 2 - bag[t] ** 2) * w * w
+                    dot += by * w * own.get(t, 0.0)
+                    bag[t] += by
+
+                for t in tokens[first : first + size]:
+                    move(t, 1)
+                for start in range(first, last + 1):
+                    if start > first:
+                        move(tokens[start - 1], -1)
+                        move(tokens[start + size - 1], 1)
+                    if (cosine := dot / square**0.5) >= self.least - 1e-9:
+                        found.append((start, start + size, min(1.0, cosine), k))
+        kept: list[tuple[int, int, float, int]] = []
+        for w in sorted(found, key=lambda w: (-round(w[2] ** 8 * (w[1] - w[0]), 9), w[3], w[0])):
+            if all(w[1] <= x[0] or x[1] <= w[0] for x in kept):
+                kept.append(w)
+        return kept
+
     def text(self, text: str) -> tuple[str | None, float, int, float]:
-        """The license of the best line, its cosine, how many lines match, and their share of the words."""
-        best, lines, own, all_words = (0.0, None), 0, 0, 0
-        for line in text.split("\n"):
-            tokens = words(line)
-            all_words += len(tokens)
-            if not self.anchors.isdisjoint(tokens) and (hit := self.line(tokens)):
-                lines += 1
-                own += len(tokens)
-                if hit[0] > best[0] + 1e-12:
-                    best = hit
-        return best[1], best[0], lines, own / max(1, all_words)
+        """The license of the best line or window, its cosine, how many lines match or lie in a window, and their share of
+        the words. A line inside a window of a longer template counts for the window's license."""
+        lines = [words(line) for line in text.split("\n")]
+        tokens = [t for line in lines for t in line]
+        if self.anchors.isdisjoint(tokens):
+            return None, 0.0, 0, 0.0
+        windows, hits, covered, told, at = self.windows(tokens), [], [False] * len(tokens), 0, 0
+        for line in lines:
+            end = at + len(line)
+            over = [w for w in windows if w[0] < end and at < w[1]]
+            longer = any(w[1] - w[0] > len(line) for w in over)
+            hit = self.line(line) if not longer and not self.anchors.isdisjoint(line) else None
+            if hit:
+                hits.append((at, *hit))
+                covered[at:end] = [True] * len(line)
+            told += bool(hit or over)
+            at = end
+        for start, end, cosine, k in windows:
+            hits.append((start, cosine, self.names[k]))
+            covered[start:end] = [True] * (end - start)
+        best = (None, 0.0)
+        for _, cosine, name in sorted(hits, key=lambda h: h[0]):
+            if cosine > best[1] + 1e-12:
+                best = name, cosine
+        return *best, told, sum(covered) / max(1, len(tokens))
 
 
 def _frequencies(texts: DataFrame, vocabulary: set[str]) -> dict[str, int]:
@@ -116,7 +189,7 @@ def above(directory: Column) -> Column:
 def license_scan(files: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "path", least: float = 0.8, whole: float = 0.5, templates: list[tuple[str, str]] | None = None) -> DataFrame:
     """doc_id, path, license, score, n_lines, declares, effective_license, origin, from_directory: a row for each row.
 
-    license is that of the best line of the whole text, null if none has a cosine of `least`; ties go to the earlier
+    license is that of the best line, or window over joined lines, of the whole text, null if none has a cosine of `least`; ties go to the earlier
     line, then template. A file declares its directory's license if it has one and is named like a license file or `whole`
     of its words are license lines; of several, the best score, then the least license, holds. origin: own, inherited or null. Null
     and empty texts have no license, null paths count as the root, slashes that repeat as one. Rows that repeat an id

@@ -66,5 +66,19 @@ def test_same_as_every_line_against_every_template(spark):
     assert got[1][3:] == ("Apache-2.0", "inherited", "a/b") and got[6][3] == "CC-BY-NC-4.0"
 
 
+def test_wrapped_headers_and_license_files(spark):
+    gpl = "# This program is free software{} you can redistribute it and/or modify\n# it under the terms of the GNU {}General Public License as published by\n# the Free Software Foundation, either version {} of the License, or\n# (at your option) any later version.\nimport os\n"
+    bsd = "Copyright 2020 X\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n"
+    files = [
+        ("a/LICENSE", bsd, "BSD-3-Clause"), ("a/x.py", "x = 1", None), ("b/x.py", gpl.format(";", "", 2), "GPL-2.0"), ("c/x.py", gpl.format(":", "Affero ", 3), "AGPL-3.0"), ("d/x.py", gpl.format(":", "", 3), "GPL-3.0"),
+        ("e/LICENSE", "Apache License\nVersion 2.0, January 2004\nhttp://www.apache.org/licenses/\n\nTERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n1. Definitions.", "Apache-2.0"),
+        ("f/x.py", "one two three four five six seven eight nine ten Licensed under the Apache License, Version 2.0. and some more words here on this line", "Apache-2.0"),
+    ]
+    rows = [(i, p, t) for i, (p, t, _) in enumerate(files)] + [(100 + i, "z/y.txt", "plain words of other texts") for i in range(300)]
+    got = {r.doc_id: r for r in li.license_scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert [got[i].license for i in range(len(files))] == [name for _, _, name in files]
+    assert (got[1].effective_license, got[1].from_directory) == ("BSD-3-Clause", "a")
+
+
 def test_empty(spark):
     assert li.license_scan(spark.createDataFrame([], "doc_id long, path string, text string")).count() == 0
