@@ -35,3 +35,9 @@ def test_stages(spark, tmp_path):
         else:
             assert set(after) == set(before)
     assert corpus_pipeline.run(spark, DIR).count() == docs.count()
+
+
+def test_exact_copies_with_null_or_repeated_ids(spark):
+    rows = [(1, "a"), (None, "a"), (2, "b"), (2, "b"), (2, "c"), (None, "d"), (None, "d"), (3, None), (4, "")]
+    got = corpus_pipeline.exact_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), DIR).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted([(1, "a"), (2, "b"), (2, "c"), (None, "d"), (4, "")], key=str)
