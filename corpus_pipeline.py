@@ -21,10 +21,10 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the document with the largest id stays, once; a null id is below all others."""
-    gone = exact_dedup.exact_dedup(docs).where("NOT kept").select("doc_id", F.col("text_sha256").alias("sha"))
-    sha = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
-    left = docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]) & (sha == gone["sha"]), "left_anti")
-    return left.withColumn("__sha", sha).dropDuplicates(["doc_id", "__sha"]).select(docs.columns)
+    key = lambda sha: F.concat_ws(":", sha, F.col("doc_id").cast("string")).alias("__key")
+    gone = exact_dedup.exact_dedup(docs).where("NOT kept").select(key(F.col("text_sha256")))
+    keyed = docs.select("*", key(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)))
+    return keyed.join(gone, "__key", "left_anti").dropDuplicates(["__key"]).select(docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
