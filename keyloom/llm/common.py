@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,29 +17,36 @@ SLICE = 500
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one made here where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or the context's own. Where neither is set, one is made here
+    if driver and executors are one process; on a cluster a local folder would lose rows, so that is an error."""
     if path := spark.conf.get("spark.checkpoint.dir", None):
         return path
     context = spark.sparkContext
     if (known := context._jsc.sc().getCheckpointDir()).isDefined():
         return known.get()
+    if not context.master.startswith("local[") and context.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="keyloom-"))
     return context._jsc.sc().getCheckpointDir().get()
 
 
 class Scratch:
-    """Written intermediate tables of one run: they cut lineage and survive lost executors."""
+    """Written intermediate tables of one run: they cut lineage and survive lost executors. A result that is read later
+    needs its last tables, so what is left is dropped when the session's context ends."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.top = spark, f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self.paths: dict[int, str] = {}
+        self._keep: list[DataFrame] = []  # ids stay unique while the frames live
+        top = spark._jvm.org.apache.hadoop.fs.Path(self.top)
+        top.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(top)
 
     def write(self, df: DataFrame) -> DataFrame:
         path = f"{self.top}/{len(self.paths)}-{uuid.uuid4().hex[:8]}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
-        self._keep = [*getattr(self, "_keep", []), out]  # ids stay unique while the frames live
+        self._keep.append(out)
         return out
 
     def drop(self, *frames: DataFrame) -> None:
@@ -62,32 +69,69 @@ def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
 ID_BITS = 1 << 25
 
 
-def maybe_among(rows: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
-    """Rows whose id may be among the named ones: all that are, and others that share a bit of the bitmap with one. So that
-    a semi-join that follows shuffles few of the others. The bitmap is ID_BITS at most, hence the broadcast."""
-    bit = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(ID_BITS)) + 1
+def _marked(rows: DataFrame, ids: DataFrame, column: str, mark: str) -> DataFrame:
+    """rows, and whether the column shares a bit of the bitmap of ids with one: so have all that are among them, and few
+    others. The bitmap is ID_BITS at most, hence the broadcast."""
+    bit = lambda c: F.pmod(F.xxhash64(F.col(c)), F.lit(ID_BITS)) + 1
     bits = ids.select(bit(ids.columns[0]).alias("bit")).withColumn("bucket", F.bitmap_bucket_number("bit")).repartition("bucket")
     maps = bits.groupBy("bucket").agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
     place = F.bitmap_bit_position(bit(column))
     byte = F.conv(F.hex(F.substring("bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    kept = rows.join(F.broadcast(maps), F.bitmap_bucket_number(bit(column)) == maps["bucket"]).where(F.getbit(byte, (place % 8).cast("int")) == 1)
-    return kept.select(*(rows[c] for c in rows.columns))
+    at = rows.join(F.broadcast(maps), F.bitmap_bucket_number(bit(column)) == maps["bucket"], "left")
+    hit = F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False))
+    return at.select(*(rows[c] for c in rows.columns), hit.alias(mark))
 
 
-def map_texts(df: DataFrame, row: Callable[..., tuple], schema: T.StructType | str, setup: Callable | None = None) -> DataFrame:
-    """row(state, *columns) -> tuple for each row; setup() makes the state once a task. Rows of a batch are handed on
-    in small pieces, so that memory follows one batch and not a partition."""
+def among(rows: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
+    """Rows whose column is among the ids (one column); few others are shuffled. A null is not among them."""
+    mark = f"maybe_{uuid.uuid4().hex}"
+    ids = ids.toDF(column)
+    return _marked(rows, ids, column, mark).where(F.col(mark)).join(ids, column, "left_semi").select(rows.columns)
+
+
+def without(rows: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
+    """Rows whose column isn't among the ids (one column); most of them aren't shuffled. A null stays."""
+    mark = f"maybe_{uuid.uuid4().hex}"
+    ids = ids.toDF(column)
+    marked = _marked(rows, ids, column, mark)
+    rest = marked.where(F.col(mark)).join(ids, column, "left_anti")
+    return marked.where(~F.col(mark)).select(rows.columns).unionByName(rest.select(rows.columns))
+
+
+def arrow_fields(schema: T.StructType | str) -> list[pa.Field]:
+    """The Arrow fields of a schema of numbers, strings, bytes, arrays and structs."""
+    plain = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary()}
+
+    def kind(t: T.DataType) -> pa.DataType:
+        if isinstance(t, T.ArrayType):
+            return pa.list_(kind(t.elementType))
+        if isinstance(t, T.StructType):
+            return pa.struct([pa.field(f.name, kind(f.dataType)) for f in t.fields])
+        return plain[t.simpleString()]
 
     fields = (T._parse_datatype_string(schema) if isinstance(schema, str) else schema).fields
-    names = [f.name for f in fields]
+    return [pa.field(f.name, kind(f.dataType)) for f in fields]
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def map_slices(df: DataFrame, rows: Callable[..., Iterable[tuple]], schema: T.StructType | str, setup: Callable | None = None, size: int = SLICE) -> DataFrame:
+    """rows(state, columns as lists) -> tuples, for each slice of a batch; setup() makes the state once a task. Values pass
+    as Arrow columns, so that a null beside a large id leaves both as they are."""
+    fields = arrow_fields(schema)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = setup() if setup else None
-        for batch in (whole.iloc[at : at + SLICE] for whole in batches for at in range(0, len(whole), SLICE)):
-            rows = [row(state, *values) for values in zip(*(batch[c].tolist() for c in batch.columns), strict=True)]
-            yield pd.DataFrame({n: list(x) for n, x in zip(names, zip(*rows) if rows else [()] * len(names), strict=True)})
+        for batch in (whole.slice(at, size) for whole in batches for at in range(0, whole.num_rows, size)):
+            made = list(rows(state, *(c.to_pylist() for c in batch.columns)))
+            for at in range(0, len(made), SLICE):
+                part = zip(*made[at : at + SLICE], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(list(x), f.type) for x, f in zip(part, fields, strict=True)], schema=pa.schema(fields))
+
+    return df.mapInArrow(run, schema)
 
-    return df.mapInPandas(run, schema)
+
+def map_texts(df: DataFrame, row: Callable[..., tuple], schema: T.StructType | str, setup: Callable | None = None) -> DataFrame:
+    """row(state, *columns) -> tuple for each row."""
+    return map_slices(df, lambda state, *columns: [row(state, *values) for values in zip(*columns, strict=True)], schema, setup)
 
 
 def held_out(id_col: str = "doc_id"):

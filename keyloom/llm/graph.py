@@ -40,4 +40,4 @@ def labels(links: DataFrame, scratch: Scratch) -> DataFrame:
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     near = scratch.write(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("component")))
     jump = near.select(F.col("node").alias("component"), F.col("component").alias("to"))
-    return scratch.write(near.join(jump, "component").select("node", F.col("to").alias("component")))
+    return near.join(jump, "component").select("node", F.col("to").alias("component"))

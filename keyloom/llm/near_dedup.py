@@ -2,42 +2,44 @@
 
 1. A document's sketch holds the `SKETCH` smallest hashes of its distinct shingles. Documents with equal sets form a class
    at once; all further work is on one representative a class.
-2. Inverted lists: documents of similarity J share, in hash order, runs of neighbouring retained values, because a value
-   of the union is in both with probability J. Lists are keyed by runs of `RUN` values (also of `SHORT_RUN` in sets of at
-   most `SMALL`, which makes unions within the sketch exact). At J = 0.85, runs of 4 in 48 values miss a pair with
-   probability 7e-7.
-3. Each list's smallest document, its hub, meets every other member: as many rows as the list is long. The sketch of
-   the union estimates the similarity; pairs far below are dropped, the others are measured on full sets.
-4. Jaccard distance is a metric. Members linked to the hub are in one component; members over 0.30 away from the hub link
-   with none of those. So what a hub leaves open is two things: pairs among the documents around it that aren't all linked
-   to it (families, one for each hub, compared in blocks on full sets, only where the distances to the hub allow a link and
-   the components differ), and the list without the hub and what is linked to it, which takes its next hub. After
-   `ROUNDS` hubs the rest of a list, documents that share a passage but are unlike, is compared in blocks, by sketches
-   and then on full sets; a block pair returns no more links than join its components.
-   A group of n copies takes about n rows, and no link between different components is left out.
+2. Inverted lists of retained values: two sketches of similar documents have at least `SHARED` values in common (a pair
+   at 0.85 has fewer with probability 3.7e-7; sets of up to `WHOLE` shingles are whole in their sketches, which makes the
+   bound exact). So two similar documents share one of each one's rarest `size - SHARED + 1` values, and only these are
+   listed. Values of passages that many documents share are frequent, come last, and make no list as long as the rest
+   of a document is its own.
+3. Lists give overlaps by hubs: first each document meets the least hub of its lists, one row a document; then each list's
+   hub meets the members of other components, with another hub every round while that closes lists. The sketch of the
+   union estimates the similarity; pairs far below are dropped, the others are measured on full sets. A list whose members are
+   in one component is closed. A group of n copies takes about n rows, and a round no more than the lists have entries.
+4. Documents in lists that stay open are listed anew by the rarest values of their full sets, where the bound is exact and
+   tight: unlike documents that share a passage drop out, whatever their number. What stays open even so, documents that
+   are all just below the similarity, is compared in blocks of `BLOCK`, each document in its longest list first: that
+   is the square of such a list over 128 rows, and a block pair returns no more links than join its components.
 5. Components of the links give the groups.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import functools
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import Scratch, documents, map_texts, maybe_among
+from keyloom.llm.common import Scratch, among, documents, map_texts
 from keyloom.llm.graph import components, labels
 
 WORDS = 5
-SKETCH, RUN, SHORT_RUN, SMALL = 48, 4, 3, 8
-#: Shares of a union sketch below which no pair at the similarity, or at the hub's range, is to be expected.
-LEAST_LINK, LEAST_RANGE = 0.60, 0.40
-BLOCK, ROUNDS = 128, 2
-#: A member of a list, as seen from the hub.
-LINKED, NEAR, FAR = 0, 1, 2
+SKETCH, SHARED, WHOLE = 48, 27, 40
+#: The share of a union sketch below which no pair at the similarity is to be expected.
+LEAST_LINK = SHARED / SKETCH
+BLOCK = 128
+#: Rounds of hubs go on while they leave at most this share of the open entries.
+CLOSING = 0.7
+#: Hashes of words that a task remembers.
+REMEMBERED = 200_000
 
 
 def _setup() -> dict[bytes, int]:
@@ -49,7 +51,7 @@ def shingles(cache: dict[bytes, int], text: str, words: int = WORDS) -> np.ndarr
     tokens = text.encode().lower().split()  # bytes: A-Z and the six ASCII white-space characters only
     if not tokens:
         return np.empty(0, np.int64)
-    if len(cache) > 500_000:
+    if len(cache) > REMEMBERED:
         cache.clear()
     for t in set(tokens):
         if t not in cache:
@@ -73,24 +75,13 @@ def _whole(cache, doc_id, text):
     return doc_id, shingles(cache, text)
 
 
-def union_share(x: np.ndarray, y: np.ndarray) -> float:
+def union_share(x: Column, y: Column) -> Column:
     """The estimated similarity: the share of the union's smallest values that are in both sketches."""
-    both = np.sort(np.concatenate([x, y]))
-    twice = both[1:] == both[:-1]
-    union = np.delete(both, np.flatnonzero(twice))[:SKETCH]
-    return np.count_nonzero(both[1:][twice] <= union[-1]) / len(union)
+    union = F.slice(F.array_sort(F.array_union(x, y)), 1, SKETCH)
+    return F.size(F.array_intersect(union, F.array_intersect(x, y))) / F.size(union)
 
 
-def _estimated(least: float):
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in batches:
-            keep = [union_share(np.asarray(x), np.asarray(y)) >= least for x, y in zip(p["sa"], p["sb"], strict=True)]
-            yield p.loc[keep, ["a", "b"]]
-
-    return run
-
-
-def _shared(left: list, right: list) -> np.ndarray:
+def _in_common(left: list, right: list) -> np.ndarray:
     """How many values each on the left shares with each on the right."""
     values, place = np.unique(np.concatenate([*left, *right]), return_inverse=True)
     seen = np.zeros((len(left) + len(right), len(values)), np.float32)
@@ -98,110 +89,157 @@ def _shared(left: list, right: list) -> np.ndarray:
     return seen[: len(left)] @ seen[len(left) :].T
 
 
-def _sides(group: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
-    left = group[group.side == 0]
-    return left, left if group.same.iloc[0] else group[group.side == 1]
-
-
-def _likely(left: pd.DataFrame, right: pd.DataFrame, sketch: str) -> np.ndarray:
+def _likely(left: pd.DataFrame, right: pd.DataFrame) -> np.ndarray:
     """Pairs of different components whose sketches have enough in common. A union sketch of k values with a share s in both
     has s * k values in both sketches, and k is at least the size of the larger sketch."""
-    x, y = ([np.asarray(v)[:SKETCH] for v in side[sketch]] for side in (left, right))
+    x, y = ([np.asarray(v)[:SKETCH] for v in side.shingles] for side in (left, right))
     larger = np.maximum.outer([len(v) for v in x], [len(v) for v in y])
-    return (_shared(x, y) >= LEAST_LINK * larger) & (left.component.to_numpy()[:, None] != right.component.to_numpy()[None])
-
-
-def _spanning(group: pd.DataFrame, left: pd.DataFrame, right: pd.DataFrame, open_: np.ndarray, percent: int) -> pd.DataFrame:
-    """Links on full sets among the open pairs: as many as join what isn't joined yet."""
-    out: list[tuple[int, int]] = []
-    label = {c: c for c in group.component.tolist()}
-
-    def root(c: int) -> int:
-        while label[c] != c:
-            c = label[c]
-        return c
-
-    a, b, u, v = left.id.tolist(), right.id.tolist(), left.component.tolist(), right.component.tolist()
-    for i, j in np.argwhere(open_).tolist():
-        p, q = root(u[i]), root(v[j])
-        if p != q:
-            x, y = left.shingles.iloc[i], right.shingles.iloc[j]
-            shared = len(np.intersect1d(x, y, assume_unique=True))
-            if 100 * shared >= percent * (len(x) + len(y) - shared):
-                label[max(p, q)] = min(p, q)
-                out.append((min(a[i], b[j]), max(a[i], b[j])))
-    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-
-def _family(percent: int):
-    """Links within one block pair of a family."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        left, right = _sides(group)
-        if not len(left) or not len(right):
-            return pd.DataFrame({"a": [], "b": []})
-        far = np.abs(left.away.to_numpy()[:, None] - right.away.to_numpy()[None]) > 1 - percent / 100 + 1e-9
-        both_linked = (left.kind.to_numpy()[:, None] == LINKED) & (right.kind.to_numpy()[None] == LINKED)
-        return _spanning(group, left, right, _likely(left, right, "shingles") & ~far & ~both_linked, percent)
-
-    return run
+    return (_in_common(x, y) >= LEAST_LINK * larger) & (left.component.to_numpy()[:, None] != right.component.to_numpy()[None])
 
 
 def _blocks(percent: int):
-    """Links within one block pair of a list's rest, of those that aren't near the same hub, which has settled them."""
+    """Links within one block pair of a list, on full sets: as many as join what isn't joined yet."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        left, right = _sides(group)
-        if not len(left) or not len(right):
-            return pd.DataFrame({"a": [], "b": []})
-        open_ = _likely(left, right, "shingles")
-        hubs = [[set(h) for h in side.near] for side in (left, right)]
-        for i, j in np.argwhere(open_).tolist():
-            open_[i, j] = hubs[0][i].isdisjoint(hubs[1][j])
-        return _spanning(group, left, right, open_, percent)
+        left = group[group.side == 0]
+        right = left if group.same.iloc[0] else group[group.side == 1]
+        out: list[tuple[int, int]] = []
+        label = {c: c for c in group.component.tolist()}
+
+        def root(c: int) -> int:
+            while label[c] != c:
+                c = label[c]
+            return c
+
+        a, b, u, v = left.id.tolist(), right.id.tolist(), left.component.tolist(), right.component.tolist()
+        for i, j in np.argwhere(_likely(left, right)).tolist() if len(left) and len(right) else []:
+            p, q = root(u[i]), root(v[j])
+            if p != q:
+                x, y = left.shingles.iloc[i], right.shingles.iloc[j]
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                if 100 * shared >= percent * (len(x) + len(y) - shared):
+                    label[max(p, q)] = min(p, q)
+                    out.append((min(a[i], b[j]), max(a[i], b[j])))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return run
 
 
-def _dealt(members: DataFrame, key: str, *columns: str) -> DataFrame:
-    """Members of each key in blocks of about BLOCK, every block with itself and each other block once; size is the key's."""
-    blocks = members.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    return blocks.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
-        key, "id", "component", *columns, F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"),
-        F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"), (F.col("block") == F.col("other")).alias("same"),
-    )
-
-
-class _Sets:
-    """Full sets of the documents that some pair names, and the measuring of pairs on them."""
-
-    def __init__(self, texts: DataFrame, scratch: Scratch):
-        self.texts, self.scratch = texts, scratch
-
-    def of(self, named: DataFrame) -> DataFrame:
-        """id, shingles of the ids named."""
-        ids = self.scratch.write(named.select(F.col("id").alias("doc_id")).distinct())
-        own = maybe_among(self.texts, ids).join(ids, "doc_id", "left_semi")
-        return self.scratch.write(map_texts(own, _whole, "id long, shingles array<long>", _setup))
-
-    def measured(self, pairs: DataFrame) -> DataFrame:
-        """a, b, shared, either: sizes of intersection and union on full sets."""
-        of = self.of(pairs.select(F.explode(F.array("a", "b")).alias("id")))
-        first = pairs.join(of.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
-        both = first.join(of.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
+def _dealt(members: DataFrame) -> DataFrame:
+    """Members of each list in blocks of about BLOCK, every block with itself and each other block once."""
+    blocks = members.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    blocks = blocks.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    met = blocks.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    return met.select(
+        "key",
+        "id",
+        "component",
+        "shingles",
+        F.least("block", "other").alias("x"),
+        F.greatest("block", "other").alias("y"),
+        F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"),
+        (F.col("block") == F.col("other")).alias("same"),
+    )
+
+
+def rare_lists(sets: DataFrame, least: Column, scratch: Scratch) -> DataFrame:
+    """key, id: lists of at least two documents by the rarest of their values; sets: id, part, n, values, where an id with
+    several texts has a part for each.
+
+    least: how many values any two similar documents share at least, by n. Values that one document has alone are the
+    rarest and make no list. Of lists with the same members one stays, by 128 bits of their ids.
+    """
+    each = sets.select("id", "part", least.alias("least"), F.explode("values").alias("value"))
+    often = each.groupBy("value").agg(F.count("*").alias("often")).where("often > 1")
+    shared = scratch.write(each.join(often, "value"))
+    own = shared.groupBy("id", "part").agg(F.first("least").alias("least"), F.sort_array(F.collect_list(F.struct("often", "value"))).alias("own"))
+    room = F.size("own") - F.col("least") + 1
+    rarest = F.transform(F.slice("own", 1, room), lambda x: x["value"])
+    entries = scratch.write(own.where(room > 0).select("id", F.explode(rarest).alias("key")).distinct())
+    alike = entries.groupBy("key").agg(
+        F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")
+    )
+    one_each = alike.where("n > 1").groupBy("n", "x", "y").agg(F.min("key").alias("key"))
+    return scratch.write(entries.join(one_each.select("key"), "key"))
+
+
+class _Links:
+    """The links found so far, the components that they give, and the measuring of pairs of candidates."""
+
+    def __init__(self, candidates: DataFrame, percent: int, scratch: Scratch):
+        """candidates: id, part, n, values, sketch of every document in a list."""
+        self.candidates, self.percent, self.scratch = candidates, percent, scratch
+        self.all: list[DataFrame] = []
+        self.found: DataFrame | None = None
+
+    def union(self) -> DataFrame:
+        return functools.reduce(DataFrame.unionByName, self.all)
+
+    def add(self, links: DataFrame) -> None:
+        self.all.append(self.scratch.write(links))
+        self.found = labels(self.union(), self.scratch)
+
+    def measure(self, pairs: DataFrame) -> None:
+        """Adds those of the pairs (a, b) that are links: estimated on sketches first, then on full sets."""
+        sketch, full = (lambda x, c=c: self.candidates.select(F.col("id").alias(x), F.col(c).alias(f"s{x}")) for c in ("sketch", "values"))
+        near = pairs.join(sketch("a"), "a").join(sketch("b"), "b").where(union_share(F.col("sa"), F.col("sb")) >= LEAST_LINK).select("a", "b")
         shared = F.size(F.array_intersect("sa", "sb"))
-        out = self.scratch.write(both.select("a", "b", shared.alias("shared"), (F.size("sa") + F.size("sb") - shared).alias("either")))
-        self.scratch.drop(of)
-        return out
+        linked = near.join(full("a"), "a").join(full("b"), "b").where(100 * shared >= self.percent * (F.size("sa") + F.size("sb") - shared))
+        self.add(linked.select("a", "b"))
+
+    def open(self, members: DataFrame, turn: int) -> DataFrame:
+        """key, id, component, hub, size of the lists whose members aren't all in one component; the hub is another every turn."""
+        known = self.found.select(F.col("node").alias("id"), F.col("component").alias("root"))
+        whole = members.select("key", "id").join(known, "id", "left").select("key", "id", F.coalesce("root", "id").alias("component"))
+        first = F.struct(F.xxhash64("id", F.lit(turn)).alias("order"), "id", "component")
+        lists = whole.groupBy("key").agg(
+            F.min("component").alias("least"), F.max("component").alias("most"), F.min(first).alias("hub"), F.count("*").alias("size")
+        )
+        return self.scratch.write(whole.join(lists.where("least < most").select("key", "hub", "size"), "key"))
+
+    def by_one_hub(self, members: DataFrame) -> DataFrame:
+        """Each document meets the least hub of its lists; the lists that stay open."""
+        order = F.struct(F.xxhash64("id").alias("order"), "id")
+        hubs = members.groupBy("key").agg(F.min(order).alias("hub"))
+        least = members.join(hubs, "key").groupBy("id").agg(F.min("hub").alias("hub")).where(F.col("id") != F.col("hub.id"))
+        self.measure(least.select(F.col("hub.id").alias("a"), F.col("id").alias("b")))
+        return self.open(members, 0)
+
+    def by_hubs(self, left: DataFrame) -> DataFrame:
+        """Each list's hub meets the members of other components, with another hub every round while that closes lists."""
+        entries, turn = left.count(), 0
+        while entries:
+            turn += 1
+            other = F.col("id") != F.col("hub.id")
+            met = left.where(other & (F.col("component") != F.col("hub.component")))
+            self.measure(met.select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct())
+            left = self.open(left.where(other), turn)
+            before, entries = entries, left.count()
+            if entries > CLOSING * before:
+                break
+        return left
+
+    def by_blocks(self, left: DataFrame) -> None:
+        """All pairs of what is left of the lists; each document in its longest list first, which often covers the others."""
+        longest = self.scratch.write(left.groupBy("id").agg(F.min(F.struct((-F.col("size")).alias("size"), "key")).alias("in")))
+        once = left.join(longest, "id")
+        covered = once.groupBy("key").agg(F.min("in.key").alias("x"), F.max("in.key").alias("y")).where("x = y").select("key")
+        full = self.candidates.select("id", F.col("values").alias("shingles"))
+        for own in (once.where(F.col("in.key") == F.col("key")), left.join(covered, "key", "left_anti")):
+            lists = self.open(own, 0).drop("hub")
+            if not lists.isEmpty():
+                pairs = _dealt(lists.join(full, "id")).groupBy("key", "x", "y")
+                self.add(pairs.applyInPandas(_blocks(self.percent), "a long, b long").distinct())
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: a row for each row of docs.
 
-    Linked: 100 * intersection >= percent * union of the distinct shingles of lower-cased words (percent 85 or more). Null
-    and empty texts have no shingles and link with nothing. A null id is linked with nothing either, has no component and
-    is kept. Rows that repeat an id stand for one document, which carries the links of each row's text. An empty table
-    gives no rows; other columns are ignored.
+    Linked: 100 * intersection >= percent * union of the distinct shingles of lower-cased words (percent 85 or more), of
+    whole texts however long. Null and empty texts have no shingles and link with nothing. A null id is linked with nothing
+    either, has no component and is kept. Rows that repeat an id stand for one document, which carries the links of each
+    row's text. Of equal similarities none is preferred: every link counts. An empty table gives no rows; other columns are
+    ignored.
     """
     if percent < 85:
         raise ValueError("lists and bounds are laid out for 85 percent or more")
@@ -209,73 +247,32 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = documents(docs, id_col, text_col)
     sketches = scratch.write(map_texts(texts, _sketch, "doc_id long, n_shingles long, digest binary, sketch array<long>", _setup))
     able = sketches.where("digest IS NOT NULL AND doc_id IS NOT NULL")
-    classes = scratch.write(able.select("doc_id", "digest").join(able.groupBy("digest").agg(F.min("doc_id").alias("class_id")), "digest").select("doc_id", "class_id"))
+    least = able.groupBy("digest").agg(F.min("doc_id").alias("class_id"))
+    classes = scratch.write(able.select("doc_id", "digest").join(least, "digest").select("doc_id", "digest", "class_id"))
+    repeats = not able.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
     first = classes.where("doc_id = class_id").select("doc_id").distinct()
-    reps = scratch.write(able.join(first, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sketch"))
-
-    def runs(length: int):
-        last = F.size("sketch") - length
-        return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.xxhash64(F.slice("sketch", i + 1, length))))
-
-    none = F.array().cast("array<long>")
-    keys = F.concat(F.coalesce(runs(RUN), none), F.coalesce(F.when(F.col("n") <= SMALL, runs(SHORT_RUN)), none))
-    lists = reps.select("id", F.explode(F.array_distinct(keys)).alias("key"))
-    shared_keys = lists.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
-    listed = scratch.write(lists.join(shared_keys, "key"))
-    # lists of the same members tell the same: one of each stays, by 128 bits of their ids
-    alike = listed.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"))
-    one_each = alike.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key")
-    members = scratch.write(listed.join(one_each, "key").withColumn("near", F.array().cast("array<long>")))
-
-    sets = _Sets(texts, scratch)
-    linked = 100 * F.col("shared") >= percent * F.col("either")
-    sketch_of = lambda name, s: reps.select(F.col("id").alias(name), F.col("sketch").alias(s))
-    with_component = lambda df, found: df.drop("component").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    links = found = None
-    for _ in range(ROUNDS):
-        hubs = members.groupBy("key").agg(F.min("id").alias("hub"))
-        held = scratch.write(members.select("key", "id", "near").join(hubs, "key").where("id <> hub"))
-        met = held.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-        met = scratch.write(met)
-        sa, sb = (maybe_among(sketch_of(x, f"s{x}"), met.select(x), x) for x in "ab")
-        near = scratch.write(met.join(sa, "a").join(sb, "b").mapInPandas(_estimated(LEAST_RANGE), "a long, b long"))
-        measured = sets.measured(near)
-        new = measured.where(linked).select("a", "b")
-        links = new if links is None else links.unionByName(new)
-        found = labels(links, scratch)
-
-        # families: the documents around a hub, where some aren't linked to it
-        away = 1 - F.col("shared") / F.col("either")
-        kind = F.when(linked, LINKED).when(10 * F.col("shared") >= 7 * F.col("either"), NEAR).otherwise(FAR)
-        around = with_component(measured.select(F.col("a").alias("hub"), F.col("b").alias("id"), kind.alias("kind"), away.alias("away")), found)
-        bounds = around.where(F.col("kind") != FAR).groupBy("hub").agg(
-            F.min(F.when(F.col("kind") == NEAR, F.col("away"))).alias("nearest"), F.count_if(F.col("kind") == NEAR).alias("n_near"), F.min("component").alias("least"), F.max("component").alias("most")
-        ).where("n_near > 0 AND least < most")
-        open_ = around.where(F.col("kind") != FAR).join(bounds, "hub").where((F.col("kind") == NEAR) | (F.col("away") >= F.col("nearest") - (1 - percent / 100) - 1e-9))
-        sizes = open_.groupBy("hub").agg(F.count("*").alias("size"), F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("hub", "size")
-        family = scratch.write(open_.select("hub", "id", "kind", "away", "component").join(sizes, "hub"))
-        if not family.isEmpty():
-            own = sets.of(family)
-            more = scratch.write(_dealt(family.join(own, "id"), "hub", "kind", "away", "shingles").groupBy("hub", "x", "y").applyInPandas(_family(percent), "a long, b long"))
-            scratch.drop(own)
-            links = links.unionByName(more)
-
-        # the lists without their hubs and what is linked to these; what is near the hub is settled among itself
-        left = held.join(around.select("hub", "id", "kind"), ["hub", "id"], "left").where(F.coalesce("kind", F.lit(FAR)) != LINKED)
-        near_hub = F.when(F.col("kind") == NEAR, F.col("hub"))
-        left = scratch.write(with_component(left.select("key", "id", F.coalesce(near_hub, "id").alias("settled"), F.when(near_hub.isNull(), F.col("near")).otherwise(F.concat("near", F.array("hub"))).alias("near")), found))
-        open_lists = left.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.min("settled").alias("s0"), F.max("settled").alias("s1"), F.count("*").alias("size")).where("least < most AND s0 < s1")
-        members = scratch.write(left.drop("settled").join(open_lists.select("key", "size"), "key"))
-        if members.isEmpty():
-            break
-    else:
-        rest = members.select("key", "size", "id", "component", "near").join(sets.of(members), "id")
-        more = scratch.write(_dealt(rest, "key", "near", "shingles").groupBy("key", "x", "y").applyInPandas(_blocks(percent), "a long, b long").distinct())
-        links = links.unionByName(more)
-    found = components(links, scratch)
-
-    grouped = classes.select("doc_id", "class_id").join(found.withColumnRenamed("node", "class_id"), "class_id", "left")
-    named = grouped.groupBy("doc_id").agg(F.min(F.coalesce("component", "class_id")).alias("component_id"))
+    reps = able.join(first, "doc_id", "left_semi")
+    reps = reps.dropDuplicates(["doc_id", "digest"]) if repeats else reps
+    reps = scratch.write(reps.select(F.col("doc_id").alias("id"), F.xxhash64("digest").alias("part"), F.col("n_shingles").cast("int").alias("n"), F.col("sketch").alias("values")))
+
+    share = F.ceil(F.col("n") * percent / 100).cast("int")
+    lists = rare_lists(reps, F.when(F.col("n") <= WHOLE, share).otherwise(SHARED), scratch)
+    grouped = classes.select("doc_id", "class_id")
+    if not lists.isEmpty():
+        listed = scratch.write(lists.select(F.col("id").alias("doc_id")).distinct())
+        own = map_texts(among(texts, listed), _whole, "id long, values array<long>", _setup).withColumn("part", F.xxhash64("values"))
+        own = own.dropDuplicates(["id", "part"]) if repeats else own
+        sets = scratch.write(own.select("id", "part", F.size("values").alias("n"), "values", F.slice("values", 1, SKETCH).alias("sketch")))
+        links = _Links(sets, percent, scratch)
+        left = links.by_hubs(links.by_one_hub(lists))
+        if not left.isEmpty():
+            open_ = rare_lists(sets.join(left.select("id").distinct(), "id", "left_semi"), share, scratch)
+            left = links.by_one_hub(open_)
+            if not left.isEmpty():
+                links.by_blocks(left)
+        found = components(links.union(), scratch).withColumnRenamed("node", "class_id")
+        grouped = grouped.join(found, "class_id", "left").withColumn("class_id", F.coalesce("component", "class_id"))
+    named = grouped.groupBy("doc_id").agg(F.min("class_id").alias("component_id"))
     out = sketches.select("doc_id", "n_shingles").join(named, "doc_id", "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -69,6 +69,45 @@ def test_short_sets_that_differ_in_one_shingle(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == brute(rows)
 
 
+def compared(spark, rows):
+    got = near_dedup(spark.createDataFrame([(i, t, "") for i, t in rows], SCHEMA)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == brute(rows)
+
+
+def test_large_group_of_near_copies(spark):
+    """Each has two words of its own, so that most pairs are linked and some aren't."""
+    r = random.Random(11)
+    base = r.choices([f"w{k}" for k in range(300)], k=100)
+    rows = []
+    for i in range(400):
+        copy = list(base)
+        for _ in range(r.choice([0, 1, 2, 3])):
+            copy[r.randrange(100)] = f"own{i}"
+        rows.append((i, " ".join(copy)))
+    compared(spark, rows)
+
+
+def test_passage_shared_by_unlike_texts(spark):
+    """A passage makes from half to nearly all of each text; pairs are from unlike to just below or above the similarity."""
+    r = random.Random(12)
+    passage = r.choices([f"w{k}" for k in range(300)], k=90)
+    rows = []
+    for i in range(700):
+        own = [f"own{i}-{k}" for k in range(r.choice([90, 45, 30, 14, 9, 7, 5, 3]))]
+        rows.append((i, " ".join([*own, *passage] if i % 2 else [*passage, *own])))
+    compared(spark, rows)
+
+
+def test_large_ids_long_texts_and_ids_with_several_texts(spark):
+    long = " ".join(f"w{k}" for k in range(100_000))
+    two = " ".join(f"v{k}" for k in range(60))
+    three = " ".join(f"u{k}" for k in range(60))
+    rows = [(2**60 + 1, long), (2**60 + 3, long + " more"), (None, long), (5, two), (5, three), (5, three), (6, two + " x"), (7, three + " x"), (8, " " * 1_000_000), (9, "a" * 1_000_000)]
+    got = near_dedup(spark.createDataFrame([(i, t, "") for i, t in rows], SCHEMA)).collect()
+    assert {r.doc_id: r.component_id for r in got} == {2**60 + 1: 2**60 + 1, 2**60 + 3: 2**60 + 1, None: None, 5: 5, 6: 5, 7: 5, 8: 8, 9: 9}
+    assert len(got) == len(rows)
+
+
 def test_empty_table_and_null_id(spark):
     assert near_dedup(spark.createDataFrame([], SCHEMA)).count() == 0
     got = near_dedup(spark.createDataFrame([(None, "a b", ""), (1, "a b", ""), (1, "a b", "")], SCHEMA)).collect()
