@@ -13,13 +13,12 @@ import hashlib
 import heapq
 import json
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
-import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
-from keyloom.llm.common import documents
+from keyloom.llm.common import documents, map_slices, map_texts
 
 #: Characters of texts that are encoded together, of distinct words that one index holds, and words that a task remembers.
 TEXT_CHARS, INDEX_CHARS, REMEMBERED = 1_000_000, 300_000, 400_000
@@ -162,46 +161,46 @@ def encode_words(vocabulary: Vocabulary, words: list[str]) -> dict[str, list[int
     return {w: [x for x in symbol[s : e - 1] if x != -2] for w, s, e in zip(words, starts, ends, strict=True)}
 
 
-def _slices(frames: Iterable[pd.DataFrame]) -> Iterator[tuple[list, list[str]]]:
-    """Ids and texts, so many documents at a time that memory goes with the longest text and not with the batch."""
-    for frame in frames:
-        ids, texts, size = [], [], 0
-        for doc_id, text in zip(frame["doc_id"].tolist(), frame["text"], strict=True):
-            ids.append(doc_id)
-            texts.append(text)
-            size += len(text)
-            if size >= TEXT_CHARS:
-                yield ids, texts
-                ids, texts, size = [], [], 0
-        if ids:
-            yield ids, texts
-
-
-def _batches(vocabulary: Vocabulary, frames: Iterable[pd.DataFrame]) -> Iterator[tuple[list, list[list[int]]]]:
-    """Ids of documents and their token ids, slice by slice; the index of a slice covers its words not yet known."""
-    known: dict[str, list[int]] = {}
-    for doc_ids, texts in _slices(frames):
-        cut = [vocabulary.pieces(t) for t in texts]
-        if len(known) > REMEMBERED:
-            known = {}
-        new: dict[str, None] = {}
-        size = 0
-        for words in cut:
-            for w in words:
-                if w not in known and w not in new and w.__class__ is str:
-                    new[w] = None
-                    size += len(w)
-            if size > INDEX_CHARS:
-                known |= encode_words(vocabulary, list(new))
-                new, size = {}, 0
-        known |= encode_words(vocabulary, list(new)) if new else {}
-        ids = []
-        for words in cut:
-            one: list[int] = []
-            for w in words:
-                one += known[w] if w.__class__ is str else [w]
-            ids.append(one)
-        yield doc_ids, ids
+def _slices(doc_ids: list, texts: list[str]) -> Iterator[tuple[list, list[str]]]:
+    """So many documents at a time that memory goes with the longest text and not with the batch."""
+    at = size = 0
+    for k, text in enumerate(texts):
+        size += len(text)
+        if size >= TEXT_CHARS or k == len(texts) - 1:
+            yield doc_ids[at : k + 1], texts[at : k + 1]
+            at, size = k + 1, 0
+
+
+class _Encoder:
+    """A task's vocabulary and the words that it remembers."""
+
+    def __init__(self, path: str):
+        self.vocabulary = vocabulary_at(path)
+        self.known: dict[str, list[int]] = {}
+
+    def encoded(self, doc_ids: list, texts: list[str]) -> Iterator[tuple[int | None, list[int]]]:
+        """Document and token ids; the index of a slice covers its words not yet known."""
+        for ids, some in _slices(doc_ids, texts):
+            cut = [self.vocabulary.pieces(t) for t in some]
+            if len(self.known) > REMEMBERED:
+                self.known = {}
+            known = self.known
+            new: dict[str, None] = {}
+            size = 0
+            for words in cut:
+                for w in words:
+                    if w not in known and w not in new and w.__class__ is str:
+                        new[w] = None
+                        size += len(w)
+                if size > INDEX_CHARS:
+                    known |= encode_words(self.vocabulary, list(new))
+                    new, size = {}, 0
+            known |= encode_words(self.vocabulary, list(new)) if new else {}
+            for doc_id, words in zip(ids, cut, strict=True):
+                one: list[int] = []
+                for w in words:
+                    one += known[w] if w.__class__ is str else [w]
+                yield doc_id, one
 
 
 def _sha(text: str) -> str:
@@ -209,41 +208,32 @@ def _sha(text: str) -> str:
 
 
 def encode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, ids array<int>: a row for each row of docs, whole texts; null and empty texts give no ids. No special
-    tokens are added; a special token's own string in a text becomes that token. Other columns are ignored. The
-    vocabulary file has to be at this path on every executor."""
+    """doc_id, ids array<int>: a row for each row of docs, repeated and null ids included; whole texts, however long, null and
+    empty ones give no ids. No special tokens are added; a special token's own string in a text becomes that token. Of
+    pairs of one rank the leftmost is merged first. An empty table gives no rows; other columns are ignored. The vocabulary
+    file has to be at this path on every executor."""
 
-    def run(frames):
-        for doc_ids, ids in _batches(vocabulary_at(vocabulary_path), frames):
-            yield pd.DataFrame({"doc_id": doc_ids, "ids": ids})
+    def rows(encoder, doc_ids, texts):
+        return encoder.encoded(doc_ids, texts)
 
-    return documents(docs, id_col, text_col).mapInPandas(run, "doc_id long, ids array<int>")
+    return map_slices(documents(docs, id_col, text_col), rows, "doc_id long, ids array<int>", lambda: _Encoder(vocabulary_path))
 
 
 def decode(encoded: DataFrame, vocabulary_path: str, ids_col: str = "ids") -> DataFrame:
     """doc_id, text of rows with token ids, special tokens included; null ids as none."""
 
-    def run(frames):
-        vocabulary = vocabulary_at(vocabulary_path)
-        for f in (frame for frame in frames if len(frame)):
-            yield pd.DataFrame({"doc_id": f["doc_id"], "text": [vocabulary.decode([] if x is None else list(x)) for x in f[ids_col]]})
+    def row(vocabulary, doc_id, ids):
+        return doc_id, vocabulary.decode(ids or [])
 
-    return encoded.select("doc_id", ids_col).mapInPandas(run, "doc_id long, text string")
+    return map_texts(encoded.select("doc_id", ids_col), row, "doc_id long, text string", lambda: vocabulary_at(vocabulary_path))
 
 
 def round_trip(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: encodes, decodes, and keeps digests of both in one pass."""
-
-    def run(frames):
-        vocabulary = vocabulary_at(vocabulary_path)
-        for doc_ids, ids in _batches(vocabulary, frames):
-            yield pd.DataFrame(
-                {
-                    "doc_id": doc_ids,
-                    "n_tokens": [len(x) for x in ids],
-                    "ids_sha256": [_sha(" ".join(map(str, x))) for x in ids],
-                    "decoded_sha256": [_sha(vocabulary.decode(x)) for x in ids],
-                }
-            )
-
-    return documents(docs, id_col, text_col).mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: encodes, decodes, and keeps digests of both in one pass. Rows as encode."""
+
+    def rows(encoder, doc_ids, texts):
+        for doc_id, ids in encoder.encoded(doc_ids, texts):
+            yield doc_id, len(ids), _sha(" ".join(map(str, ids))), _sha(encoder.vocabulary.decode(ids))
+
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return map_slices(documents(docs, id_col, text_col), rows, schema, lambda: _Encoder(vocabulary_path))

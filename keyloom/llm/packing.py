@@ -1,37 +1,40 @@
 """Packing of token sequences as a cutting-stock problem, solved by column generation.
 
-One pass over the texts makes the token ids, cuts every document into full pieces and one rest, and numbers the pieces
-of each length class within its task. Only the histogram of length classes, at most `length / GRAIN` rows, comes to the
-driver: there a linear program over patterns of lengths is solved, whose columns a knapsack dynamic program prices. The
-rounded-down patterns and a best-fit packing of the few that are left make the plan, some thousand rows whatever the
-input. Pieces, ranked within their class, meet the plan in a broadcast join; a window over each sequence, at most
-`length` pieces, gives the offsets.
+One pass over the texts makes the token ids and cuts every document into full pieces and one rest. Pieces are ranked within
+their length class by document and start, which a range exchange and a sort within its partitions do. Only the histogram of
+length classes, some 300 rows at 1,024 tokens, comes to the driver: there a linear program over patterns of lengths is solved,
+whose columns a knapsack dynamic program prices. The rounded-down patterns and a best-fit packing of the few that are left
+make the plan, some thousand rows whatever the input. Ranked pieces meet the plan in a broadcast join; a window over each
+sequence, at most `length` pieces, gives the offsets.
 """
 
 from __future__ import annotations
 
 import base64
+import functools
+import itertools
+import re
 import zlib
 from collections import Counter
+from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import Scratch, documents
+from keyloom.llm.common import Scratch, documents, map_slices
 
-#: Tokens of a length class: classes are 1-4, 5-8, ... tokens.
-GRAIN = 4
-#: The linear program is left when it is proven to be within this share of its optimum.
-GAP = 0.0005
+#: Pieces of up to EXACT tokens have a length class each; longer ones share it with up to GRAIN - 1 shorter lengths.
+EXACT, GRAIN = 64, 4
+#: The linear program is left when it is proven to be within this share of its optimum; columns that one pricing may give.
+GAP, COLUMNS = 0.0005, 40
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, class int, place long"
 
 
-def knapsack(value: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, Counter]:
-    """The best total value that fits, any number of each size, and how many of each index."""
+def knapsack(value: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, Callable[[int], Counter]]:
+    """The best total value within each capacity, any number of each size, and what is picked for one."""
     best, chosen = np.zeros(capacity + 1), np.full(capacity + 1, -1)
     for w in range(1, capacity + 1):
         fit = np.searchsorted(sizes, w, "right")
@@ -41,54 +44,96 @@ def knapsack(value: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float
             k = int(total.argmax())
             if total[k] > best[w]:
                 best[w], chosen[w] = total[k], k
-    picked: Counter = Counter()
-    w = capacity
-    while w > 0:
-        if chosen[w] < 0:
-            w -= 1
-        else:
-            picked[int(chosen[w])] += 1
-            w -= int(sizes[chosen[w]])
-    return float(best[capacity]), picked
+
+    def picked(w: int) -> Counter:
+        out: Counter = Counter()
+        while w > 0:
+            if chosen[w] < 0:
+                w -= 1
+            else:
+                out[int(chosen[w])] += 1
+                w -= int(sizes[chosen[w]])
+        return out
+
+    return best, picked
+
+
+def first_columns(sizes: np.ndarray, need: np.ndarray, capacity: int) -> list[dict[int, int]]:
+    """A basis to start from: patterns filled with the longest first, each used until one of its sizes runs out."""
+    left, alive, out = need.copy(), np.ones(len(sizes), bool), []
+    while alive.any():
+        room, pattern = capacity, {}
+        for i in np.flatnonzero(alive)[::-1].tolist():
+            if sizes[i] <= room:
+                pattern[i] = int(min(room // sizes[i], max(1, np.floor(left[i]))))
+                room -= pattern[i] * int(sizes[i])
+        times = min(left[i] / k for i, k in pattern.items())
+        ended = min(pattern, key=lambda i: left[i] / pattern[i])
+        for i, k in pattern.items():
+            left[i] = max(0.0, left[i] - k * times)
+        alive[ended] = False
+        out.append(pattern)
+    return out
 
 
 def patterns_by_columns(demand: dict[int, int], capacity: int, most: int = 20_000) -> list[tuple[dict[int, int], float]]:
     """(size -> copies, times used) of a solution of: fewest sequences that cover the demand, times may be fractions.
 
-    Revised simplex over the pattern columns. It stops within GAP of the optimum by Farley's bound; `most` pivots only
-    bound the time, as any basis on the way is a cover.
+    Revised simplex over the pattern columns. It stops within GAP of the optimum, by Farley's bound or by the total length;
+    `most` pivots only bound the time, as any basis on the way is a cover.
     """
     sizes = np.array(sorted(demand))
     need = np.array([demand[s] for s in sizes], float)
+    columns: list[dict[int, int] | None] = list(first_columns(sizes, need, capacity))
     m = len(sizes)
-    columns: list[dict[int, int] | None] = [{i: capacity // int(s)} for i, s in enumerate(sizes)]
-    inverse = np.diag([1.0 / (capacity // int(s)) for s in sizes])
-    cost, times = np.ones(m), inverse @ need
-    for _ in range(most):
-        price = cost @ inverse
-        low = int(price.argmin())
-        if price[low] < -1e-9:
-            entering, value, column = None, 0.0, np.zeros(m)
-            column[low] = -1.0
-        else:
-            best, picked = knapsack(price, sizes, capacity)
-            if best <= 1 + 1e-9 or (total := float(cost @ times)) - float(price @ need) / best <= GAP * total:
-                break
-            entering, value, column = dict(picked), 1.0, np.zeros(m)
-            column[list(picked)] = list(picked.values())
+    matrix = np.zeros((m, m))
+    for j, pattern in enumerate(columns):
+        matrix[list(pattern), j] = list(pattern.values())
+    inverse, cost = np.linalg.inv(matrix), np.ones(m)
+    times = np.maximum(inverse @ need, 0)
+    bound, pivots = float(sizes @ need) / capacity, 0
+
+    def enter(column: np.ndarray, value: float, pattern: dict[int, int] | None) -> bool:
+        nonlocal times
         along = inverse @ column
         able = np.flatnonzero(along > 1e-9)
         if not len(able):
-            break
+            return False
         leaving = able[(times[able] / along[able]).argmin()]
         step = times[leaving] / along[leaving]
-        times -= step * along
+        times = np.maximum(times - step * along, 0)
         times[leaving] = step
-        np.maximum(times, 0, out=times)
         row = inverse[leaving] / along[leaving]
-        inverse -= np.outer(along, row)
+        np.subtract(inverse, np.outer(along, row), out=inverse)
         inverse[leaving] = row
-        columns[leaving], cost[leaving] = entering, value
+        columns[leaving], cost[leaving] = pattern, value
+        return True
+
+    while pivots < most:
+        price = cost @ inverse
+        if price.min() < -1e-9:  # more of a size than needed costs nothing
+            column = np.zeros(m)
+            column[int(price.argmin())] = -1.0
+            pivots += 1
+            if not enter(column, 0.0, None):
+                break
+            continue
+        best, picked = knapsack(price, sizes, capacity)
+        bound = max(bound, float(price @ need) / max(best[capacity], 1.0))
+        if best[capacity] <= 1 + 1e-9 or float(cost @ times) - bound <= GAP * bound:
+            break
+        worth = price + best[capacity - sizes]
+        entered = 0
+        for i in np.argsort(-worth, kind="stable")[:COLUMNS].tolist():
+            pattern = picked(capacity - int(sizes[i]))
+            pattern[i] += 1
+            column = np.zeros(m)
+            column[list(pattern)] = list(pattern.values())
+            if float(cost @ inverse @ column) > 1 + 1e-9 and enter(column, 1.0, dict(pattern)):
+                entered += 1
+        pivots += entered
+        if not entered:
+            break
     return [({int(sizes[i]): k for i, k in c.items()}, float(x)) for c, x in zip(columns, times, strict=True) if c and x > 1e-9]
 
 
@@ -121,59 +166,81 @@ def plan(demand: dict[int, int], capacity: int) -> list[tuple[dict[int, int], in
     return out + best_fit({s: n for s, n in left.items() if n}, capacity)
 
 
-def ranks_file(path: str, special: dict[str, int]):
-    """An encoder of a rank file, the same ids as the vocabulary file's by the tokenizers library, in less time."""
+#: White space of this length takes the rank file's encoder too much stack; the library encodes such texts.
+LONG_BLANK = re.compile(r"\s{2000}")
+
+
+@functools.lru_cache(maxsize=4)
+def encoder(vocabulary_path: str, ranks_path: str | None) -> Callable[[str], list[int]]:
+    """Ids of a text by the tokenizers library; with the same vocabulary's rank file, in less time. Read once a worker."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(vocabulary_path)
+    by_library = lambda text: library.encode(text, add_special_tokens=False).ids
+    library.no_truncation()
+    library.no_padding()
+    if ranks_path is None:
+        return by_library
     import public_tokenizers
     import tiktoken
 
-    with open(path, "rb") as f:
+    with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+    special = {t.content: i for i, t in library.get_added_tokens_decoder().items()}
+    fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+    return lambda text: by_library(text) if LONG_BLANK.search(text) else fast.encode(text, allowed_special="all")
+
+
+def class_of(length: int) -> int:
+    """The length that the linear program counts for a piece."""
+    return length if length <= EXACT else -(-length // GRAIN) * GRAIN
 
 
-def pieces(docs: DataFrame, ranks_path: str, length: int, end_id: int, special: dict[str, int]) -> DataFrame:
-    """A row for each piece: full pieces from the start, then the rest; class and place for ranking."""
+def pieces(docs: DataFrame, vocabulary_path: str, ranks_path: str | None, length: int, end_id: int) -> DataFrame:
+    """A row for each piece: full pieces from the start, then the rest; part and place tell rows that are alike apart."""
 
-    def run(frames):
-        encoder, part, places = ranks_file(ranks_path, special), TaskContext.get().partitionId(), Counter()
-        for f in frames:
-            rows = []
-            for doc_id, text in zip(f["doc_id"].tolist(), f["text"], strict=True):
-                ids = np.array([*encoder.encode(text, allowed_special="all"), end_id], "<u4")
-                for start in range(0, len(ids), length):
-                    piece = ids[start : start + length]
-                    kind = -(-len(piece) // GRAIN)
-                    rows.append((doc_id, start, len(piece), zlib.crc32(piece.tobytes()), len(ids), part, kind, places[kind]))
-                    places[kind] += 1
-            if rows:
-                yield pd.DataFrame(rows, columns=[c.split()[0] for c in PIECES.split(", ")])
+    def rows(state, doc_ids, texts):
+        encode, part, places = state
+        for doc_id, text in zip(doc_ids, texts, strict=True):
+            ids = np.array([*encode(text), end_id], "<u4")
+            for start in range(0, len(ids), length):
+                piece = ids[start : start + length]
+                yield doc_id, start, len(piece), zlib.crc32(piece.tobytes()), len(ids), part, class_of(len(piece)), next(places)
 
-    return docs.mapInPandas(run, PIECES)
+    return map_slices(docs, rows, PIECES, lambda: (encoder(vocabulary_path, ranks_path), TaskContext.get().partitionId(), itertools.count()))
 
 
-def pack(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", length: int = 1024, end_id: int = 0, special: dict[str, int] | None = None) -> DataFrame:
+def pack(
+    docs: DataFrame, vocabulary_path: str, ranks_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", length: int = 1024, end_id: int = 0
+) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset: a row for each piece.
 
-    A document is its token ids and then end_id, so that null and empty texts are one token. Each id lies in one piece,
-    pieces of a sequence follow each other without gaps from offset 0, and no sequence is longer than `length`, a multiple
-    of GRAIN. Rows that repeat an id are packed each for itself. An empty table gives no rows; other columns are ignored.
+    A document is the ids of its whole text by the vocabulary file, and then end_id, so that null and empty texts are one
+    token. ranks_path: the same vocabulary as a rank file, which only takes less time. Each id lies in one piece, pieces of a
+    sequence follow each other without gaps from offset 0, and no sequence is longer than `length`, a multiple of GRAIN.
+    Pieces of a class are ranked by document, start and ids, whatever files and tasks they come from. Rows that repeat an id
+    are packed each for itself, null ids too. An empty table gives no rows; other columns are ignored.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "pack")
-    cut = scratch.write(pieces(documents(docs, id_col, text_col), ranks_path, length, end_id, special or {}))
-    counts = scratch.write(cut.groupBy("class", "part").agg(F.count("*").alias("n")))
-    demand = {r["class"]: r["n"] for r in counts.groupBy("class").agg(F.sum("n").alias("n")).collect()}  # length / GRAIN rows at most
+    cut = scratch.write(pieces(documents(docs, id_col, text_col), vocabulary_path, ranks_path, length, end_id))
+    order = ["class", "doc_id", "start", "ids_crc32", "doc_tokens", "part", "place"]
+    at = F.monotonically_increasing_id()
+    ranged = scratch.write(cut.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", at))
+    ranged = ranged.withColumn("chunk", F.shiftright("at", 33))
+    counts = scratch.write(ranged.groupBy("class", "chunk").agg(F.count("*").alias("n"), F.min("at").alias("first_at")))
+    demand = {r["class"]: r["n"] for r in counts.groupBy("class").agg(F.sum("n").alias("n")).collect()}  # a row a class
     rows, first, sequences = [], Counter(), 0
-    for pattern, times in plan(demand, length // GRAIN) if demand else []:
+    for pattern, times in plan(demand, length) if demand else []:
         for kind, copies in pattern.items():
             rows.append((kind, first[kind], first[kind] + copies * times, times, sequences))
             first[kind] += copies * times
         sequences += times
     planned = spark.createDataFrame(rows, "class int, first long, past long, times long, sequence long")
-    before = counts.select("class", "part", (F.sum("n").over(Window.partitionBy("class").orderBy("part")) - F.col("n")).alias("before"))
-    ranked = cut.join(before, ["class", "part"]).withColumn("rank", F.col("before") + F.col("place"))
+    before = F.sum("n").over(Window.partitionBy("class").orderBy("chunk")) - F.col("n")
+    ranked = ranged.join(counts.select("class", "chunk", (before - F.col("first_at")).alias("shift")), ["class", "chunk"])
+    ranked = ranked.withColumn("rank", F.col("at") + F.col("shift"))
     at = ranked.join(F.broadcast(planned), (ranked["class"] == planned["class"]) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("past")))
     at = at.withColumn("sequence_id", F.col("sequence") + (F.col("rank") - F.col("first")) % F.col("times"))
     in_sequence = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "doc_id", "start", "rank")
-    return at.withColumn("offset", F.sum("length").over(in_sequence.rowsBetween(Window.unboundedPreceding, 0)) - F.col("length")).select(
-        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
-    )
+    offset = F.sum("length").over(in_sequence.rowsBetween(Window.unboundedPreceding, 0)) - F.col("length")
+    return at.withColumn("offset", offset).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")

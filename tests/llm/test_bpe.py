@@ -36,3 +36,13 @@ def test_as_the_library(spark, name):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert bpe.round_trip(docs, public_tokenizers.path("word_bpe_49k.json")).count() == 0
+
+
+def test_odd_rows(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    lib = tokenizers.Tokenizer.from_file(path)
+    texts = [" " * 1_000_000, "ab" * 100_000, "!?" * 100_000, "\n" * 100_000 + "x", "x", "x"]
+    rows = [(2**60 + 1 + 2 * i, t) for i, t in enumerate(texts)] + [(None, "null"), (None, "null"), (7, "one"), (7, "one")]
+    got = bpe.encode(spark.createDataFrame(rows, "doc_id long, text string"), path).collect()
+    want = sorted((str(i), lib.encode(t, add_special_tokens=False).ids) for i, t in rows)
+    assert sorted((str(r.doc_id), list(r.ids)) for r in got) == want

@@ -12,6 +12,8 @@ public_tokenizers = pytest.importorskip("public_tokenizers")
 
 from keyloom.llm import packing  # noqa: E402
 
+PATHS = [public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")]
+
 
 def check(rows, docs, length=1024):
     lib = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
@@ -42,13 +44,26 @@ def test_pack(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     docs += [(10_000, None), (10_001, ""), (10_002, "<|endoftext|> x"), (10_003, "word " * 5000), (10_004, "é🙂 " * 700)]
     frame = spark.createDataFrame([(i, t, 1) for i, t in docs], "doc_id long, text string, length int").repartition(5)
-    rows = packing.pack(frame, public_tokenizers.path("byte_bpe_50k.tiktoken"), special={"<|endoftext|>": 50256}).collect()
+    rows = packing.pack(frame, *PATHS).collect()
     assert check(rows, docs) < 0.03
 
 
+def test_odd_rows(spark):
+    """Null and large ids, repeated rows, very long texts of one kind of character; the same plan from other files."""
+    texts = [" " * 1_000_000, "a" * 1_000_000, "\n" * 50_000 + "x", "x" + " " * 30_000 + "y", None, ""]
+    docs = [(2**60 + 1 + 2 * i, t) for i, t in enumerate(texts)]
+    rows = [*docs, (None, "no id"), (None, "no id"), (7, "twice"), (7, "twice"), (7, "thrice")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = packing.pack(frame.repartition(4), *PATHS).collect()
+    check(got, docs)
+    assert sum(r.doc_id is None for r in got) == 2 and sum(r.doc_id == 7 for r in got) == 3
+    other = packing.pack(frame.repartition(2).sortWithinPartitions("text"), *PATHS).collect()
+    assert sorted(map(str, got)) == sorted(map(str, other))
+
+
 def test_empty(spark):
     frame = spark.createDataFrame([], "doc_id long, text string")
-    assert packing.pack(frame, public_tokenizers.path("byte_bpe_50k.tiktoken")).count() == 0
+    assert packing.pack(frame, *PATHS).count() == 0
 
 
 def test_plan_holds_all_and_is_near_the_bound():
