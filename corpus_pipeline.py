@@ -5,11 +5,13 @@ Its rows can't be had in SQL, so ORACLE_SQL is None; tests hold the stages again
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyloom.llm import exact_dedup, language, near_dedup, packing, secrets
-from keyloom.llm.common import Scratch
+from keyloom.llm.common import Scratch, among, without
 from keyloom.llm.queries import vocabulary
 from keyloom.session import table
 
@@ -20,16 +22,20 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the document with the largest id stays, once; a null id is below all others."""
-    key = lambda sha: F.concat_ws(":", sha, F.col("doc_id").cast("string")).alias("__key")
-    gone = exact_dedup.exact_dedup(docs).where("NOT kept").select(key(F.col("text_sha256")))
+    """Of equal texts, the document with the largest id stays, once; a null id is below all others. Only rows whose id and
+    text are dropped or repeated are shuffled."""
+    scratch, name = Scratch(spark, "copies"), f"key_{uuid.uuid4().hex}"
+    key = lambda sha: F.concat_ws(":", sha, F.col("doc_id").cast("string")).alias(name)
+    decided = exact_dedup.exact_dedup(docs).groupBy(key(F.col("text_sha256"))).agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n"))
+    odd = scratch.write(decided.where("NOT kept OR n > 1"))
     keyed = docs.select("*", key(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)))
-    return keyed.join(gone, "__key", "left_anti").dropDuplicates(["__key"]).select(docs.columns)
+    again = among(keyed, odd.where("kept").select(name), name).dropDuplicates([name])
+    return without(keyed, odd.select(name), name).unionByName(again).select(docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies, the document with the smallest id stays."""
-    return docs.join(near_dedup.near_dedup(docs).where("NOT kept").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    return without(docs, near_dedup.near_dedup(docs).where("NOT kept").select("doc_id"))
 
 
 def secret_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,10 +46,16 @@ def secret_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents, by sequence and offset."""
-    return packing.pack(docs, vocabulary("byte_bpe_50k.tiktoken"), special={"<|endoftext|>": 50256})
+    return packing.pack(docs, vocabulary("byte_bpe_50k.json"), vocabulary("byte_bpe_50k.tiktoken"))
 
 
-STAGES = [("language", languages), ("exact_dedup", exact_copies), ("near_dedup", near_copies), ("secrets", secret_spans), ("packing", packed)]
+STAGES = [
+    ("language", languages),
+    ("exact_dedup", exact_copies),
+    ("near_dedup", near_copies),
+    ("secrets", secret_spans),
+    ("packing", packed),
+]
 ORACLE_SQL = None
 
 
