@@ -12,8 +12,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-#: Rows that a task turns into Python results at a time.
-SLICE = 500
+#: Rows that a task turns into Python results at a time, and the size of a batch that goes to Python.
+SLICE, BATCH = 500, "4m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by bytes, unless the session does so itself: whole texts are long, and a worker holds a batch
+    several times over."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == "67108864b":  # Spark's own default
+        spark.conf.set(key, BATCH)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,6 +43,7 @@ class Scratch:
     needs its last tables, so what is left is dropped when the session's context ends."""
 
     def __init__(self, spark: SparkSession, name: str):
+        small_batches(spark)
         self.spark, self.top = spark, f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self.paths: dict[int, str] = {}
         self._keep: list[DataFrame] = []  # ids stay unique while the frames live
@@ -58,6 +67,7 @@ class Scratch:
 
 def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: str) -> DataFrame:
     """doc_id and text, null text as empty, and the named columns: others, whatever their names, stay out."""
+    small_batches(docs.sparkSession)
     return docs.select(
         F.col(f"`{id_col}`").cast("long").alias("doc_id"),
         F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"),

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import documents, held_out, map_texts
+from keyloom.llm.common import documents, held_out, map_texts, small_batches
 
 BINS = 2048
 #: Families of language codes; a code that is in none is a family of its own.
@@ -33,6 +33,8 @@ FAMILIES = {
 }
 FAMILY = {code: family for family, codes in FAMILIES.items() for code in codes.split()}
 UNKNOWN = "und"
+#: Bits of a hash that number its slices.
+SLICE_BITS = 14
 
 
 def _letters() -> np.ndarray:
@@ -127,11 +129,23 @@ class Model:
         return lang, p * q
 
 
+def least_of_each(ids: DataFrame, most: int) -> DataFrame:
+    """`most` rows of each language at most, the least by a hash of the id. Counts by slice of the hash tell how far it has to
+    be read, so that only some thousand rows of a language meet in one task, whatever its share."""
+    slices = ids.withColumn("hash", F.xxhash64("doc_id")).withColumn("slice", F.shiftrightunsigned("hash", 64 - SLICE_BITS))
+    counts = slices.groupBy("lang", "slice").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("lang").orderBy("slice")) - F.col("n")
+    last = counts.withColumn("before", before).where(F.col("before") < most).groupBy("lang").agg(F.max("slice").alias("last"))
+    few = slices.join(F.broadcast(last), "lang").where("slice <= last")  # a row a language, of which the model holds all pairs
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("slice", "hash", "doc_id"))
+    return few.withColumn("place", place).where(F.col("place") <= most).select("doc_id", "lang")
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 500) -> Model | None:
     """A model from `per_lang` rows a language at most, the least by a hash of their id, of those not held out."""
-    ids = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{lang_col}`").alias("lang")).where(~held_out() & F.col("lang").isNotNull())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = ids.withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_lang).select("doc_id", "lang")
+    ids = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
+    ids = ids.where(~held_out() & F.col("lang").isNotNull())
+    chosen = least_of_each(ids, per_lang)
     texts = documents(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "lang")  # bounded: per_lang rows a language
     rows = map_texts(
         texts,
@@ -149,8 +163,9 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """doc_id, held_out, lang_pred, score: a row for each row of docs, by whole texts only.
 
     lang_pred is a learned language or `und`, score 0, if the text is null or has no letter, or if nothing was to be learned
-    from. score is the family's probability times the language's within it. held_out is null for a null id. An empty table
-    gives no rows; other columns are ignored.
+    from. score is the family's probability times the language's within it; of languages with equal votes the one with the
+    higher sum of probabilities wins, then the first by name. held_out is null for a null id. Rows that repeat an id are
+    judged each for itself. An empty table gives no rows; other columns are ignored.
     """
     model = fit(docs, id_col, text_col, lang_col, per_lang)
 
@@ -168,6 +183,7 @@ def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     Rejected are null texts, texts without letters, and, where nothing was to be learned from, all.
     """
     model = fit(docs, id_col, text_col, lang_col, per_lang)
+    small_batches(docs.sparkSession)
 
     def told(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         letters = _letters()

@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 import functools
 import itertools
+import json
 import re
 import zlib
 from collections import Counter
@@ -173,12 +174,16 @@ LONG_BLANK = re.compile(r"\s{2000}")
 @functools.lru_cache(maxsize=4)
 def encoder(vocabulary_path: str, ranks_path: str | None) -> Callable[[str], list[int]]:
     """Ids of a text by the tokenizers library; with the same vocabulary's rank file, in less time. Read once a worker."""
-    from tokenizers import Tokenizer
+    @functools.cache
+    def library():
+        from tokenizers import Tokenizer
 
-    library = Tokenizer.from_file(vocabulary_path)
-    by_library = lambda text: library.encode(text, add_special_tokens=False).ids
-    library.no_truncation()
-    library.no_padding()
+        found = Tokenizer.from_file(vocabulary_path)
+        found.no_truncation()
+        found.no_padding()
+        return found
+
+    by_library = lambda text: library().encode(text, add_special_tokens=False).ids
     if ranks_path is None:
         return by_library
     import public_tokenizers
@@ -186,7 +191,8 @@ def encoder(vocabulary_path: str, ranks_path: str | None) -> Callable[[str], lis
 
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    special = {t.content: i for i, t in library.get_added_tokens_decoder().items()}
+    with open(vocabulary_path, encoding="utf-8") as f:
+        special = {x["content"]: x["id"] for x in json.load(f)["added_tokens"]}
     fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
     return lambda text: by_library(text) if LONG_BLANK.search(text) else fast.encode(text, allowed_special="all")
 

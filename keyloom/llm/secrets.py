@@ -7,14 +7,14 @@ wider contexts that the patterns don't cover become spans of their own, kind `gu
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
+from collections import Counter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import documents, map_texts
+from keyloom.llm.common import documents, map_slices, map_texts, small_batches
 
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -35,7 +35,9 @@ angel lucky happy soccer hockey killer george andrew thomas robert daniel jessic
 purple silver golden diamond matrix phoenix tiger eagle bear wolf cat dog house green blue black white red the and you
 are not for with demo sample temp dummy staging prod production dev""".split()
 RANK = {w: i + 1 for i, w in enumerate(WORDS)}
-LONGEST = max(map(len, WORDS))
+#: Words of the corpus: letters, the distinct ones that a task counts before it hands them on.
+CORPUS_WORD, HANDED_ON = re.compile(r"[a-z]{3,20}"), 300_000
+LONGEST = 20
 #: The rows of a keyboard.
 ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm")
 NEXT = {(a, b) for row in ROWS for x, y in zip(row, row[1:]) for a, b in ((x, y), (y, x))} | {
@@ -45,7 +47,7 @@ LEET = str.maketrans("013457@$!", "oieastasi")
 DATE = re.compile(r"(?:19|20)\d\d(?:[-/.]?(?:0[1-9]|1[0-2])(?:[-/.]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)?\d\d")
 
 
-def guess_cost(value: str) -> float:
+def guess_cost(value: str, ranks: dict[str, int] = RANK) -> float:
     """log10 of the least guesses over all segmentations; time in proportion to the length."""
     n = len(value)
     low = value.lower()
@@ -59,8 +61,8 @@ def guess_cost(value: str) -> float:
     for j in range(1, n + 1):
         cost = best[j - 1] + brute
         for i in range(max(0, j - LONGEST), j - 2):
-            if rank := RANK.get(low[i:j]) or RANK.get(plain[i:j]):
-                changed = (low[i:j] not in RANK) + (value[i:j] not in (low[i:j], low[i:j].upper(), low[i:j].capitalize()))
+            if rank := ranks.get(low[i:j]) or ranks.get(plain[i:j]):
+                changed = (low[i:j] not in ranks) + (value[i:j] not in (low[i:j], low[i:j].upper(), low[i:j].capitalize()))
                 cost = min(cost, best[i] + math.log10(rank + 1) + 0.3 * (value[i:j] != low[i:j]) + changed)
         for i in dates.get(j, ()):
             cost = min(cost, best[i] + math.log10(365 * 120 if j - i > 4 else 120))
@@ -73,13 +75,13 @@ def guess_cost(value: str) -> float:
     return best[n]
 
 
-def scan(text: str, least: float, least_chars: int) -> tuple[list[tuple[int, int, int]], float]:
+def scan(text: str, least: float, least_chars: int, ranks: dict[str, int] = RANK) -> tuple[list[tuple[int, int, int]], float]:
     """(start, kind's number, end) in order; the highest guess cost of a credential-context value, or -1."""
     found, most = [], -1.0
     for m in ASSIGN.finditer(text):
         if m.end(2) - m.start(2) >= 8:
             found.append((m.start(), 0, m.end()))
-            most = max(most, guess_cost(m[2]))
+            most = max(most, guess_cost(m[2], ranks))
     if "AKIA" in text:
         found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 16]
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
@@ -90,22 +92,47 @@ def scan(text: str, least: float, least_chars: int) -> tuple[list[tuple[int, int
         value = m[m.lastgroup].rstrip("\"'`,;)]}>") if m.lastgroup == "bare" else m[m.lastgroup]
         while at < len(covered) and covered[at][0] <= start:  # the furthest end of what starts no later
             far, at = max(far, covered[at][1]), at + 1
-        if len(value) >= least_chars and start + len(value) > far and (cost := guess_cost(value)) >= least:
+        if len(value) >= least_chars and start + len(value) > far and (cost := guess_cost(value, ranks)) >= least:
             found.append((m.start(), 3, start + len(value)))
             most = max(most, cost)
     found.sort()
     return found, most
 
 
+def dictionary(docs: DataFrame, text_col: str = "text", most: int = 20_000) -> dict[str, int]:
+    """Ranks of words: the fixed ones, and the `most` most frequent of all texts, ties by the alphabet. A word that is both
+    has the lower rank."""
+
+    def rows(_, texts):
+        seen: Counter = Counter()
+        for text in texts:
+            seen.update(CORPUS_WORD.findall(text.lower()))
+            if len(seen) > HANDED_ON:
+                yield from seen.items()
+                seen.clear()
+        yield from seen.items()
+
+    texts = docs.select(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
+    small_batches(docs.sparkSession)
+    counts = map_slices(texts, rows, "word string, n long", size=100_000).groupBy("word").agg(F.sum("n").alias("n"))
+    found = [r.word for r in counts.orderBy(F.desc("n"), "word").limit(most).select("word").collect()]  # `most` rows
+    ranks = dict(RANK)
+    for i, w in enumerate(found):
+        ranks[w] = min(i + 1, ranks.get(w, i + 1))
+    return ranks
+
+
 def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_log10_guesses: float = 8.0, least_chars: int = 8) -> DataFrame:
     """doc_id, spans array<struct<kind,start,end>> by start and kind, max_log10_guesses double (-1: no such value).
 
     Whole texts; offsets are code points, ends exclusive. Null and empty texts give no spans. A row for each row of docs,
-    repeated ids included; other columns are ignored.
+    repeated and null ids included; of spans with one start the kinds go in their order. Words that are cheap to guess are
+    the fixed ones and the corpus's own (see `dictionary`). An empty table gives no rows; other columns are ignored.
     """
+    ranks = dictionary(docs, text_col)
 
     def row(_, doc_id, text):
-        found, most = scan(text, least_log10_guesses, least_chars)
+        found, most = scan(text, least_log10_guesses, least_chars, ranks)
         return doc_id, [{"kind": KINDS[k], "start": s, "end": e} for s, k, e in found], most
 
     return map_texts(documents(docs, id_col, text_col), row, "doc_id long, spans array<struct<kind:string,start:long,end:long>>, max_log10_guesses double")
@@ -114,10 +141,12 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_log10_guesses: float = 8.0, least_chars: int = 8) -> DataFrame:
     """docs with every span replaced by `[SECRET]` in text_col (overlapping spans by one), other columns as they were."""
 
+    ranks = dictionary(docs, text_col)
+
     def clean(text: str | None) -> str | None:
         if not text:
             return text
-        found, _ = scan(text, least_log10_guesses, least_chars)
+        found, _ = scan(text, least_log10_guesses, least_chars, ranks)
         if not found:
             return text
         out, at = [], 0
@@ -127,6 +156,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leas
             at = max(at, end)
         return "".join([*out, text[at:]])
 
+    small_batches(docs.sparkSession)
     cleaned = F.pandas_udf(lambda texts: texts.map(clean), "string")
     return docs.withColumn(text_col, cleaned(F.col(f"`{text_col}`")))
 

@@ -1,12 +1,13 @@
-"""Toxicity by the nearest labelled examples: exact TF-IDF cosine over all words.
-
-Examples are a bounded sample of labelled rows, `per_class` of each label. A text's vector has a part of all its words and,
-if it holds terms that are evidence of the label, a part of these and of marks of how many different ones there are, so
-that a long text with a lone such word by chance isn't next to one that is full of them; the cosine weighs the two parts.
-Document frequencies are counted over all documents. Words of many examples are rows of a dense matrix, multiplied for many
-texts at once, all others are inverted lists; what comes near the k-th nearest is computed again in double precision, so the
-nearest are exact. Examples vote by similarity, copies of the text before all others, weighted back to the labels' true frequencies and smoothed
-by a base rate, the less the nearer the nearest is.
+"""Toxicity by the nearest labelled examples: exact TF-IDF cosine over all words, with block-max inverted indexes.
+
+Examples are a bounded sample of labelled rows, `per_class` of each label. A text's vector has all its words: 1 + log of the
+count, times the inverse document frequency over all documents, times 1 for a word that tells nothing of the label and up
+to `EVIDENCE` times more for one that tells much (the share of the label's entropy that it explains among the examples).
+Examples are ordered by spherical k-means and cut into blocks. For each term the index has the largest weight in every
+block, so that a text's bound of a block takes one product; blocks whose bound is below the k-th nearest so far are skipped.
+What comes near the k-th nearest is computed again in double precision, so the nearest are exact. Votes go with one over
+the distance, weighted back to the labels' true frequencies, and a logistic curve, fitted where three quarters of the
+examples judge a fourth, calibrates the score.
 """
 
 from __future__ import annotations
@@ -22,84 +23,128 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import documents, held_out, map_texts
+from keyloom.llm.common import documents, held_out, map_slices, map_texts
+from keyloom.llm.embed_dedup import spherical_kmeans
 
 WORD = re.compile(r"\w+")
-#: Share of the examples from which a term is common, and texts that are multiplied at once.
-COMMON, BATCH = 0.02, 128
-#: Share of the evidence part in a cosine; the similarity from which an example is a copy, and how much more it votes.
-EVIDENCE, COPY, MORE = 0.9, 0.99, 1000
-#: Different chosen terms up to which a text has a mark for each number; the weight, as a count, of the mark of a lone one.
-MARKS, LONE = 4, 4
+#: Share of the examples from which a term's list is dense, examples of a block, and texts whose bounds are taken at once.
+COMMON, BLOCK, BATCH = 0.02, 64, 128
+#: How much more a word weighs that tells all of the label; the likelihood ratio that counts as chance.
+EVIDENCE, CHANCE = 1000.0, 6.0
+#: Added to a distance, so that a copy votes a hundred times as much as an example at right angles.
+NEAR = 0.01
+#: Quarters of the examples that the others judge for the calibration, and examples of each label in one, at least and at most.
+JUDGED, LEAST_CALIBRATION, MOST_CALIBRATION = 2, 20, 500
 
 
 def terms(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-def marked(counts: dict[str, int]) -> dict[str, int]:
-    """The counts of chosen terms and the marks of how many there are; no word is like a mark."""
-    marks = {"\0=1": LONE} if len(counts) == 1 else {f"\0>={n}": 1 for n in range(2, min(len(counts), MARKS) + 1)}
-    return counts | marks
-
-
 class Index:
-    """Products with the examples' vectors (term -> weight), each scaled to length one."""
+    """Products with the examples' vectors (term -> weight), each of length one at most."""
 
-    def __init__(self, vectors: Iterable[dict[str, float]]):
+    def __init__(self, vectors: list[dict[str, float]]):
+        self.n = len(vectors)
         self.column: dict[str, int] = {}
-        starts, columns, weights = array("q", [0]), array("i"), array("d")
-        for v in vectors:
-            columns.extend([self.column.setdefault(t, len(self.column)) for t in v])
-            weights.extend(v.values())
-            starts.append(len(columns))
-        self.n = len(starts) - 1
-        self.starts, self.columns, self.weights = np.array(starts), np.array(columns), np.array(weights)
-        order = np.argsort(self.columns, kind="stable")
-        self.rows = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(self.starts))[order]
-        self.of_rows = self.weights[order].astype(np.float32)
-        size = np.bincount(self.columns, minlength=len(self.column))
-        self.at = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
-        self.place = np.full(len(self.column), -1, np.int32)  # of common terms in the dense matrix
+        columns = [np.array([self.column.setdefault(t, len(self.column)) for t in v], np.int64) for v in vectors]
+        weights = [np.fromiter(v.values(), float, len(v)) for v in vectors]
+        size = np.bincount(np.concatenate(columns), minlength=len(self.column)) if self.n else np.zeros(0, int)
         common = np.flatnonzero(size >= max(1, COMMON * self.n))
+        self.place = np.full(len(self.column), -1, np.int32)  # of common terms in the dense lists
         self.place[common] = np.arange(len(common))
+        self.order = self._grouped(columns, weights, len(common))  # examples by block
+        starts, cols, of = array("q", [0]), [], []
+        for k in self.order.tolist():
+            cols.append(columns[k])
+            of.append(weights[k])
+            starts.append(starts[-1] + len(columns[k]))
+        self.starts = np.array(starts)
+        self.columns, self.weights = (np.concatenate(x) if self.n else np.zeros(0) for x in (cols, of))
+        self.columns = self.columns.astype(np.int64)
+        by_term = np.argsort(self.columns, kind="stable")
+        self.rows = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(self.starts))[by_term]
+        self.of_rows = self.weights[by_term].astype(np.float32)
+        self.at = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
 
-    def dense(self) -> np.ndarray:
-        """The common terms' rows; made where it is used, once a task."""
+    def _grouped(self, columns: list[np.ndarray], weights: list[np.ndarray], width: int) -> np.ndarray:
+        """The examples, like ones together, by their common terms."""
+        if self.n <= BLOCK:
+            return np.arange(self.n)
+        dense = np.zeros((self.n, width))
+        for k, (c, w) in enumerate(zip(columns, weights, strict=True)):
+            put = self.place[c] >= 0
+            dense[k, self.place[c[put]]] = w[put]
+        norm = np.sqrt((dense * dense).sum(axis=1))
+        some = np.flatnonzero(norm > 0)
+        if not len(some):
+            return np.arange(self.n)
+        unit = dense[some] / norm[some, None]
+        centres = spherical_kmeans(unit, -(-self.n // BLOCK), rounds=6)
+        home = np.full(self.n, -1)
+        home[some] = (unit @ centres.T).argmax(axis=1)
+        return np.argsort(home, kind="stable")
+
+    def lists(self) -> tuple[np.ndarray, np.ndarray]:
+        """The common terms' dense lists and their block maxima; made where they are used, once a task."""
         if "_dense" not in self.__dict__:
-            self._dense = np.zeros((int(self.place.max(initial=-1)) + 1, self.n), np.float32)
+            blocks = -(-self.n // BLOCK)
+            self._dense = np.zeros((int(self.place.max(initial=-1)) + 1, blocks * BLOCK), np.float32)
             for c in np.flatnonzero(self.place >= 0):
                 own = slice(self.at[c], self.at[c + 1])
                 self._dense[self.place[c], self.rows[own]] = self.of_rows[own]
-        return self._dense
+            self._most = self._dense.reshape(len(self._dense), blocks, BLOCK).max(axis=2)
+        return self._dense, self._most
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "_dense"}
+        return {k: v for k, v in self.__dict__.items() if k not in ("_dense", "_most")}
 
     @staticmethod
     def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
         return np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
 
-    def nearest_all(self, queries: list[dict[str, float]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each: examples, and their cosines, that are among the k nearest with a cosine over 0, ties with the last too."""
-        if not self.n:
-            return [(np.empty(0, int), np.empty(0))] * len(queries)
-        dense, known = self.dense(), []
-        part = np.zeros((len(queries), len(dense)), np.float32)
+    def _products(self, queries: list[dict[str, float]], k: int) -> tuple[np.ndarray, list]:
+        """Single-precision products, of which those that may be among the k largest are all computed; others are 0."""
+        dense, most = self.lists()
+        blocks = most.shape[1]
+        part, known = np.zeros((len(queries), len(dense)), np.float32), []
+        rest = np.zeros((len(queries), blocks * BLOCK), np.float32)  # of the terms that aren't common: their whole lists
         for r, q in enumerate(queries):
             own = [(c, w) for t, w in q.items() if (c := self.column.get(t)) is not None]
             c, w = np.array([c for c, _ in own], np.int64), np.array([w for _, w in own], float)
             known.append((c, w))
             put = self.place[c] >= 0
             part[r, self.place[c[put]]] = w[put]
-        near = part @ dense
+            c, w = c[~put], w[~put]
+            size = self.at[c + 1] - self.at[c]
+            at = self._ranges(self.at[c], size)
+            if len(at):
+                rest[r, : self.n] = np.bincount(self.rows[at], self.of_rows[at] * np.repeat(w, size), self.n)
+        bound = part @ most + rest.reshape(len(queries), blocks, BLOCK).max(axis=2)
+        near, done = np.zeros_like(rest), np.zeros((len(queries), blocks), bool)
+
+        def visit(wanted: np.ndarray) -> None:
+            for b in np.flatnonzero(wanted.any(axis=0)).tolist():
+                rows, own = np.flatnonzero(wanted[:, b]), slice(b * BLOCK, (b + 1) * BLOCK)
+                near[rows, own] = part[rows] @ dense[:, own] + rest[rows, own]
+            done[:] |= wanted
+
+        first = -(-k // BLOCK) + 1
+        best = np.zeros_like(done)
+        np.put_along_axis(best, np.argsort(-bound, axis=1)[:, :first], True, axis=1)
+        visit(best)
+        m = min(k, self.n)
+        least = np.partition(near, near.shape[1] - m, axis=1)[:, near.shape[1] - m]
+        visit((bound >= least[:, None] - 1e-4) & (bound > 0) & ~done)
+        return near[:, : self.n], known
+
+    def nearest_all(self, queries: list[dict[str, float]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each: examples, and their cosines, that are among the k nearest with a cosine over 0, ties with the last too."""
+        if not self.n:
+            return [(np.empty(0, int), np.empty(0))] * len(queries)
+        near, known = self._products(queries, k)
         values, out, m = np.zeros(len(self.column)), [], min(k, self.n)
         for (c, w), row in zip(known, near, strict=True):
-            rare = self.place[c] < 0
-            size = self.at[c[rare] + 1] - self.at[c[rare]]
-            at = self._ranges(self.at[c[rare]], size)
-            if len(at):
-                row += np.bincount(self.rows[at], self.of_rows[at] * np.repeat(w[rare], size), self.n).astype(np.float32)
             least = np.partition(row, self.n - m)[self.n - m]
             hit = np.flatnonzero((row > 0) & (row >= least - 1e-4))
             if not len(hit):
@@ -113,120 +158,158 @@ class Index:
             if len(hit) > k:
                 kept = cosine >= np.partition(cosine, -k)[-k] - 1e-12
                 hit, cosine = hit[kept], cosine[kept]
-            order = np.lexsort((hit, -cosine))
-            out.append((hit[order], cosine[order]))
+            hit = self.order[hit]
+            by = np.lexsort((hit, -cosine))
+            out.append((hit[by], cosine[by]))
         return out
 
     def nearest(self, query: dict[str, float], k: int) -> tuple[np.ndarray, np.ndarray]:
         return self.nearest_all([query], k)[0]
 
 
+def evidence(examples: list[tuple[int, int, list[str], list[int]]]) -> dict[str, float]:
+    """The factor of each word that tells of the label more than by chance: 1 + EVIDENCE times the share of the label's
+    entropy that it explains, less CHANCE."""
+    seen: dict[str, list[int]] = {}
+    for _, y, words, _ in examples:
+        for t in words:
+            seen.setdefault(t, [0, 0])[y] += 1
+    rows = [sum(y == k for _, y, _, _ in examples) for k in (0, 1)]
+    n = sum(rows)
+    log = lambda c, expected: c * math.log(c / expected) if c else 0.0
+    most = -2 * sum(log(r, n) for r in rows)
+    out = {}
+    for t, c in seen.items():
+        both = sum(c)
+        ratio = 2 * sum(log(c[k], rows[k] * both / n) + log(rows[k] - c[k], rows[k] * (n - both) / n) for k in (0, 1) if rows[k])
+        if ratio > CHANCE and most > 0:
+            out[t] = 1 + EVIDENCE * (ratio - CHANCE) / most
+    return out
+
+
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """a and b of 1 / (1 + exp(-(a * x + b))), drawn towards 1 and 0."""
+    z, both = np.array([1.0, 0.0]), np.stack([x, np.ones_like(x)], axis=1)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(both @ z, -30, 30)))
+        slope = both.T @ (weight * (p - y)) + (z - [1.0, 0.0])
+        curve = both.T @ (both * (weight * p * (1 - p))[:, None]) + np.eye(2)
+        move = np.clip(np.linalg.solve(curve, slope), -2, 2)
+        z = z - move
+        if np.abs(move).max() < 1e-9:
+            break
+    return max(float(z[0]), 0.1), float(z[1])
+
+
 class Model:
-    def __init__(self, examples: list[tuple[int, int, list[str], list[int]]], share: dict[int, float], frequency: dict[str, int], total: int, k: int, lexicon: list[str]):
+    def __init__(self, examples: list[tuple[int, int, list[str], list[int]]], share: dict[int, float], frequency: dict[str, int], total: int, k: int):
         """examples: id, label, all words and their counts; share: true rows of a label for each of its examples."""
-        self.idf = {t: float(np.log((1 + total) / (1 + n)) + 1) for t, n in frequency.items()}
-        self.other = float(np.log((1 + total) / 2) + 1)
-        self.k, self.share, self.lexicon = k, share, set(lexicon)
-        bare = [(y, share[y]) for _, y, words, _ in examples if self.lexicon.isdisjoint(words)]
-        self.base = (sum(w for y, w in bare if y) + 0.5) / (sum(w for _, w in bare) + 1.0)
+        self.idf = {t: math.log((1 + total) / (1 + n)) + 1 for t, n in frequency.items()}
+        self.other = math.log((1 + total) / 2) + 1
+        self.k, self.share, self.curve = k, share, (1.0, 0.0)
+        self.factor = evidence(examples)
+        toxic = sum(share[y] for _, y, _, _ in examples if y)
+        self.base = (toxic + 0.5) / (sum(share[y] for _, y, _, _ in examples) + 1.0)
         told = [e for e in examples if e[2]]
         self.ids, self.labels = [e[0] for e in told], np.array([e[1] for e in told], float)
         mean = np.mean([share[e[1]] for e in told]) if told else 1.0
         self.weights = np.array([share[e[1]] / mean for e in told])
-        self.index = Index(self.vector(dict(zip(words, counts, strict=True))) for _, _, words, counts in told)
-
-    def part(self, counts: dict[str, int], weight: float, before: str = "") -> dict[str, float]:
-        v = {before + t: (1.0 if n == 1 else 1 + math.log(n)) * self.idf.get(t, self.other) for t, n in counts.items()}
-        scale = (weight / sum(w * w for w in v.values())) ** 0.5 if v else 0.0
-        return {t: w * scale for t, w in v.items()}
+        self.index = Index([self.vector(dict(zip(words, counts, strict=True))) for _, _, words, counts in told])
 
     def vector(self, counts: dict[str, int]) -> dict[str, float]:
-        """Of all words, and of the chosen ones, if any; words of no example weigh as in one document."""
-        chosen = {t: counts[t] for t in self.lexicon.intersection(counts)}
-        return self.part(counts, 1 - EVIDENCE) | self.part(marked(chosen), EVIDENCE, "\0") if chosen else self.part(counts, 1.0)
+        """Of all words, of length one; words of no example weigh as in one document."""
+        v = {t: (1.0 if n == 1 else 1 + math.log(n)) * self.idf.get(t, self.other) * self.factor.get(t, 1.0) for t, n in counts.items()}
+        scale = 1 / math.sqrt(sum(w * w for w in v.values())) if v else 0.0
+        return {t: w * scale for t, w in v.items()}
 
-    def scores(self, texts: list[dict[str, int]]) -> list[tuple[float, list[dict]]]:
+    def shares(self, texts: list[dict[str, int]]) -> list[tuple[float, list[tuple[int, float]]]]:
+        """The share of the votes for label 1, smoothed by the base rate, and the nearest examples."""
         out = []
         for rows, near in self.index.nearest_all([self.vector(c) for c in texts], self.k):
-            vote = near * np.where(near >= COPY, MORE, 1) * self.weights[rows]
-            rest = max(0.01, 1 - float(near[0])) if len(near) else 1.0
-            score = (float((vote * self.labels[rows]).sum()) + rest * self.base) / (float(vote.sum()) + rest)
-            evidence = [{"doc_id": self.ids[r], "similarity": float(c), "toxic": int(self.labels[r])} for r, c in zip(rows[: self.k].tolist(), near, strict=False)]
-            out.append((min(1.0, max(0.0, score)), evidence))
+            vote = near / (1 + NEAR - np.minimum(near, 1.0)) * self.weights[rows]
+            rest = 0.1
+            share = (float((vote * self.labels[rows]).sum()) + rest * self.base) / (float(vote.sum()) + rest)
+            out.append((min(1 - 1e-6, max(1e-6, share)), list(zip(rows[: self.k].tolist(), near.tolist(), strict=False))))
         return out
 
+    def scores(self, texts: list[dict[str, int]]) -> list[tuple[float, list[dict]]]:
+        a, b = self.curve
+        out = []
+        for share, near in self.shares(texts):
+            score = 1 / (1 + math.exp(-(a * math.log(share / (1 - share)) + b))) if near else self.base
+            out.append((score, [{"doc_id": self.ids[r], "similarity": c, "toxic": int(self.labels[r])} for r, c in near]))
+        return out
 
-def _counts(docs: DataFrame, vocabulary: set[str], lexicon: list[str]) -> dict[str, int]:
-    """Documents of the whole table that hold each term or mark, a row a term and task before the sum."""
 
-    def run(frames):
-        words, seen = set(lexicon), Counter()
+def calibrated(examples: list[tuple[int, int, list[str], list[int]]], share: dict[int, float], *how) -> tuple[float, float]:
+    """The curve from shares of votes to frequencies: each of some quarters of the examples is judged by the other three."""
+    got: list[tuple[float, int]] = []
+    for fold in range(JUDGED):
+        told = [[e for e in examples[fold::4] if e[1] == y and e[2]][:MOST_CALIBRATION] for y in (0, 1)]
+        if min(map(len, told)) < LEAST_CALIBRATION:
+            return 1.0, 0.0
+        model = Model([e for k, e in enumerate(examples) if k % 4 != fold], share, *how)
+        for y, own in enumerate(told):
+            got += [(s, y) for s, _ in model.shares([dict(zip(e[2], e[3], strict=True)) for e in own])]
+    x, y = (np.array(z, float) for z in zip(*got, strict=True))
+    # examples of a label stand for the true rows of it
+    rows = np.bincount([e[1] for e in examples], minlength=2) * np.array([share[0], share[1]])
+    weight = (rows / np.bincount(y.astype(int), minlength=2))[y.astype(int)]
+    return logistic(np.log(x / (1 - x)), y, weight * len(y) / weight.sum())
+
+
+def _counts(docs: DataFrame, vocabulary: set[str]) -> dict[str, int]:
+    """Documents of the whole table that hold each term, a row a term and task before the sum."""
+
+    def run(frames: Iterable[pd.DataFrame]):
+        seen: Counter = Counter()
         for f in frames:
             for text in f["text"]:
-                own = set(terms(text))
-                seen.update(vocabulary.intersection(own))
-                if chosen := words.intersection(own):
-                    seen.update(t for t in marked(dict.fromkeys(chosen, 1)) if t[0] == "\0")
+                seen.update(vocabulary.intersection(terms(text)))
         if seen:  # an empty frame has no string column that Arrow takes
             yield pd.DataFrame({"term": list(seen), "n": list(seen.values())})
 
-    found = docs.mapInPandas(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    found = docs.select("text").mapInPandas(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     return {t: n for f in found.to_batches(10_000) for t, n in zip(f["term"].to_pylist(), f["n"].to_pylist(), strict=True)}
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 4000, most_terms: int = 20_000, k: int = 15) -> Model:
-    """Learns from labelled rows that aren't held out: per_class of each label at most, the least by a hash of the id.
-
-    Evidence, which weighs more than other words, are terms, most_terms at most, that tell of label 1: a log-likelihood ratio of 15 or more, and a smoothed share
-    of label 1 among the rows with the term, at the labels' true frequencies, of 0.5 or more.
-    """
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 2000, k: int = 15) -> Model:
+    """Learns from labelled rows that aren't held out: per_class of each label at most, the least by a hash of the id."""
     told = labels.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("label"))
     told = told.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("label").alias("label"))
     true = {r.label: r["count"] for r in told.groupBy("label").count().collect()}
     chosen = [told.where(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
     texts = documents(docs, id_col, text_col)
     sample = texts.join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id")  # 2 * per_class rows at most
-    bags = map_texts(
-        sample, lambda _, doc_id, text, label: (doc_id, label, list(bag := Counter(terms(text))), list(bag.values())), "doc_id long, label int, words array<string>, counts array<int>"
-    ).dropDuplicates(["doc_id"]).persist()
-    try:
-        used = {r.label: r["count"] for r in bags.groupBy("label").count().collect()}
-        share = {y: true.get(y, 0) / used[y] if used.get(y) else 0.0 for y in (0, 1)}
-        n1, n0 = (used.get(y, 0) * share[y] for y in (1, 0))
-        of_term = bags.select("label", F.explode("words").alias("term")).groupBy("term").agg(F.count_if(F.col("label") == 1).alias("c1"), F.count_if(F.col("label") == 0).alias("c0"))
-        m1, m0 = used.get(1, 0), used.get(0, 0)
-        part = lambda c, rows, both: F.when(c > 0, c * F.log(c * F.lit(m1 + m0) / (F.lit(rows) * both))).otherwise(0.0)
-        both = F.col("c1") + F.col("c0")
-        ratio = 2 * (part(F.col("c1"), m1, both) + part(F.col("c0"), m0, both) + part(m1 - F.col("c1"), m1, m1 + m0 - both) + part(m0 - F.col("c0"), m0, m1 + m0 - both))
-        prior = n1 / (n1 + n0) if n1 + n0 else 0.0
-        pure = (F.col("c1") * share[1] + prior) / (F.col("c1") * share[1] + F.col("c0") * share[0] + 1.0)
-        best = of_term.withColumn("ratio", ratio).where((F.col("ratio") >= 15) & (pure >= 0.5)).orderBy(F.desc("ratio"), "term").limit(most_terms)
-        lexicon = [r.term for r in best.select("term").collect()]
-        same: dict[str, str] = {}  # one string for all examples with a word
-        examples = []
-        for f in bags.toArrow().to_batches(500):  # 2 * per_class rows at most
-            for i, y, words, counts in zip(*(f[c].to_pylist() for c in ("doc_id", "label", "words", "counts")), strict=True):
-                examples.append((i, y, [same.setdefault(t, t) for t in words], counts))
-        examples.sort(key=lambda e: e[0])
-    finally:
-        bags.unpersist()
-    return Model(examples, share, _counts(texts, set(same), lexicon) if examples else {}, texts.count(), k, lexicon)
+    bag = lambda _, doc_id, text, label: (doc_id, label, list(words := Counter(terms(text))), list(words.values()))
+    bags = map_texts(sample, bag, "doc_id long, label int, words array<string>, counts array<int>").dropDuplicates(["doc_id"])
+    same: dict[str, str] = {}  # one string for all examples with a word
+    examples = []
+    for f in bags.toArrow().to_batches(500):  # 2 * per_class rows at most
+        for i, y, words, counts in zip(*(f[c].to_pylist() for c in ("doc_id", "label", "words", "counts")), strict=True):
+            examples.append((i, y, [same.setdefault(t, t) for t in words], counts))
+    examples.sort(key=lambda e: e[0])
+    used = Counter(y for _, y, _, _ in examples)
+    share = {y: true.get(y, 0) / used[y] if used[y] else 0.0 for y in (0, 1)}
+    frequency, total = _counts(texts, set(same)) if examples else {}, texts.count()
+    model = Model(examples, share, frequency, total, k)
+    model.curve = calibrated(examples, share, frequency, total, k)
+    return model
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.7, **how) -> DataFrame:
-    """doc_id, held_out, score, predicted, evidence: a row for each row of docs, by whole texts only.
+    """doc_id, held_out, score, predicted, evidence: a row for each row of docs, by whole texts only, however long.
 
-    evidence lists the nearest examples. Every text with a word is compared by all its words; null and empty ones get the
-    smoothed rate among examples without terms of evidence. held_out is null for a null id. Without labels the score is 0.5
+    evidence lists the nearest examples; of equally near ones the first in the order of ids, and ties with the last of the k
+    nearest vote too. Null and empty texts get the labels' smoothed base rate. Rows that repeat an id are scored each for
+    itself; of an id's repeated labels the largest counts. held_out is null for a null id. Without labels the score is 0.5
     for all. An empty table gives no rows; other columns are ignored.
     """
     model = fit(docs, labels, id_col, text_col, label_col, **how)
 
-    def run(frames):
-        for f in (whole.iloc[at : at + BATCH] for whole in frames for at in range(0, len(whole), BATCH)):
-            found = model.scores([Counter(terms(text)) for text in f["text"]])
-            scores = [score for score, _ in found]
-            yield pd.DataFrame({"doc_id": f["doc_id"], "held_out": f["held_out"], "score": scores, "predicted": [int(x >= threshold) for x in scores], "evidence": [e for _, e in found]})
+    def rows(_, doc_ids, texts, out):
+        found = model.scores([Counter(terms(text)) for text in texts])
+        return [(i, o, score, int(score >= threshold), near) for i, o, (score, near) in zip(doc_ids, out, found, strict=True)]
 
-    texts = documents(docs, id_col, text_col).withColumn("held_out", held_out())
-    return texts.mapInPandas(run, "doc_id long, held_out boolean, score double, predicted int, evidence array<struct<doc_id:long,similarity:double,toxic:int>>")
+    schema = "doc_id long, held_out boolean, score double, predicted int, evidence array<struct<doc_id:long,similarity:double,toxic:int>>"
+    return map_slices(documents(docs, id_col, text_col).withColumn("held_out", held_out()), rows, schema, size=BATCH)

@@ -1,5 +1,7 @@
 """Language identification on held-out documents, and its edges."""
 
+import math
+
 from keyloom.llm import language
 
 DIR = "/root/testdata/sf0.01"
@@ -12,9 +14,42 @@ def test_held_out_accuracy(spark):
     assert got.score.between(0, 1).all()
 
 
+def test_every_pair_one_by_one(spark):
+    """Predictions against a plain vote of all pairs, first of families and then within the family; the sample by a full sort."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = language.fit(docs, per_lang=20)
+    letters = language._letters()
+
+    def voted(pairs, v):
+        votes = {x: [0, 0.0] for x in pairs.labels}
+        for (i, j), w, (a, b) in zip(pairs.pairs, pairs.weights, pairs.scales):
+            p = 1 / (1 + math.exp(-(a * (sum(float(x) * float(y) for x, y in zip(w, v)) + float(w[-1])) + b)))
+            for label, q in ((pairs.labels[i], p), (pairs.labels[j], 1 - p)):
+                votes[label][0] += q > 0.5
+                votes[label][1] += q
+        label = min(votes, key=lambda x: (-votes[x][0], -votes[x][1], x))
+        return label, votes[label][1] / max(1, len(pairs.labels) - 1) if pairs.pairs else 1.0
+
+    got = {r.doc_id: r for r in language.identify(docs, per_lang=20).collect()}
+    for r in docs.collect():
+        v = language.features(letters, r.text or "")
+        if v is None:
+            assert got[r.doc_id].lang_pred == "und"
+            continue
+        family, p = voted(model.family, v)
+        lang, q = voted(model.within[family], v)
+        assert got[r.doc_id].lang_pred == lang and abs(got[r.doc_id].score - p * q) < 1e-4
+    ids = docs.where(~language.held_out() & docs.lang.isNotNull()).selectExpr("doc_id", "lang", "xxhash64(doc_id) AS h").collect()
+    chosen = language.least_of_each(docs.select("doc_id", "lang").where(~language.held_out() & docs.lang.isNotNull()), 20).collect()
+    assert len({(r.lang, r.doc_id) for r in chosen}) == len(chosen)
+    for lang in {r.lang for r in ids}:
+        want = sorted((r.h % 2**64, r.doc_id) for r in ids if r.lang == lang)[:20]
+        assert {r.doc_id for r in chosen if r.lang == lang} == {i for _, i in want}
+
+
 def test_edges(spark):
     rows = [(i, text, lang) for i, (text, lang) in enumerate([("the cat and the dog", "en"), ("le chat et le chien", "fr"), ("der hund und die katze", "de"), ("el perro y el gato", "es")] * 8)]
-    rows += [(100, None, "en"), (101, "", None), (102, "123 !!", "de"), (103, "the dog " * 20_000, None), (104, "the cat", "en"), (104, "the cat", "en")]
+    rows += [(100, None, "en"), (101, "", None), (102, "123 !!", "de"), (103, "the dog " * 20_000, None), (104, "the cat", "en"), (104, "the cat", "en"), (2**60 + 1, "the dog", None), (None, "the dog", "en")]
     docs = spark.createDataFrame([(*r, 1.0) for r in rows], "doc_id long, text string, lang string, score double")
     got = {r.doc_id: r for r in language.identify(docs).collect()}
     assert [got[i].lang_pred for i in (100, 101, 102)] == ["und"] * 3 and got[100].score == 0.0
@@ -22,5 +57,6 @@ def test_edges(spark):
     assert language.identify(docs).count() == len(rows)
     kept = {r.doc_id for r in language.accepted(docs).collect()}
     assert kept == {i for i, *_ in rows} - {100, 101, 102}
+    assert got[2**60 + 1].lang_pred == got[None].lang_pred == "en" and got[None].held_out is None
     assert language.identify(docs.limit(0)).count() == 0
     assert {r.lang_pred for r in language.identify(docs.where("doc_id >= 100").withColumn("lang", docs.lang.substr(9, 9).cast("string")).fillna("", ["lang"]).replace("", None, ["lang"])).collect()} == {"und"}

@@ -92,3 +92,25 @@ def test_guess_cost_of_long_values():
 
 def test_empty_table(spark):
     assert s.secret_scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_words_of_the_corpus_are_cheap_to_guess(spark):
+    rows = [(i, "correct horse battery staple " * 3) for i in range(30)] + [(99, "password = 'correcthorsebatterystaple' token: Zq8xQzPwLm2")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    ranks = s.dictionary(docs)
+    assert ranks["password"] == 1 and {ranks[w] for w in ("battery", "correct", "horse", "staple")} == {1, 2, 3, 4}
+    assert len(s.dictionary(docs, most=2)) == len(s.RANK) + 2
+    value = "correcthorsebatterystaple"
+    best = min(
+        sum(math.log10(ranks[w] + 1) if (w := value[a:b]) in ranks else (b - a) * math.log10(26) for a, b in zip((0, *cut), (*cut, len(value))))
+        for n in range(4) for cut in itertools.combinations(range(1, len(value)), n)
+    )
+    assert abs(s.guess_cost(value, ranks) - best) < 1e-9 < s.guess_cost(value) - best
+
+
+def test_null_and_repeated_ids_and_an_empty_table(spark):
+    text = "token=" + "abcd1234" * 40_000
+    docs = spark.createDataFrame([(2**60 + 1, text), (2**60 + 3, "x"), (None, text), (5, "y"), (5, "y")], "doc_id long, text string")
+    got = s.digest_columns(s.secret_scan(docs)).collect()
+    assert sorted((str(r.doc_id), r.n_assign) for r in got) == sorted([(str(2**60 + 1), 1), (str(2**60 + 3), 0), ("None", 1), ("5", 0), ("5", 0)])
+    assert s.secret_scan(docs.limit(0)).count() == s.redact(docs.limit(0)).count() == 0

@@ -22,6 +22,32 @@ def test_nearest_are_the_nearest_of_all():
         assert np.allclose(near, all_[rows])
 
 
+def test_scores_against_all_examples(spark):
+    """Scores from the cosines with all examples, one by one, on texts of several blocks."""
+    r = random.Random(9)
+    words = [f"w{i}" for i in range(80)]
+    rude = ["rude1", "rude2", "rude3"]
+    told = []
+    for i in range(400):
+        y = i % 4 == 0
+        told.append((i, int(y), list(b := t.Counter(r.choices(words[:40] if i // 4 % 2 else words[40:], k=30) + (r.choices(rude, k=3) if y else []))), list(b.values())))
+    frequency = t.Counter(w for _, _, own, _ in told for w in own)
+    model = t.Model(told, {0: 2.0, 1: 1.0}, frequency, 400, 15)
+    assert {w for w, f in model.factor.items() if f > 50} == set(rude)
+    queries = [dict(t.Counter(r.choices(words + rude, k=20))) for _ in range(150)] + [{}, {"unknown": 2}]
+    vectors = [model.vector(dict(zip(own, counts))) for _, _, own, counts in told]
+    mean = sum({0: 2.0, 1: 1.0}[y] for _, y, _, _ in told) / 400
+    for q, (share, near) in zip(queries, model.shares(queries), strict=True):
+        v = model.vector(q)
+        all_ = np.array([sum(w * o.get(k, 0.0) for k, w in v.items()) for o in vectors])
+        order = np.sort(all_)[::-1]
+        voters = [k for k, c in enumerate(all_) if c > 0 and c >= order[14] - 1e-12]
+        votes = [(all_[k] / (1.01 - min(all_[k], 1)) * (1.0 if told[k][1] else 2.0) / mean, told[k][1]) for k in voters]
+        want = (sum(v for v, y in votes if y) + 0.1 * model.base) / (sum(v for v, _ in votes) + 0.1)
+        assert abs(share - want) < 1e-6
+        assert len(near) == min(15, len(voters))
+
+
 def test_held_out_quality(spark):
     d = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
@@ -41,14 +67,14 @@ def test_copies_of_examples_without_chosen_terms(spark):
     assert told[0][0] not in held
     got = {x.doc_id: x for x in t.toxicity(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
     assert got[1000].evidence[0].doc_id == 0 and abs(got[1000].evidence[0].similarity - 1) < 1e-9
-    assert got[1000].predicted == got[1001].predicted == 1
+    assert got[1000].score == got[1001].score > 0.5
     assert got[1002].predicted == got[1003].predicted == 0
 
 
 def test_edges(spark):
-    docs = spark.createDataFrame([(1, None, 0.0), (2, "", 0.0), (3, "idiot " * 50_000, 0.0), (3, "idiot", 0.0), (None, "x", 0.0)], "doc_id long, text string, score double")
+    docs = spark.createDataFrame([(1, None, 0.0), (2, "", 0.0), (3, "idiot " * 50_000, 0.0), (3, "idiot", 0.0), (None, "x", 0.0), (2**60 + 1, "x", 0.0), (4, "a " * 500_000, 0.0)], "doc_id long, text string, score double")
     labels = spark.createDataFrame([(3, 1), (3, 1), (9, 0), (None, 1), (2, None)], "doc_id long, toxic int")
     got = t.toxicity(docs, labels).collect()
-    assert len(got) == 5 and all(0 <= r.score <= 1 for r in got)
+    assert len(got) == 7 and {r.doc_id for r in got} == {1, 2, 3, None, 4, 2**60 + 1} and all(0 <= r.score <= 1 for r in got)
     assert t.toxicity(docs.limit(0), labels).count() == 0
     assert {r.score for r in t.toxicity(docs, labels.limit(0)).collect()} == {0.5}

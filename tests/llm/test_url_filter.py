@@ -71,6 +71,15 @@ def brute(urls, most_children=20, least=0.9, apart=2.0, pseudo=4.0, purity=0.9):
     return out
 
 
+def test_deep_paths_and_repeated_rows(spark):
+    deep = "/".join(f"d{k}" for k in range(400))
+    urls = [f"http://a.org/bad/{deep}/{x}" for x in ("1", "2", "x", "y/z")] + [f"http://a.org/good/{deep}/{x}/{deep}" for x in "pqr"] + ["http://a.org/bad/x"] * 3
+    rows = [(i, u_) for i, u_ in enumerate(urls)]
+    got = {r.page_id: r for r in u.url_filter(spark.createDataFrame(rows, "page_id long, url string"), RULES).collect()}
+    want = brute(rows)
+    assert {i: (r.host, r.path, r.rule, r.verdict, r.template) for i, r in got.items()} == want
+
+
 def test_same_as_walking_the_pages(spark):
     r = random.Random(5)
     urls = [None, "", "no scheme", "http://", "://x", "http://EXAMPLE.com/en/1", "http://wwwexample.com/en/1", "https://a.www.example.com/en/", "http://example.com", "http://example.com/en", "x://net/es/?a://b/c", "http://h.net//fr/1", "http://h.net?/fr/", "http://ÉX.net/fr/é#x"]
