@@ -7,10 +7,11 @@ import sys
 from pathlib import Path
 
 from keyloom.operators.exports import dumps
+from keyloom.operators.foreign_keys import as_declared
 from keyloom.operators.overlay import apply_overlay, load_overlay
 from keyloom.plans.catalog import load
 from keyloom.session import local_session
-from keyloom.sources.connect import read_catalog
+from keyloom.sources.connect import measured_keys, read_catalog
 from keyloom.sources.urls import SOURCES
 from keyloom.tool import OPERATIONS, perform, scrub
 
@@ -26,6 +27,8 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("--from-snapshot", help="a saved snapshot in place of a source")
         c.add_argument("--overlay", help="keys to add, JSON or YAML")
         c.add_argument("--out", help="a file in place of standard output")
+        if name == "analyze":
+            c.add_argument("--measure", action="store_true", help="weigh missing keys by the source's rows and add those found to the model")
         if name == "owl":
             c.add_argument("--format", choices=["turtle", "jsonld"], default="turtle")
             c.add_argument("--physical-iri")
@@ -46,6 +49,11 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         catalog = load(spark, args.from_snapshot) if args.from_snapshot else read_catalog(spark, args.source, args.connection, args.schema)
         if args.overlay:
             catalog = apply_overlay(catalog, load_overlay(args.overlay))
+        if getattr(args, "measure", False):
+            if not args.connection:
+                raise ValueError("--measure needs a --connection with rows")
+            found = measured_keys(spark, args.source, args.connection, args.schema, catalog)
+            catalog = catalog.with_(fks=catalog.fks.unionByName(as_declared(found)))
         text = dumps(perform(catalog, args.operation, **{k: getattr(args, k, None) for k in ("format", "base_iri", "physical_iri", "data_iri")}))
     except Exception as error:
         print(scrub(str(error)), file=sys.stderr)

@@ -29,8 +29,9 @@ NAMESPACES = {"owl": "http://www.w3.org/2002/07/owl#", "rdf": "http://www.w3.org
 # bundle
 
 
-def to_bundle(catalog: Catalog, found: Baseline) -> dict:
-    """The model as one document: entities and relationships, their mapping to tables, and metadata."""
+def to_bundle(catalog: Catalog, found: Baseline, classes: DataFrame | None = None) -> dict:
+    """The model as one document: entities and relationships, their mapping to tables, and metadata. classes, as of
+    taxonomy.abstract_classes, are merged: entities without a table for those in between, and what is a subclass of what."""
     entities, mapped, rels, mapped_rels = [], {}, [], {}
     props: dict[str, list] = {}
     for p in found.properties.orderBy("table_name", "ordinal").collect():
@@ -49,6 +50,13 @@ def to_bundle(catalog: Catalog, found: Baseline) -> dict:
         at = {"style": "TABLE", "tableName": e.table_name} | ({"schema": e.schema_name} if e.schema_name else {})
         at |= {"primaryKey": list(e.primary_key), "properties": {p.name: {"field": p.name, "sqlType": p.sql_type, "nullable": p.nullable, **flags(p)} for p in own}}
         mapped[e.entity] = at | ({"partitionOf": e.partition_of} if e.partition_of else {})
+    if classes is not None:
+        up = {r.child: r.parent for r in subclasses(classes).collect()}
+        made = classes.where("synthesized").orderBy("name").collect()
+        entities += [{"name": c.name, "labels": [c.name], "properties": [{"name": n} for n in c.shared], "source": "taxonomy", "abstract": True} for c in made]
+        for entity in entities:
+            if entity["name"] in up:
+                entity["subClassOf"] = up[entity["name"]]
     schema_of = {t.table_name: t.schema_name for t in catalog.tables.collect()}
     for r in found.relationships.orderBy("rel_pos").collect():
         attributes = set(r.attributes or [])
@@ -86,8 +94,29 @@ def local_name(name: Column) -> Column:
     return F.when(clean == "", "_Unknown").when(clean.rlike("^[0-9]"), F.concat(F.lit("_"), clean)).otherwise(clean)
 
 
-def owl_triples(catalog: Catalog, found: Baseline) -> DataFrame:
-    """s, p, o, literal: every statement of the ontology; names of the schema start with a colon."""
+def subclasses(classes: DataFrame) -> DataFrame:
+    """child, parent: each member under the smallest class that holds it, and each class in between under the smallest
+    larger class of all its members; of equally small ones the first by name."""
+    own = classes.select("name", "members", F.size("members").alias("n"))
+    child = classes.select(F.explode("members").alias("child")).distinct().select("child", F.array("child").alias("held"))
+    child = child.unionByName(classes.where("synthesized").select(F.col("name").alias("child"), F.col("members").alias("held")))
+    inside = child.join(own, (F.size(F.array_except("held", "members")) == 0) & (F.col("n") > F.size("held")))  # metadata: rows of classes
+    return inside.groupBy("child").agg(F.min(F.struct("n", "name"))["name"].alias("parent"))
+
+
+def taxonomy_triples(classes: DataFrame) -> DataFrame:
+    """s, p, o, literal of the merged classes: their subclasses, and disjoint members where the rows show no overlap."""
+    iri = lambda c: F.concat(F.lit(":"), local_name(c))
+    kind = classes.where("synthesized").select(iri(F.col("name")).alias("s"), F.lit("rdf:type").alias("p"), F.lit("owl:Class").alias("o"))
+    under = subclasses(classes).select(iri(F.col("child")).alias("s"), F.lit("rdfs:subClassOf").alias("p"), iri(F.col("parent")).alias("o"))
+    member = classes.where("disjoint").select("members", F.explode("members").alias("a")).select("a", F.explode("members").alias("b")).where("a < b")
+    apart = member.select(iri(F.col("a")).alias("s"), F.lit("owl:disjointWith").alias("p"), iri(F.col("b")).alias("o"))
+    return kind.unionByName(under).unionByName(apart).withColumn("literal", F.lit(False))
+
+
+def owl_triples(catalog: Catalog, found: Baseline, classes: DataFrame | None = None) -> DataFrame:
+    """s, p, o, literal: every statement of the ontology; names of the schema start with a colon. classes, as of
+    taxonomy.abstract_classes, are merged into it."""
     iri = lambda c: F.concat(F.lit(":"), local_name(c))
 
     def rows(df: DataFrame, s: Column, *pairs: tuple[str, Column, bool]) -> DataFrame:
@@ -122,7 +151,9 @@ def owl_triples(catalog: Catalog, found: Baseline) -> DataFrame:
         each(r.where(many), rel, "phys:joinToColumns", F.col("to_columns")),
         each(r.where(many), rel, "phys:joinToParentColumns", F.col("to_parent_columns")),
     ]
-    return reduce(DataFrame.unionByName, parts)
+    if classes is not None:
+        parts.append(taxonomy_triples(classes))
+    return reduce(DataFrame.unionByName, parts).distinct()
 
 
 def _quote(text: str) -> str:
@@ -227,17 +258,20 @@ def run_mapping(maps: DataFrame, frames: dict[str, DataFrame], data: str = DATA)
 
     rows = maps.collect()
     heads = {r.map_name: r for r in rows}
-    out = []
+    out, plain = [], {}
     for r in rows:
         child = frames[r.table_name].alias("c")
         s = subject(("_:" if r.blank else data) + r.subject + ("_" if r.blank else "/"), r.subject_columns, "c")
         if r.parent_map is None:
-            out.append(child.select(s.alias("s"), F.lit(r.predicate).alias("p"), F.col(f"c.`{r.column_name}`").cast("string").alias("o")))
+            fact = F.struct(F.lit(r.predicate).alias("p"), F.col(f"c.`{r.column_name}`").cast("string").alias("o"))
+            plain.setdefault(r.map_name, (child, s, []))[2].append(fact)
         elif (head := heads.get(r.parent_map)) is not None:
             parent = frames[head.table_name].alias("p")
             on = reduce(lambda a, b: a & b, [F.col(f"c.`{x}`") == F.col(f"p.`{y}`") for x, y in zip(r.child_columns, r.parent_columns, strict=True)])
             o = subject(("_:" if head.blank else data) + head.subject + ("_" if head.blank else "/"), head.subject_columns, "p")
             out.append(child.join(parent, on).select(s.alias("s"), F.lit(r.predicate).alias("p"), o.alias("o")))
+    # one scan for all the columns of a map
+    out += [child.select(s.alias("s"), F.explode(F.array(*facts)).alias("x")).select("s", "x.p", "x.o") for child, s, facts in plain.values()]
     return reduce(DataFrame.unionByName, out).where("s IS NOT NULL AND o IS NOT NULL")
 
 

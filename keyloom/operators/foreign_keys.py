@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from keyloom.functions.naming import plural, singular
 from keyloom.functions.sqltypes import compatible
 from keyloom.operators.probes import Pair, value_overlap_pairs
-from keyloom.plans.catalog import FKS, Catalog
+from keyloom.plans.catalog import FKS, Catalog, local_frame
 
 ORDER = ["order_1", "order_2", "order_3", "order_4"]
 UNIQUE_TARGET = 0.05
@@ -167,9 +167,14 @@ def ranked(found: DataFrame, options: Options = Options()) -> DataFrame:
 
 
 def infer(catalog: Catalog, frames: dict[str, DataFrame] | None = None, options: Options = Options()) -> DataFrame:
-    """Ranked candidates; with the tables' DataFrames, weighed by the overlap of all their column pairs in one pass."""
+    """Ranked candidates; with the tables' DataFrames, weighed by the overlap of all their column pairs in one pass. A pair of
+    which a table or column isn't among the DataFrames has no figure and stays as it is."""
     found = candidates(catalog, options)
-    if frames is not None and (pairs := [p for p in pairs_of(found) if p[0] in frames and p[2] in frames]):
+    if frames is not None:
+        found = local_frame(catalog.spark, found.collect(), found.schema.simpleString())  # metadata, worked out once for the pairs and the fold
+        has = {t: set(df.columns) for t, df in frames.items()}
+        pairs = [p for p in pairs_of(found) if p[1] in has.get(p[0], ()) and p[3] in has.get(p[2], ())]
+    if frames is not None and pairs:
         found = weigh(found, value_overlap_pairs(frames, pairs), options)
     return ranked(found, options)
 

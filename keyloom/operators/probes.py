@@ -140,7 +140,9 @@ def specialization_counts(parent: DataFrame, key: str, children: list[tuple[Data
 
 
 def mapped_join_count(child: DataFrame, parent: DataFrame, on: list[tuple[str, str]]) -> DataFrame:
-    """n: rows that a mapping's join condition gives, (child column, parent column) by pair."""
-    c, p = child.alias("c"), parent.alias("p")
-    condition = reduce(lambda a, b: a & b, [F.col(f"c.`{x}`") == F.col(f"p.`{y}`") for x, y in on])
-    return c.join(p, condition).agg(F.count("*").alias("n"))
+    """n: rows that a mapping's join condition gives, (child column, parent column) by pair. Counts by key meet, not rows, so
+    that a key with m and n rows costs one row a side."""
+    side = lambda df, names: df.select(*(F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(names))).dropna()
+    keys = [f"k{i}" for i in range(len(on))]
+    counted = [side(df, names).groupBy(*keys).agg(F.count("*").alias(n)) for df, names, n in ((child, [x for x, _ in on], "m"), (parent, [y for _, y in on], "n"))]
+    return counted[0].join(counted[1], keys).agg(F.coalesce(F.sum(F.col("m") * F.col("n")), F.lit(0)).cast("long").alias("n"))

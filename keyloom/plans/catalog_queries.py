@@ -9,7 +9,7 @@ from keyloom.functions.sqltypes import json_type, type_category
 from keyloom.operators import baseline, exports, foreign_keys, graph, taxonomy
 from keyloom.operators.overlay import apply_overlay, overlay_summary
 from keyloom.plans import driver, samples
-from keyloom.plans.catalog import from_dict, from_frames, local_frame
+from keyloom.plans.catalog import from_dict, from_frames, local_frame, settled
 from keyloom.plans.data_queries import PAIRS, _overlap_sql
 
 QUERIES: dict = {}
@@ -24,7 +24,7 @@ def _values(columns: str, *rows: tuple) -> str:
 
 
 def _declared(s, d):
-    return apply_overlay(driver.catalog(s, d), driver.OVERLAY)
+    return settled(apply_overlay(driver.catalog(s, d), driver.OVERLAY))
 
 
 def _joined(df, *columns):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Any
@@ -9,6 +10,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 
 from keyloom.operators import rows
+from keyloom.operators.foreign_keys import infer
 from keyloom.plans.catalog import Catalog
 from keyloom.sources import files, information_schema
 from keyloom.sources.urls import SOURCES, expand_env, jdbc_target, source_type
@@ -66,6 +68,23 @@ class Session:
         return rows.dump_csv(self.table(name), path, header)
 
 
+def frames_of(session: Session, catalog: Catalog) -> dict[str, DataFrame]:
+    """The DataFrames of a catalog's tables, for evidence on the rows; a table that can't be opened is left out."""
+    out = {}
+    for r in catalog.tables.where("NOT is_view").orderBy("table_name").collect():
+        try:
+            out[r.table_name] = session.table(r.table_name)
+        except Exception as error:  # a source's own errors, whatever their kind: the table then has no figures
+            logging.getLogger(__name__).warning("no rows of %s: %s", r.table_name, type(error).__name__)
+    return out
+
+
+def measured_keys(spark: SparkSession, kind: str | None, connection: str, namespace: str = "public", catalog: Catalog | None = None) -> DataFrame:
+    """Foreign-key candidates of a source, weighed by the overlap of its rows."""
+    catalog = catalog or read_catalog(spark, kind, connection, namespace)
+    return infer(catalog, frames_of(open_session(spark, kind, connection, namespace), catalog))
+
+
 def open_session(spark: SparkSession, kind: str | None, connection: str, namespace: str = "public") -> Session:
     """A session for sources with rows; models and manifests have none."""
     kind = source_type(kind)

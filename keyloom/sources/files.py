@@ -29,15 +29,31 @@ def folder(path: str) -> Path:
     return at
 
 
-def csv_frame(spark: SparkSession, path: str, delimiter: str | None = None, header: bool = True) -> DataFrame:
-    """All columns as text, empty as null; without a header the columns are column_1, column_2 and so on."""
-    df = spark.read.csv(path, sep=delimiter or ("\t" if path.lower().endswith(".tsv") else ","), header=header, quote='"', escape='"', multiLine=True)
+def csv_frame(spark: SparkSession, path: str, delimiter: str | None = None, header: bool = True, multi_line: bool | None = None) -> DataFrame:
+    """All columns as text, empty as null; without a header the columns are column_1, column_2 and so on.
+
+    multi_line: whether quoted values span lines, which makes each file one task; by default a scan of the lines tells it,
+    as one of them then has an odd number of quotes."""
+    if multi_line is None:
+        quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+        multi_line = not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+    sep = delimiter or ("\t" if path.lower().endswith(".tsv") else ",")
+    df = spark.read.csv(path, sep=sep, header=header, quote='"', escape='"', multiLine=multi_line)
     return df if header else df.toDF(*(f"column_{i + 1}" for i in range(len(df.columns))))
 
 
 def csv_frames(spark: SparkSession, path: str, delimiter: str | None = None, header: bool = True) -> dict[str, DataFrame]:
-    files = sorted(p for p in folder(path).iterdir() if p.suffix.lower() in ENDINGS)
-    return {p.stem: csv_frame(spark, str(p), delimiter, header) for p in files}
+    """A table a file of a folder: a local one, or one of any file system Spark reads, given with its scheme."""
+    if "://" in path:
+        if (base := os.environ.get(BASE_DIR)) and not (path.startswith(base.rstrip("/") + "/") and ".." not in path.split("/")):
+            raise ValueError(f"{path} isn't under {base}")
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        listed = at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)
+        files = sorted((f.getPath().getName(), f.getPath().toString()) for f in listed)
+    else:
+        files = sorted((p.name, str(p)) for p in folder(path).iterdir())
+    chosen = [(Path(n), full) for n, full in files if Path(n).suffix.lower() in ENDINGS]
+    return {n.stem: csv_frame(spark, full, delimiter, header) for n, full in chosen}
 
 
 def column_types(sample: DataFrame) -> dict[str, str]:
@@ -80,7 +96,7 @@ def csv_catalog(spark: SparkSession, path: str, delimiter: str | None = None, he
             checks = [{"name": f"{c}_enum", "expression": f"{c} IN ({', '.join(repr(v) for v in found[c])})", "columns": [c], "enum_values": found[c]} for c in df.columns if c in found]
         sample.unpersist()
         tables[name] = {"columns": [{"name": c, "data_type": kinds[c], "is_nullable": c not in key, "is_unique": [c] == key, "ordinal": i + 1} for i, c in enumerate(df.columns)], "primary_key": key, "check_constraints": checks}
-    return from_dict(spark, {"tables": tables, "source": {"dialect": "csv", "namespace": str(folder(path))}})
+    return from_dict(spark, {"tables": tables, "source": {"dialect": "csv", "namespace": path if "://" in path else str(folder(path))}})
 
 
 def parquet_frames(spark: SparkSession, path: str, names: list[str] | None = None) -> dict[str, DataFrame]:
@@ -129,9 +145,14 @@ def dbt_catalog(spark: SparkSession, path: str) -> Catalog:
         at = next((p for p in (at / "manifest.json", at / "target" / "manifest.json") if p.is_file()), at / "manifest.json")
     if not at.is_file():
         raise ValueError(f"no manifest at {at}")
-    doc = spark.read.text(str(at), wholetext=True).select(F.from_json("value", DBT_SCHEMA).alias("m")).collect()[0].m
+    return dbt_model(spark, at.read_text(encoding="utf-8"), str(at))
+
+
+def dbt_model(spark: SparkSession, text: str, name: str = "it") -> Catalog:
+    """The catalog of a manifest's text."""
+    doc = spark.createDataFrame([(text,)], "value string").select(F.from_json("value", DBT_SCHEMA).alias("m")).collect()[0].m
     if doc is None or doc.nodes is None:
-        raise ValueError(f"{at} is no manifest")
+        raise ValueError(f"{name} is no manifest")
     tables: dict[str, dict] = {}
     for uid, n in doc.nodes.items():
         if n.resource_type not in ("model", "seed", "snapshot") or not n.name:
@@ -205,6 +226,11 @@ def osi_catalog(spark: SparkSession, path: str) -> Catalog:
         import yaml
 
         doc = yaml.safe_load(text)
+    return osi_model(spark, doc)
+
+
+def osi_model(spark: SparkSession, doc: dict) -> Catalog:
+    """The catalog of a model that has been read."""
     if not isinstance(doc, dict):
         raise ValueError("a model is a mapping at the top")
     listed = lambda x: x if isinstance(x, list) else [] if x is None else [x]
