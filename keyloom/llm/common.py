@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,6 +40,14 @@ def shared_dir(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
+def tidy() -> None:
+    """Gives memory that a task no longer uses back to the machine: workers live on, and an executor has several."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the usual C library
+    if trim is not None:
+        trim(0)
+
+
 class Scratch:
     """Written intermediate tables of one run: they cut lineage and survive lost executors. A result that is read later
     needs its last tables, so what is left is dropped when the session's context ends."""
@@ -135,10 +145,26 @@ def map_slices(df: DataFrame, rows: Callable[..., Iterable[tuple]], schema: T.St
             for at in range(0, len(made), SLICE):
                 part = zip(*made[at : at + SLICE], strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(list(x), f.type) for x, f in zip(part, fields, strict=True)], schema=pa.schema(fields))
+        del state
+        tidy()
 
     return df.mapInArrow(run, schema)
 
 
+def map_column(df: DataFrame, column: str, one: Callable, kind: str, setup: Callable | None = None) -> Column:
+    """one(state, value) of a column, for withColumn or where: other columns stay on Spark's side."""
+    small_batches(df.sparkSession)
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        state = setup() if setup else None
+        for batch in batches:
+            yield pd.Series([one(state, x) for x in batch], dtype=bool if kind == "boolean" else object)
+        del state
+        tidy()
+
+    return F.pandas_udf(run, kind)(F.col(f"`{column}`"))
+
+
 def map_texts(df: DataFrame, row: Callable[..., tuple], schema: T.StructType | str, setup: Callable | None = None) -> DataFrame:
     """row(state, *columns) -> tuple for each row."""
     return map_slices(df, lambda state, *columns: [row(state, *values) for values in zip(*columns, strict=True)], schema, setup)

@@ -8,14 +8,12 @@ executors; the weights, a few vectors, go to every task.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import documents, held_out, map_texts, small_batches
+from keyloom.llm.common import documents, held_out, map_column, map_texts
 
 BINS = 2048
 #: Families of language codes; a code that is in none is a family of its own.
@@ -183,12 +181,9 @@ def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     Rejected are null texts, texts without letters, and, where nothing was to be learned from, all.
     """
     model = fit(docs, id_col, text_col, lang_col, per_lang)
-    small_batches(docs.sparkSession)
 
-    def told(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        letters = _letters()
-        for batch in texts:
-            vectors = (features(letters, t) if t and model else None for t in batch)
-            yield pd.Series([v is not None and model.predict(v)[1] >= least_score for v in vectors], dtype=bool)
+    def told(letters, text) -> bool:
+        v = features(letters, text) if text and model else None
+        return v is not None and model.predict(v)[1] >= least_score
 
-    return docs.where(F.pandas_udf(told, "boolean")(F.col(f"`{text_col}`")))
+    return docs.where(map_column(docs, text_col, told, "boolean", _letters))

@@ -14,7 +14,7 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import documents, map_slices, map_texts, small_batches
+from keyloom.llm.common import Scratch, documents, map_column, map_slices, map_texts, small_batches
 
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -114,8 +114,17 @@ def dictionary(docs: DataFrame, text_col: str = "text", most: int = 20_000) -> d
 
     texts = docs.select(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     small_batches(docs.sparkSession)
-    counts = map_slices(texts, rows, "word string, n long", size=100_000).groupBy("word").agg(F.sum("n").alias("n"))
-    found = [r.word for r in counts.orderBy(F.desc("n"), "word").limit(most).select("word").collect()]  # `most` rows
+    scratch = Scratch(docs.sparkSession, "words")
+    counts = scratch.write(map_slices(texts, rows, "word string, n long", size=100_000).groupBy("word").agg(F.sum("n").alias("n")))
+    # only words as frequent as to be among the most: by powers of two, a few rows
+    power = F.floor(F.log2("n")).cast("int")
+    seen, least = 0, 0
+    for r in sorted(counts.groupBy(power.alias("p")).agg(F.count("*").alias("words")).collect(), reverse=True):
+        seen, least = seen + r.words, r.p
+        if seen >= most:
+            break
+    best = scratch.write(counts.where(power >= least).orderBy(F.desc("n"), "word").limit(most))
+    found = [r.word for r in best.orderBy(F.desc("n"), "word").select("word").collect()]  # `most` rows
     ranks = dict(RANK)
     for i, w in enumerate(found):
         ranks[w] = min(i + 1, ranks.get(w, i + 1))
@@ -143,7 +152,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leas
 
     ranks = dictionary(docs, text_col)
 
-    def clean(text: str | None) -> str | None:
+    def clean(_, text: str | None) -> str | None:
         if not text:
             return text
         found, _ = scan(text, least_log10_guesses, least_chars, ranks)
@@ -156,9 +165,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leas
             at = max(at, end)
         return "".join([*out, text[at:]])
 
-    small_batches(docs.sparkSession)
-    cleaned = F.pandas_udf(lambda texts: texts.map(clean), "string")
-    return docs.withColumn(text_col, cleaned(F.col(f"`{text_col}`")))
+    return docs.withColumn(text_col, map_column(docs, text_col, clean, "string"))
 
 
 def digest_columns(found: DataFrame) -> DataFrame:
