@@ -97,7 +97,7 @@ class Pairs:
             w = linear_svm(x[rows], y)
             weights.append(w)
             scales.append(platt(x[rows] @ w[:-1] + w[-1], y))
-        self.weights = np.array(weights, np.float32).reshape(len(self.pairs), -1)
+        self.weights = np.array(weights, np.float32).reshape(len(self.pairs), x.shape[1] + 1)
         self.scales = np.array(scales).reshape(-1, 2)
 
     def best(self, v: np.ndarray) -> tuple[str, float]:

@@ -41,3 +41,16 @@ def test_exact_copies_with_null_or_repeated_ids(spark):
     rows = [(1, "a"), (None, "a"), (2, "b"), (2, "b"), (2, "c"), (None, "d"), (None, "d"), (3, None), (4, "")]
     got = corpus_pipeline.exact_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), DIR).collect()
     assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted([(1, "a"), (2, "b"), (2, "c"), (None, "d"), (4, "")], key=str)
+
+
+def test_stages_with_nulls_and_clashing_columns(spark, tmp_path):
+    words = " ".join(f"word{chr(97 + k % 26)}" for k in range(80))
+    rows = [(2**60 + 1, words, "en", "k"), (2**60 + 3, words + " end", "en", None), (None, words + " end more", "en", "x"), (4, None, None, None), (5, "", None, "y"), (5, "a b c", "en", "y"), (5, "a b c", "en", "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, kept string")
+    for name, stage in corpus_pipeline.STAGES:
+        made = stage(spark, docs, DIR)
+        made.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        if name != "packing":
+            assert docs.columns == ["doc_id", "text", "lang", "kept"]
+    assert sorted(str(r.doc_id) for r in docs.collect()) == sorted([str(2**60 + 1), "None", "5"])
