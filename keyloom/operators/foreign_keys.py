@@ -85,12 +85,14 @@ def single_candidates(catalog: Catalog, options: Options = Options()) -> DataFra
     same_type = F.lower(F.trim("data_type")) == F.lower(F.trim("f_type"))
     loose = ~F.col("is_nullable") & F.col("f_nullable")
     confidence = F.col("base") - F.when(F.col("is_pk"), 0.0).otherwise(UNIQUE_TARGET) + F.when(same_type, 0.1).otherwise(0.0) - F.when(loose, 0.1).otherwise(0.0)
-    named = F.concat(F.lit("name pattern '"), "column_name", F.lit("' → "), "foreign_table", F.lit("."), "key_column", F.when(F.col("is_pk"), "").otherwise(" (UNIQUE column, not the primary key)"))
-    keyed = F.concat(F.lit("column '"), "column_name", F.lit("' matches the "), F.when(F.col("is_pk"), "primary key").otherwise("UNIQUE column"), F.lit(" of '"), "foreign_table", F.lit("' (non-generic name)"))
+    target = F.concat(F.col("foreign_table"), F.lit("."), F.col("key_column"))
+    kind = F.when(F.col("is_pk"), "primary").otherwise("unique")
+    named = F.concat(F.col("column_name"), F.lit(" reads as a reference to the "), kind, F.lit(" key "), target)
+    keyed = F.concat(F.col("column_name"), F.lit(" has the name of the "), kind, F.lit(" key "), target)
     evidence = F.array(
         F.when(F.col("method") == "pk_name_match", keyed).otherwise(named),
-        F.when(same_type, F.concat(F.lit("identical data_type '"), "data_type", F.lit("'"))),
-        F.when(loose, F.concat(F.lit("'"), "table_name", F.lit("."), "column_name", F.lit("' is NOT NULL but '"), "foreign_table", F.lit("."), "key_column", F.lit("' is nullable"))),
+        F.when(same_type, F.concat(F.lit("both are of type "), F.col("data_type"))),
+        F.when(loose, F.concat(F.lit("required here, while "), target, F.lit(" may be null"))),
     )
     scored = every.withColumns({"confidence": score(confidence), "evidence": F.filter(evidence, lambda e: e.isNotNull())})
     top = Window.partitionBy("table_name", "column_name").orderBy(F.desc("confidence"), "n", "f_pos", "place")
@@ -122,7 +124,7 @@ def composite_candidates(catalog: Catalog) -> DataFrame:
         .join(place("table_name", "order_3"), "table_name")
         .select(
             "table_name", F.col("foreign_columns").alias("columns"), "foreign_table", "foreign_columns", "confidence", F.lit("composite").alias("method"),
-            F.array(F.concat(F.lit("composite match on PK of '"), "foreign_table", F.lit("': ("), F.array_join("foreign_columns", ", "), F.lit(")"))).alias("evidence"),
+            F.array(F.concat(F.lit("has all key columns of "), "foreign_table", F.lit(": "), F.array_join("foreign_columns", ", "))).alias("evidence"),
             F.lit(1).alias("order_1"), "order_2", "order_3", F.lit(1).alias("order_4"),
         )
     )
@@ -151,7 +153,7 @@ def weigh(found: DataFrame, overlaps: DataFrame, options: Options = Options()) -
     mean = got.groupBy(*id_).agg(F.avg("overlap").alias("overlap"), F.min("overlap").alias("least"), F.count("*").alias("measured"))
     out = found.join(mean, id_, "left")
     bump = F.when(F.col("overlap") >= 0.9, 0.15).when(F.col("overlap") >= 0.5, 0.05).when(F.col("overlap") <= 0, -0.25).otherwise(0.0)
-    note = F.concat(F.lit("value overlap avg="), F.format_string("%.2f", "overlap"), F.lit(" ("), F.col("measured").cast("string"), F.lit(" cols sampled)"))
+    note = F.concat(F.lit("share of values found in the key: "), F.format_string("%.2f", "overlap"), F.lit(", mean of "), F.col("measured").cast("string"), F.lit(" column pairs"))
     out = out.withColumn("confidence", F.when(F.col("overlap").isNull(), F.col("confidence")).otherwise(score(F.col("confidence") + bump)))
     out = out.withColumn("evidence", F.when(F.col("overlap").isNull(), F.col("evidence")).otherwise(F.concat("evidence", F.array(note))))
     if options.veto_on_zero:

@@ -42,7 +42,7 @@ def test_overlap_folds_in(spark):
     users, catalog = frame([(1,), (2,)], "id int"), from_dict(spark, tables)
     good = foreign_keys.infer(catalog, {"users": users, "posts": frame([(1, 1), (2, None)], "id int, user_id int")}).collect()
     assert [(r.confidence, r.overlap) for r in good] == [(1.0, 1.0)]
-    assert "value overlap avg=1.00 (1 cols sampled)" in good[0].evidence
+    assert "share of values found in the key: 1.00, mean of 1 column pairs" in good[0].evidence
     assert foreign_keys.infer(catalog, {"users": users, "posts": frame([(1, 7)], "id int, user_id int")}).collect() == []
     nothing = foreign_keys.infer(catalog, {"users": users, "posts": frame([(1, None)], "id int, user_id int")}).collect()
     assert [(r.confidence, r.overlap) for r in nothing] == [(0.85, None)]
