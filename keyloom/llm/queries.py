@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from keyloom.llm import bpe, embed_dedup
 from keyloom.llm import exact_dedup as exact
 from keyloom.llm import near_dedup as near
-from keyloom.llm import language, licenses, packing, secrets, whitening
+from keyloom.llm import language, lexical_search, licenses, packing, secrets, whitening
 from keyloom.llm import toxicity as toxic
 from keyloom.llm import url_filter as urls
 from keyloom.session import table
@@ -75,13 +75,20 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").try_cast("long"))
 
 
-QUERIES = [op1_secrets, op2_near_dedup, op3_language, op4_exact_dedup, op5_licenses, op6_url_filter, op7_toxicity, op8_bpe, op9_embedding_dedup, op10_packing, op12_whitening]
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = [op1_secrets, op2_near_dedup, op3_language, op4_exact_dedup, op5_licenses, op6_url_filter, op7_toxicity, op8_bpe, op9_embedding_dedup, op10_packing, op12_whitening, op13_lexical_search]
 
 #: Components of links (a, b) over nodes: the smallest node reachable.
 COMPONENTS = """e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
         r(node, seen) AS (SELECT id, id FROM nodes UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.seen),
         c AS (SELECT node, min(seen) AS component_id FROM r GROUP BY node)"""
 
+#: Terms of a text as a list, in DuckDB.
+TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
 SQL = {
     "op2_near_dedup": f"""
         WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t-\\r]+'), lambda x: x <> '') AS w FROM documents),
@@ -101,6 +108,18 @@ SQL = {
         l AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id < y.vec_id AND len(x.v) = len(y.v) WHERE list_cosine_similarity(x.v, y.v) >= 0.9),
         nodes AS (SELECT vec_id AS id FROM embeddings), {COMPONENTS}
         SELECT m.vec_id, (SELECT count(*) FROM e WHERE e.a = m.vec_id) AS n_links, c.component_id, m.vec_id = c.component_id AS kept FROM embeddings m JOIN c ON c.node = m.vec_id""",
+    "op13_lexical_search": f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, {TERMS} AS t FROM documents),
+        g AS (SELECT doc_id, r, t, len(t)::BIGINT AS n FROM d WHERE len(t) > 0),
+        total AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_all FROM g),
+        p AS (SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, n, unnest(t) AS term FROM g) GROUP BY ALL),
+        w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w
+              FROM (SELECT term, count(*) AS df FROM p GROUP BY term), total),
+        i AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({TERMS}) AS term FROM benchmark) GROUP BY ALL),
+        s AS (SELECT item_id, r, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_all))))::BIGINT AS score
+              FROM i JOIN w USING (term) JOIN p USING (term), total GROUP BY item_id, r, doc_id)
+        SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score
+        FROM s WHERE score > 0 QUALIFY rank <= 20""",
 }
 
 
