@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -173,3 +173,28 @@ def map_texts(df: DataFrame, row: Callable[..., tuple], schema: T.StructType | s
 def held_out(id_col: str = "doc_id"):
     """The documents that no model learns from."""
     return (F.crc32(F.col(id_col).cast("string").cast("binary")) % 3) == 1
+
+
+def hash_sample(rows: DataFrame, most: int, by: str) -> DataFrame:
+    """`most` rows for each value of a column at most: those least by a hash of the whole row. Rows that repeat whole count
+    once, though as rows in how far the hash is read, so that many repeats can make the sample smaller. Values without
+    rows are dropped, and so are rows with a null in the column; there must be few values.
+
+    The hash is read as far as twice the rows asked for are expected, so some 2 * most rows of a value meet in one task.
+    """
+    enough = 2 * most + 64
+    hashed = rows.where(F.col(by).isNotNull()).withColumn("hash", F.xxhash64(*(F.col(f"`{c}`") for c in rows.columns)))
+    share = F.lit(enough) / F.col("n")
+    last = F.when(share < 0.99, ((share * 2 - 1) * F.lit(float(1 << 63))).cast("long")).otherwise(F.lit((1 << 63) - 1))
+    counts = rows.groupBy(by).agg(F.count("*").alias("n")).select(by, last.alias("last"))
+    few = hashed.join(F.broadcast(counts), by).where("hash <= last").dropDuplicates([by, "hash"])  # counts: a row a value
+    place = F.row_number().over(Window.partitionBy(by).orderBy("hash"))
+    return few.withColumn("place", place).where(F.col("place") <= most).select(rows.columns)
+
+
+def one_text_each(texts: DataFrame, chosen: DataFrame, *more: str) -> DataFrame:
+    """doc_id, text and the named columns of chosen, of which there are few; an id with several texts has the one whose
+    hash is least, whatever the order of rows."""
+    held = texts.join(F.broadcast(chosen.select("doc_id", *more)), "doc_id")
+    least = held.groupBy("doc_id", *more).agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("least"))
+    return least.select("doc_id", "least.text", *more)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from keyloom.llm import bpe, embed_dedup
 from keyloom.llm import exact_dedup as exact
 from keyloom.llm import near_dedup as near
-from keyloom.llm import language, lexical_search, licenses, packing, secrets, whitening
+from keyloom.llm import language, lexical_search, licenses, packing, quality, secrets, whitening
 from keyloom.llm import toxicity as toxic
 from keyloom.llm import url_filter as urls
 from keyloom.session import table
@@ -70,6 +70,10 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.embed_dedup(table(spark, sf_dir, "embeddings"))
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """deviation as long; null where it has more digits, which takes some millions of vectors of 64 entries."""
     return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").try_cast("long"))
@@ -79,7 +83,7 @@ def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = [op1_secrets, op2_near_dedup, op3_language, op4_exact_dedup, op5_licenses, op6_url_filter, op7_toxicity, op8_bpe, op9_embedding_dedup, op10_packing, op12_whitening, op13_lexical_search]
+QUERIES = [op1_secrets, op2_near_dedup, op3_language, op4_exact_dedup, op5_licenses, op6_url_filter, op7_toxicity, op8_bpe, op9_embedding_dedup, op10_packing, op11_quality, op12_whitening, op13_lexical_search]
 
 #: Components of links (a, b) over nodes: the smallest node reachable.
 COMPONENTS = """e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
