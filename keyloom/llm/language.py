@@ -8,15 +8,16 @@ executors; the weights, a few vectors, go to every task.
 from __future__ import annotations
 
 import itertools
+import math
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import documents, held_out, map_column, map_texts
+from keyloom.llm.common import documents, hash_sample, held_out, map_column, map_texts
 
 BINS = 2048
-#: Families of language codes; a code that is in none is a family of its own.
+#: Families of language codes; codes that are in none are grouped by their texts.
 FAMILIES = {
     "germanic": "en de nl sv da no nb nn is af lb fy yi",
     "romance": "fr es it pt ro ca gl oc la",
@@ -31,8 +32,8 @@ FAMILIES = {
 }
 FAMILY = {code: family for family, codes in FAMILIES.items() for code in codes.split()}
 UNKNOWN = "und"
-#: Bits of a hash that number its slices.
-SLICE_BITS = 14
+#: So many languages of unknown family are a family each.
+FEW = 4
 
 
 def _letters() -> np.ndarray:
@@ -115,9 +116,29 @@ class Pairs:
         return self.labels[k], float(total[k] / (len(self.labels) - 1))
 
 
+def families_of(x: np.ndarray, langs: np.ndarray) -> dict[str, str]:
+    """Each language's family: the known one of its code, else one of some groups of languages with like mean vectors, so
+    that pairs to be fitted stay few. Groups are named by their first language."""
+    out = {lang: FAMILY[lang] for lang in set(langs.tolist()) if lang in FAMILY}
+    other = sorted(set(langs.tolist()) - set(out))
+    if len(other) <= FEW:
+        return out | {lang: lang for lang in other}
+    means = np.stack([x[langs == lang].mean(axis=0) for lang in other]).astype(float)
+    means /= np.sqrt((means**2).sum(axis=1, keepdims=True))
+    groups: list[list[int]] = []
+    room = math.ceil(math.sqrt(len(other)))
+    left = list(range(len(other)))
+    while left:  # the first that is left, and those most like it
+        near = sorted(left, key=lambda k: (k != left[0], -means[k] @ means[left[0]], k))[:room]
+        groups.append(near)
+        left = [k for k in left if k not in near]
+    return out | {other[k]: other[min(g)] for g in groups for k in g}
+
+
 class Model:
     def __init__(self, x: np.ndarray, langs: np.ndarray):
-        families = np.array([FAMILY.get(lang, lang) for lang in langs.tolist()])
+        family = families_of(x, langs)
+        families = np.array([family[lang] for lang in langs.tolist()])
         self.family = Pairs(x, families)
         self.within = {f: Pairs(x[families == f], langs[families == f]) for f in self.family.labels}
 
@@ -127,45 +148,33 @@ class Model:
         return lang, p * q
 
 
-def least_of_each(ids: DataFrame, most: int) -> DataFrame:
-    """`most` rows of each language at most, the least by a hash of the id. Counts by slice of the hash tell how far it has to
-    be read, so that only some thousand rows of a language meet in one task, whatever its share."""
-    slices = ids.withColumn("hash", F.xxhash64("doc_id")).withColumn("slice", F.shiftrightunsigned("hash", 64 - SLICE_BITS))
-    counts = slices.groupBy("lang", "slice").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.partitionBy("lang").orderBy("slice")) - F.col("n")
-    last = counts.withColumn("before", before).where(F.col("before") < most).groupBy("lang").agg(F.max("slice").alias("last"))
-    few = slices.join(F.broadcast(last), "lang").where("slice <= last")  # a row a language, of which the model holds all pairs
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("slice", "hash", "doc_id"))
-    return few.withColumn("place", place).where(F.col("place") <= most).select("doc_id", "lang")
-
-
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 500) -> Model | None:
-    """A model from `per_lang` rows a language at most, the least by a hash of their id, of those not held out."""
-    ids = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
-    ids = ids.where(~held_out() & F.col("lang").isNotNull())
-    chosen = least_of_each(ids, per_lang)
-    texts = documents(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "lang")  # bounded: per_lang rows a language
-    rows = map_texts(
-        texts,
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 500, most_langs: int = 64) -> Model | None:
+    """A model from `per_lang` rows a language at most, the least by a hash of the whole row, of those not held out; of the
+    `most_langs` most frequent languages, the first by name of equally frequent ones."""
+    rows = documents(docs.withColumn("lang", F.col(f"`{lang_col}`").cast("string")), id_col, text_col, "lang").where(~held_out() & F.col("lang").isNotNull())
+    usual = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).select("lang")
+    usual_rows = rows.join(F.broadcast(usual), "lang", "left_semi")  # usual: most_langs rows
+    vectors = map_texts(
+        hash_sample(usual_rows, per_lang, "lang").select("doc_id", "text", "lang"),
         lambda letters, doc_id, text, lang: (doc_id, lang, None if (v := features(letters, text)) is None else v.tobytes()),
         "doc_id long, lang string, vector binary",
         _letters,
     ).where("vector IS NOT NULL")
-    got = sorted((r.doc_id, r.lang, bytes(r.vector)) for r in rows.toLocalIterator())
+    got = sorted((r.doc_id, r.lang, bytes(r.vector)) for r in vectors.toLocalIterator())  # per_lang * most_langs rows
     if not got:
         return None
     return Model(np.stack([np.frombuffer(v, np.float32) for _, _, v in got]), np.array([lang for _, lang, _ in got]))
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 500) -> DataFrame:
+def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 500, most_langs: int = 64) -> DataFrame:
     """doc_id, held_out, lang_pred, score: a row for each row of docs, by whole texts only.
 
     lang_pred is a learned language or `und`, score 0, if the text is null or has no letter, or if nothing was to be learned
     from. score is the family's probability times the language's within it; of languages with equal votes the one with the
     higher sum of probabilities wins, then the first by name. held_out is null for a null id. Rows that repeat an id are
-    judged each for itself. An empty table gives no rows; other columns are ignored.
+    learned and judged each for itself; rows that repeat whole are learned once. An empty table gives no rows; other columns are ignored.
     """
-    model = fit(docs, id_col, text_col, lang_col, per_lang)
+    model = fit(docs, id_col, text_col, lang_col, per_lang, most_langs)
 
     def row(letters, doc_id, text, out):
         v = features(letters, text) if model else None
@@ -175,12 +184,13 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return map_texts(texts, row, "doc_id long, held_out boolean, lang_pred string, score double", _letters)
 
 
-def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 500, least_score: float = 0.3) -> DataFrame:
+def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 500, most_langs: int = 64, least_score: float = 0.3) -> DataFrame:
     """The rows of docs, all columns as they are, whose text has a language that is told with `least_score` or more.
 
-    Rejected are null texts, texts without letters, and, where nothing was to be learned from, all.
+    Rejected are null texts, texts without letters, and, where nothing was to be learned from, all. Rows that repeat an id
+    are judged each for itself, and an empty table stays empty.
     """
-    model = fit(docs, id_col, text_col, lang_col, per_lang)
+    model = fit(docs, id_col, text_col, lang_col, per_lang, most_langs)
 
     def told(letters, text) -> bool:
         v = features(letters, text) if text and model else None

@@ -1,6 +1,9 @@
 """Language identification on held-out documents, and its edges."""
 
 import math
+from collections import Counter
+
+import numpy as np
 
 from keyloom.llm import language
 
@@ -15,7 +18,7 @@ def test_held_out_accuracy(spark):
 
 
 def test_every_pair_one_by_one(spark):
-    """Predictions against a plain vote of all pairs, first of families and then within the family; the sample by a full sort."""
+    """Predictions against a plain vote of all pairs, first of families and then within the family."""
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     model = language.fit(docs, per_lang=20)
     letters = language._letters()
@@ -39,12 +42,35 @@ def test_every_pair_one_by_one(spark):
         family, p = voted(model.family, v)
         lang, q = voted(model.within[family], v)
         assert got[r.doc_id].lang_pred == lang and abs(got[r.doc_id].score - p * q) < 1e-4
-    ids = docs.where(~language.held_out() & docs.lang.isNotNull()).selectExpr("doc_id", "lang", "xxhash64(doc_id) AS h").collect()
-    chosen = language.least_of_each(docs.select("doc_id", "lang").where(~language.held_out() & docs.lang.isNotNull()), 20).collect()
-    assert len({(r.lang, r.doc_id) for r in chosen}) == len(chosen)
-    for lang in {r.lang for r in ids}:
-        want = sorted((r.h % 2**64, r.doc_id) for r in ids if r.lang == lang)[:20]
-        assert {r.doc_id for r in chosen if r.lang == lang} == {i for _, i in want}
+
+
+def test_ids_with_many_texts(spark):
+    """A third of the rows hold one id, in two languages: each text is learned with its own label, and few of them."""
+    say = {"en": "the cat and the dog {} were in the house", "de": "der hund und die katze {} waren in dem haus"}
+    rows = [(6 if i % 3 == 0 else i, say["en" if i % 2 else "de"].format(i), "en" if i % 2 else "de") for i in range(5000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(8)
+    seen = []
+    model = language.Model.__init__
+    try:
+        language.Model.__init__ = lambda self, x, langs: (seen.append(Counter(langs.tolist())), model(self, x, langs))[1]
+        got = language.identify(docs, per_lang=200).join(docs.select("doc_id", "lang"), "doc_id").where("doc_id <> 6").collect()
+    finally:
+        language.Model.__init__ = model
+    assert seen == [{"en": 200, "de": 200}]
+    assert all(r.lang == r.lang_pred for r in got)
+    assert language.accepted(docs, per_lang=200).count() == len(rows)
+
+
+def test_many_codes_of_no_known_family(spark):
+    rng = np.random.default_rng(1)
+    langs = np.array([f"x-{k}" for k in range(40) for _ in range(3)] + ["en", "de"] * 3)
+    x = np.abs(rng.normal(size=(len(langs), 50)))
+    family = language.families_of(x, langs)
+    sizes = Counter(family.values())
+    assert family["en"] == family["de"] == "germanic" and len(sizes) == 7 and max(sizes.values()) <= 7
+    assert language.families_of(x[:9], langs[:9]) == {"x-0": "x-0", "x-1": "x-1", "x-2": "x-2"}
+    docs = spark.createDataFrame([(k, f"word{chr(97 + k % 26)} text number", f"l{k % 300}") for k in range(900)], "doc_id long, text string, lang string")
+    assert len({r.lang_pred for r in language.identify(docs, per_lang=3, most_langs=5).collect()}) <= 5
 
 
 def test_edges(spark):
