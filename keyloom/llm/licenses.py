@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from itertools import islice, takewhile
 
 import numpy as np
 import pandas as pd
@@ -66,6 +67,18 @@ def words(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
+#: Windows that are compared at once.
+STRETCH = 4096
+
+
+def _stretches(first: np.ndarray, last: np.ndarray, gap: int) -> tuple[list[int], list[int]]:
+    """Ranges, both ends included and in order, that overlap or have a gap of so many between them at most, as one each."""
+    if not len(first):
+        return [], []
+    new = np.append(True, first[1:] > last[:-1] + 1 + gap)
+    return first[new].tolist(), last[np.append(new[1:], True)].tolist()
+
+
 class Matcher:
     """Cosine of a line to the templates over TF-IDF weights; words of no template weigh as one in a document."""
 
@@ -100,43 +113,48 @@ class Matcher:
 
     def windows(self, tokens: list[str]) -> list[tuple[int, int, float, int]]:
         """start, end, cosine, template: of each template, the best windows of its length that reach `least`; of those that
-        overlap, the one of the greatest length times eighth power of the cosine."""
+        overlap, the one of the greatest length times eighth power of the cosine. By start."""
         spots: dict[int, list[int]] = {}
         for at, t in enumerate(tokens):
             for k in self.starts.get(t, ()):
                 spots.setdefault(k, []).append(at)
+        number: dict[str, int] = {}
+        ids = np.array([number.setdefault(t, len(number)) for t in tokens])
         found = []
         for k, places in spots.items():
-            size, own, done = self.sizes[k], self.weights[k], 0
-            if len(tokens) < size:
-                continue
-            for at in places:
-                first, last = max(done, at - size + 1), min(at, len(tokens) - size)
-                if first > last:
-                    continue
-                done = last + 1
-                bag, square, dot = Counter(), 0.0, 0.0
-
-                def move(t: str, by: int) -> None:
-                    nonlocal square, dot
-                    w = self.idf.get(t, self.other)
-                    square += ((bag[t] + by) ** 2 - bag[t] ** 2) * w * w
-                    dot += by * w * own.get(t, 0.0)
-                    bag[t] += by
-
-                for t in tokens[first : first + size]:
-                    move(t, 1)
-                for start in range(first, last + 1):
-                    if start > first:
-                        move(tokens[start - 1], -1)
-                        move(tokens[start + size - 1], 1)
-                    if (cosine := dot / square**0.5) >= self.least - 1e-9:
-                        found.append((start, start + size, min(1.0, cosine), k))
-        kept: list[tuple[int, int, float, int]] = []
-        for w in sorted(found, key=lambda w: (-round(w[2] ** 8 * (w[1] - w[0]), 9), w[3], w[0])):
-            if all(w[1] <= x[0] or x[1] <= w[0] for x in kept):
+            size, at = self.sizes[k], np.array(places)
+            first, last = np.maximum(at - size + 1, 0), np.minimum(at, len(tokens) - size)
+            for a, b in zip(*_stretches(first[first <= last], last[first <= last], 4 * size)):
+                for lo in range(a, b + 1, STRETCH):
+                    hi = min(b + 1, lo + STRETCH)
+                    cosine = self._cosines(k, tokens[lo : hi - 1 + size], ids[lo : hi - 1 + size])
+                    near = np.flatnonzero(cosine >= self.least - 1e-9)
+                    found.append((lo + near, np.full(len(near), size), np.minimum(1.0, cosine[near]), np.full(len(near), k)))
+        if not found:
+            return []
+        start, size, cosine, of = (np.concatenate(x) for x in zip(*found))
+        order = np.lexsort((start, of, -np.round(cosine**8 * size, 9)))
+        kept, taken = [], bytearray(len(tokens))
+        for w in zip(*(x[order].tolist() for x in (start, start + size, cosine, of))):
+            if taken.find(1, w[0], w[1]) < 0:
+                taken[w[0] : w[1]] = b"\1" * (w[1] - w[0])
                 kept.append(w)
-        return kept
+        return sorted(kept)
+
+    def _cosines(self, k: int, tokens: list[str], ids: np.ndarray) -> np.ndarray:
+        """The cosine of each window of a template's length. The square of a window's vector is the sum of its tokens'
+        squares, and twice that of a pair of equal tokens for each such pair."""
+        size, own = self.sizes[k], self.weights[k]
+        squares = np.array([self.idf.get(t, self.other) for t in tokens]) ** 2
+        sliding = np.lib.stride_tricks.sliding_window_view
+        dot = sliding(np.array([own.get(t, 0.0) for t in tokens]) * np.sqrt(squares), size).sum(axis=1)
+        whole = sliding(squares, size).sum(axis=1)
+        for apart in range(1, size):
+            same = np.where(ids[apart:] == ids[:-apart], squares[apart:], 0.0)
+            if same.any():
+                sums = np.append(0.0, np.cumsum(same))
+                whole += 2 * (sums[size - apart :] - sums[: len(sums) - size + apart])[: len(whole)]
+        return dot / np.sqrt(whole)
 
     def text(self, text: str) -> tuple[str | None, float, int, float]:
         """The license of the best line or window, its cosine, how many lines match or lie in a window, and their share of
@@ -145,10 +163,12 @@ class Matcher:
         tokens = [t for line in lines for t in line]
         if self.anchors.isdisjoint(tokens):
             return None, 0.0, 0, 0.0
-        windows, hits, covered, told, at = self.windows(tokens), [], [False] * len(tokens), 0, 0
+        windows, hits, covered, told, at, first = self.windows(tokens), [], [False] * len(tokens), 0, 0, 0
         for line in lines:
             end = at + len(line)
-            over = [w for w in windows if w[0] < end and at < w[1]]
+            while first < len(windows) and windows[first][1] <= at:
+                first += 1
+            over = list(takewhile(lambda w: w[0] < end, islice(windows, first, None)))  # noqa: B023
             longer = any(w[1] - w[0] > len(line) for w in over)
             hit = self.line(line) if not longer and not self.anchors.isdisjoint(line) else None
             if hit:

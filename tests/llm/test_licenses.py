@@ -1,9 +1,13 @@
 """License scans against the cosine of every line to every template, and inheritance against walking up the path."""
 
 import math
+import random
 import re
+import time
 from collections import Counter
 
+import pytest
+
 from keyloom.llm import licenses as li
 
 FILES = [
@@ -80,5 +84,45 @@ def test_wrapped_headers_and_license_files(spark):
     assert (got[1].effective_license, got[1].from_directory) == ("BSD-3-Clause", "a")
 
 
+def test_windows_against_all_windows():
+    """Every window of every template's length, and of those that overlap the best, one by one."""
+    rng = random.Random(4)
+    matcher = li.Matcher(li.TEMPLATES[:8], {"license": 40, "the": 90, "under": 30}, 100, 0.8)
+    bags = [Counter(li.words(t)) for _, t in li.TEMPLATES[:8]]
+    weigh = lambda bag: {w: n * matcher.idf.get(w, matcher.other) for w, n in bag.items()}
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    for _ in range(20):
+        parts = [li.words(rng.choice(li.TEMPLATES[:8])[1]) if rng.random() < 0.5 else rng.choices(["x", "the", "license", "y"], k=rng.randint(0, 6)) for _ in range(8)]
+        tokens = [w for p in parts for w in p if rng.random() > 0.05]
+        found = []
+        for k, bag in enumerate(bags):
+            u, size = weigh(bag), bag.total()
+            for at in range(len(tokens) - size + 1):
+                v = weigh(Counter(tokens[at : at + size]))
+                cosine = sum(x * u.get(w, 0) for w, x in v.items()) / norm(u) / norm(v)
+                if cosine >= 0.8 - 1e-9:
+                    found.append((at, at + size, min(1.0, cosine), k))
+        kept = []
+        for w in sorted(found, key=lambda w: (-round(w[2] ** 8 * (w[1] - w[0]), 9), w[3], w[0])):
+            if all(w[1] <= x[0] or x[1] <= w[0] for x in kept):
+                kept.append(w)
+        got = matcher.windows(tokens)
+        assert [(a, b, k) for a, b, _, k in got] == [(a, b, k) for a, b, _, k in sorted(kept)]
+
+
+def test_a_file_of_many_notices_takes_no_square_of_them():
+    matcher = li.Matcher(li.TEMPLATES, {}, 10, 0.8)
+    text = "Licensed under the Apache License, Version 2.0.\n" * 20_000
+    began = time.process_time()
+    assert matcher.text(text)[:3] == ("Apache-2.0", pytest.approx(1.0), 20_000)
+    assert time.process_time() - began < 60  # a square takes many times that
+
+
+def test_null_and_repeated_ids(spark):
+    files = spark.createDataFrame([(None, "a/LICENSE", "Released under the MIT License."), (1, "a/x", "x"), (1, "a/x", "x"), (1, "b/x", "y")], "doc_id long, path string, text string")
+    got = sorted((r.doc_id or 0, r.path, r.effective_license) for r in li.license_scan(files).collect())
+    assert got == [(0, "a/LICENSE", "MIT"), (1, "a/x", "MIT"), (1, "a/x", "MIT"), (1, "b/x", None)]
+
+
 def test_empty(spark):
     assert li.license_scan(spark.createDataFrame([], "doc_id long, path string, text string")).count() == 0
