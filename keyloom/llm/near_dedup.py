@@ -150,7 +150,8 @@ def rare_lists(sets: DataFrame, least: Column, scratch: Scratch) -> DataFrame:
     rarest and make no list. Of lists with the same members one stays, by 128 bits of their ids.
     """
     each = sets.select("id", "part", least.alias("least"), F.explode("values").alias("value"))
-    often = each.groupBy("value").agg(F.count("*").alias("often")).where("often > 1")
+    # written first, so that the join is one of plain rows, of which adaptive execution can split a hot value's
+    often = scratch.write(each.groupBy("value").agg(F.count("*").alias("often")).where("often > 1"))
     shared = scratch.write(each.join(often, "value"))
     own = shared.groupBy("id", "part").agg(F.first("least").alias("least"), F.sort_array(F.collect_list(F.struct("often", "value"))).alias("own"))
     room = F.size("own") - F.col("least") + 1
@@ -159,8 +160,8 @@ def rare_lists(sets: DataFrame, least: Column, scratch: Scratch) -> DataFrame:
     alike = entries.groupBy("key").agg(
         F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")
     )
-    one_each = alike.where("n > 1").groupBy("n", "x", "y").agg(F.min("key").alias("key"))
-    return scratch.write(entries.join(one_each.select("key"), "key"))
+    one_each = scratch.write(alike.where("n > 1").groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key"))
+    return scratch.write(entries.join(one_each, "key"))
 
 
 class _Links:
@@ -195,12 +196,13 @@ class _Links:
         lists = whole.groupBy("key").agg(
             F.min("component").alias("least"), F.max("component").alias("most"), F.min(first).alias("hub"), F.count("*").alias("size")
         )
-        return self.scratch.write(whole.join(lists.where("least < most").select("key", "hub", "size"), "key"))
+        opened = self.scratch.write(lists.where("least < most").select("key", "hub", "size"))
+        return self.scratch.write(whole.join(opened, "key"))
 
     def by_one_hub(self, members: DataFrame) -> DataFrame:
         """Each document meets the least hub of its lists; the lists that stay open."""
         order = F.struct(F.xxhash64("id").alias("order"), "id")
-        hubs = members.groupBy("key").agg(F.min(order).alias("hub"))
+        hubs = self.scratch.write(members.groupBy("key").agg(F.min(order).alias("hub")))
         least = members.join(hubs, "key").groupBy("id").agg(F.min("hub").alias("hub")).where(F.col("id") != F.col("hub.id"))
         self.measure(least.select(F.col("hub.id").alias("a"), F.col("id").alias("b")))
         return self.open(members, 0)
