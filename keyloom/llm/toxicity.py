@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import documents, held_out, map_slices, map_texts
+from keyloom.llm.common import documents, hash_sample, held_out, map_slices, map_texts, one_text_each
 from keyloom.llm.embed_dedup import spherical_kmeans
 
 WORD = re.compile(r"\w+")
@@ -278,11 +278,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     told = labels.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("label"))
     told = told.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("label").alias("label"))
     true = {r.label: r["count"] for r in told.groupBy("label").count().collect()}
-    chosen = [told.where(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
     texts = documents(docs, id_col, text_col)
-    sample = texts.join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id")  # 2 * per_class rows at most
+    sample = one_text_each(texts, hash_sample(told, per_class, "label"), "label").select("doc_id", "text", "label")  # 2 * per_class rows at most
     bag = lambda _, doc_id, text, label: (doc_id, label, list(words := Counter(terms(text))), list(words.values()))
-    bags = map_texts(sample, bag, "doc_id long, label int, words array<string>, counts array<int>").dropDuplicates(["doc_id"])
+    bags = map_texts(sample, bag, "doc_id long, label int, words array<string>, counts array<int>")
     same: dict[str, str] = {}  # one string for all examples with a word
     examples = []
     for f in bags.toArrow().to_batches(500):  # 2 * per_class rows at most
@@ -302,7 +301,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     evidence lists the nearest examples; of equally near ones the first in the order of ids, and ties with the last of the k
     nearest vote too. Null and empty texts get the labels' smoothed base rate. Rows that repeat an id are scored each for
-    itself; of an id's repeated labels the largest counts. held_out is null for a null id. Without labels the score is 0.5
+    itself; of an id's repeated labels the largest counts, of its texts the one that is least by a hash. held_out is null for a null id. Without labels the score is 0.5
     for all. An empty table gives no rows; other columns are ignored.
     """
     model = fit(docs, labels, id_col, text_col, label_col, **how)
