@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import Scratch
+from keyloom.llm.common import Scratch, hash_sample
 from keyloom.llm.graph import components
 
 BLOCK, PIECE = 8192, 2048
@@ -158,7 +158,8 @@ def embed_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
     total = classes.count()
     width = classes.groupBy(F.size("vector").alias("k")).count().orderBy(F.desc("count"), "k").limit(1).collect()
     if total and width:
-        fit = classes.where(F.size("vector") == width[0]["k"]).orderBy(F.xxhash64("id")).limit(sample).select("vector").toPandas()
+        usual = classes.where(F.size("vector") == width[0]["k"]).select("id", "vector", F.lit(0).alias("all"))
+        fit = hash_sample(usual, sample, "all").select("vector").toPandas()
         unit, cells = _unit(np.stack(fit["vector"]).astype(float)), min(most_cells, -(-total // per_cell))
         ways = [spherical_kmeans(unit, -(-cells // part)) for part in (1, 4, 16, 64, 256, 1024) if part == 1 or part < 4 * cells]
         centres = min(ways, key=lambda c: _cost(unit, c, margin, total))
