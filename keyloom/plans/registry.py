@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keyloom.plans import catalog_queries, data_queries, source_queries
+from keyloom.plans import catalog_queries, data_queries, discovery_queries, source_queries
 
 FLAGSHIP = "fk_candidates_sampled"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**data_queries.QUERIES, **catalog_queries.QUERIES, **source_queries.QUERIES}
+    return {**data_queries.QUERIES, **catalog_queries.QUERIES, **source_queries.QUERIES, **discovery_queries.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**data_queries.SQL, **catalog_queries.SQL, **source_queries.SQL}
+    return {**data_queries.SQL, **catalog_queries.SQL, **source_queries.SQL, **discovery_queries.SQL}
