@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from keyloom.operators import dependencies, inclusions, probes
 from keyloom.plans.data_queries import ENUMS, PAIRS, PROFILED, _overlap_sql
-from keyloom.session import table
+from keyloom.session import scratch_folder, table
+from keyloom.sources.pinned import calls_while_appending
+from keyloom.streaming.measures import measured_in_increments
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -101,3 +103,30 @@ SQL["dependencies_minimal"] = f"""WITH e AS ({" UNION ALL ".join(
 )}), u AS (SELECT * FROM e WHERE e <= {MAX_ERROR})
 SELECT t AS table_name, array_to_string(x, ',') AS determinant, a AS dependent, e AS error FROM u
 WHERE NOT EXISTS (SELECT 1 FROM u s WHERE s.t = u.t AND s.a = u.a AND len(s.x) < len(u.x) AND list_has_all(u.x, s.x))"""
+
+# one state over several calls, and measures that grow with their table
+
+QUERIES["pinned_session_orders"] = lambda s, d: calls_while_appending(s, table(s, d, "orders"), F.col("o_orderstatus") == "F", scratch_folder(s, "pinned"))
+SQL["pinned_session_orders"] = " UNION ALL ".join(
+    f"SELECT '{call}' AS call, count(*) AS n FROM orders{where}"
+    for call, where in (("before", " WHERE o_orderstatus = 'F'"), ("after", " WHERE o_orderstatus = 'F'"), ("preview", " WHERE o_orderstatus = 'F'"), ("opened after", ""))
+)
+
+PARTS = ("event_type IN ('click', 'error')", "event_type = 'view'", "event_type IS NULL OR event_type NOT IN ('click', 'error', 'view')")
+
+
+def _increments(s, d):
+    return measured_in_increments(table(s, d, "events"), [F.expr(p) for p in PARTS], scratch_folder(s, "increments"), tuple(COLUMNS["events"]), "event_id")
+
+
+QUERIES["incremental_profile_events"] = lambda s, d: _increments(s, d).profile().select("column_name", "n_rows", "n_values", "n_distinct")
+SQL["incremental_profile_events"] = " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) AS n_rows, count({c}) AS n_values, count(DISTINCT {c}) AS n_distinct FROM events" for c in COLUMNS["events"])
+
+
+def _incremental_overlap(s, d):
+    m = _increments(s, d)
+    return m.overlap("user_id", table(s, d, "customer"), "c_custkey").withColumn("high_water", F.lit(m.high_water()))
+
+
+QUERIES["incremental_overlap_events"] = _incremental_overlap
+SQL["incremental_overlap_events"] = f"SELECT ({_overlap_sql('events', 'user_id', 'customer', 'c_custkey')}) AS overlap, (SELECT max(event_id)::VARCHAR FROM events) AS high_water"

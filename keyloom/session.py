@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -23,3 +26,21 @@ def local_session(cpus: int = 8, shuffle_partitions: int = 8, app: str = "keyloo
         .config("spark.driver.memory", "8g")
         .getOrCreate()
     )
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share, spark.checkpoint.dir; it goes when the session ends. Where none is
+    set, one is made if driver and executors are one process, and else that is an error."""
+    context = spark.sparkContext
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if top is None:
+        if not (known := context._jsc.sc().getCheckpointDir()).isDefined():
+            if context.master != "local" and not context.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="keyloom-"))
+            known = context._jsc.sc().getCheckpointDir()
+        top = known.get()
+    path = f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path

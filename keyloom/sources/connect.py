@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,18 +37,20 @@ def read_catalog(spark: SparkSession, kind: str | None, connection: str, namespa
 @dataclass(frozen=True)
 class Session:
     """Rows of a source's tables. Files are read as they are at each call, a database by one query a call: Spark's readers
-    hold no transaction over several calls, so that calls may see different states; a table format with versions, or a
-    written copy, gives one state."""
+    hold no transaction over several calls, so that calls may see different states; a pinned session sees one state of files,
+    and a table format with versions or a written copy gives one too. params: how delimited text is read, as its catalog
+    was (delimiter, header)."""
 
     spark: SparkSession
     kind: str
     connection: str
     namespace: str = "public"
     fetch_size: int = 10_000
+    params: dict[str, Any] = field(default_factory=dict)
 
     def table(self, name: str) -> DataFrame:
         if self.kind == "csv":
-            return files.csv_frames(self.spark, self.connection)[name]
+            return files.csv_frame(self.spark, files.csv_paths(self.spark, self.connection)[name], **self.params)
         if self.kind == "parquet":
             return files.parquet_frames(self.spark, self.connection, [name])[name]
         if self.kind == "spark":
@@ -79,17 +81,21 @@ def frames_of(session: Session, catalog: Catalog) -> dict[str, DataFrame]:
     return out
 
 
-def measured_keys(spark: SparkSession, kind: str | None, connection: str, namespace: str = "public", catalog: Catalog | None = None) -> DataFrame:
-    """Foreign-key candidates of a source, weighed by the overlap of its rows."""
-    catalog = catalog or read_catalog(spark, kind, connection, namespace)
-    return infer(catalog, frames_of(open_session(spark, kind, connection, namespace), catalog))
+#: Parameters of a catalog that say how rows are read; the others only say what the catalog holds.
+OF_ROWS = ("delimiter", "header")
 
 
-def open_session(spark: SparkSession, kind: str | None, connection: str, namespace: str = "public") -> Session:
+def measured_keys(spark: SparkSession, kind: str | None, connection: str, namespace: str = "public", catalog: Catalog | None = None, **params: Any) -> DataFrame:
+    """Foreign-key candidates of a source, weighed by the overlap of its rows, which are read as the catalog was."""
+    catalog = catalog or read_catalog(spark, kind, connection, namespace, **params)
+    return infer(catalog, frames_of(open_session(spark, kind, connection, namespace, **params), catalog))
+
+
+def open_session(spark: SparkSession, kind: str | None, connection: str, namespace: str = "public", **params: Any) -> Session:
     """A session for sources with rows; models and manifests have none."""
     kind = source_type(kind)
     if kind in ("dbt", "osi"):
         raise ValueError(f"{kind} has no rows")
     if kind not in SOURCES:
         raise ValueError(f"unknown source type '{kind}'")
-    return Session(spark, kind, expand_env(connection), namespace)
+    return Session(spark, kind, expand_env(connection), namespace, params={k: v for k, v in params.items() if k in OF_ROWS and v is not None})

@@ -29,7 +29,7 @@ def folder(path: str) -> Path:
     return at
 
 
-def csv_frame(spark: SparkSession, path: str, delimiter: str | None = None, header: bool = True, multi_line: bool | None = None) -> DataFrame:
+def csv_frame(spark: SparkSession, path: str | list[str], delimiter: str | None = None, header: bool = True, multi_line: bool | None = None) -> DataFrame:
     """All columns as text, empty as null; without a header the columns are column_1, column_2 and so on.
 
     multi_line: whether quoted values span lines, which makes each file one task; by default a scan of the lines tells it,
@@ -37,13 +37,13 @@ def csv_frame(spark: SparkSession, path: str, delimiter: str | None = None, head
     if multi_line is None:
         quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
         multi_line = not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
-    sep = delimiter or ("\t" if path.lower().endswith(".tsv") else ",")
+    sep = delimiter or ("\t" if (path if isinstance(path, str) else path[0]).lower().endswith(".tsv") else ",")
     df = spark.read.csv(path, sep=sep, header=header, quote='"', escape='"', multiLine=multi_line)
     return df if header else df.toDF(*(f"column_{i + 1}" for i in range(len(df.columns))))
 
 
-def csv_frames(spark: SparkSession, path: str, delimiter: str | None = None, header: bool = True) -> dict[str, DataFrame]:
-    """A table a file of a folder: a local one, or one of any file system Spark reads, given with its scheme."""
+def csv_paths(spark: SparkSession, path: str) -> dict[str, str]:
+    """The files of a folder by table: a local one, or one of any file system Spark reads, given with its scheme."""
     if "://" in path:
         if (base := os.environ.get(BASE_DIR)) and not (path.startswith(base.rstrip("/") + "/") and ".." not in path.split("/")):
             raise ValueError(f"{path} isn't under {base}")
@@ -52,8 +52,12 @@ def csv_frames(spark: SparkSession, path: str, delimiter: str | None = None, hea
         files = sorted((f.getPath().getName(), f.getPath().toString()) for f in listed)
     else:
         files = sorted((p.name, str(p)) for p in folder(path).iterdir())
-    chosen = [(Path(n), full) for n, full in files if Path(n).suffix.lower() in ENDINGS]
-    return {n.stem: csv_frame(spark, full, delimiter, header) for n, full in chosen}
+    return {Path(n).stem: full for n, full in files if Path(n).suffix.lower() in ENDINGS}
+
+
+def csv_frames(spark: SparkSession, path: str, delimiter: str | None = None, header: bool = True) -> dict[str, DataFrame]:
+    """A table a file of a folder."""
+    return {name: csv_frame(spark, full, delimiter, header) for name, full in csv_paths(spark, path).items()}
 
 
 def column_types(sample: DataFrame) -> dict[str, str]:
