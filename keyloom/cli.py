@@ -29,6 +29,8 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("--out", help="a file in place of standard output")
         if name == "analyze":
             c.add_argument("--measure", action="store_true", help="weigh missing keys by the source's rows and add those found to the model")
+        if name in ("analyze", "owl"):
+            c.add_argument("--taxonomy", action="store_true", help="add the classes that shared keys and properties make")
         if name == "owl":
             c.add_argument("--format", choices=["turtle", "jsonld"], default="turtle")
             c.add_argument("--physical-iri")
@@ -54,7 +56,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
                 raise ValueError("--measure needs a --connection with rows")
             found = measured_keys(spark, args.source, args.connection, args.schema, catalog)
             catalog = catalog.with_(fks=catalog.fks.unionByName(as_declared(found)))
-        text = dumps(perform(catalog, args.operation, **{k: getattr(args, k, None) for k in ("format", "base_iri", "physical_iri", "data_iri")}))
+        text = dumps(perform(catalog, args.operation, **{k: getattr(args, k, None) for k in ("format", "base_iri", "physical_iri", "data_iri", "taxonomy")}))
     except Exception as error:
         print(scrub(str(error)), file=sys.stderr)
         return 1

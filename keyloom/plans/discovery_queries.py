@@ -6,7 +6,9 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
-from keyloom.operators import dependencies, inclusions, probes
+from keyloom.operators import baseline, concepts, dependencies, inclusions, probes
+from keyloom.operators.overlay import apply_overlay
+from keyloom.plans.catalog import from_frames, local_frame
 from keyloom.plans.data_queries import ENUMS, PAIRS, PROFILED, _overlap_sql
 from keyloom.session import scratch_folder, table
 from keyloom.sources.pinned import calls_while_appending
@@ -130,3 +132,99 @@ def _incremental_overlap(s, d):
 
 QUERIES["incremental_overlap_events"] = _incremental_overlap
 SQL["incremental_overlap_events"] = f"SELECT ({_overlap_sql('events', 'user_id', 'customer', 'c_custkey')}) AS overlap, (SELECT max(event_id)::VARCHAR FROM events) AS high_water"
+
+# classes of rows
+
+
+def _concepts(s, d, t, by, **how):
+    return concepts.concepts(concepts.context(table(s, d, t), by, **how)).select(F.array_join("attributes", ",").alias("attributes"), F.array_join("members", ",").alias("members"))
+
+
+def _concepts_sql(patterns: str) -> str:
+    """Closed sets of the members' attributes, from rows (member, attribute)."""
+    return f"""WITH RECURSIVE h AS ({patterns}),
+        o AS (SELECT member, list_sort(list(attribute)) AS a FROM h GROUP BY member),
+        c(a) AS (SELECT a FROM o UNION SELECT list_sort(list_intersect(c.a, o.a)) FROM c JOIN o ON true)
+        SELECT array_to_string(c.a, ',') AS attributes, string_agg(o.member, ',' ORDER BY o.member) AS members FROM c JOIN o ON list_has_all(o.a, c.a) GROUP BY c.a"""
+
+
+EVENT_COLUMNS = ["user_id", "value"]
+QUERIES["concepts_events"] = lambda s, d: _concepts(s, d, "events", "event_type", columns=EVENT_COLUMNS, json=["props"])
+SQL["concepts_events"] = _concepts_sql(
+    "SELECT member, attribute FROM (SELECT event_type AS member, unnest(list_transform(json_keys(props), lambda k: 'props.' || k)"
+    + "".join(f" || CASE WHEN {c} IS NOT NULL THEN ['{c}'] ELSE [] END" for c in EVENT_COLUMNS)
+    + ") AS attribute FROM events WHERE event_type IS NOT NULL) x GROUP BY member, attribute HAVING count(*) = (SELECT count(*) FROM events e WHERE e.event_type = member)"
+)
+QUERIES["concepts_lineitem"] = lambda s, d: _concepts(s, d, "lineitem", "l_returnflag", columns=["l_shipdate"], values=["l_linestatus"])
+SQL["concepts_lineitem"] = _concepts_sql(
+    """SELECT DISTINCT l_returnflag AS member, 'l_linestatus=' || l_linestatus AS attribute FROM lineitem
+       UNION ALL SELECT l_returnflag, 'l_shipdate' FROM lineitem GROUP BY l_returnflag HAVING count(*) = count(l_shipdate)"""
+)
+QUERIES["concepts_customer"] = lambda s, d: _concepts(s, d, "customer", "c_mktsegment", values=["c_nationkey"])
+SQL["concepts_customer"] = _concepts_sql("SELECT DISTINCT c_mktsegment AS member, 'c_nationkey=' || c_nationkey AS attribute FROM customer")
+
+QUERIES["concepts_conversations"] = lambda s, d: _concepts(s, d, "conversations", "role", columns=["text"], values=["turn"])
+SQL["concepts_conversations"] = _concepts_sql(
+    """SELECT DISTINCT role AS member, 'turn=' || turn AS attribute FROM conversations WHERE role IS NOT NULL
+       UNION ALL SELECT role, 'text' FROM conversations WHERE role IS NOT NULL GROUP BY role HAVING count(*) = count(text)"""
+)
+QUERIES["concepts_nation"] = lambda s, d: _concepts(s, d, "nation", "n_regionkey", values=["n_nationkey"])
+SQL["concepts_nation"] = _concepts_sql("SELECT DISTINCT n_regionkey::VARCHAR AS member, 'n_nationkey=' || n_nationkey AS attribute FROM nation")
+
+
+def _row_classes(s, d):
+    found = concepts.classes(table(s, d, "lineitem"), "Lineitem", "l_returnflag", columns=["l_shipdate"], values=["l_linestatus"])
+    return found.select("name", F.array_join("members", ",").alias("members"), "disjoint", F.coalesce("complete", F.lit(False)).alias("complete"))
+
+
+QUERIES["row_classes_lineitem"] = _row_classes
+SQL["row_classes_lineitem"] = f"""WITH x AS ({SQL["concepts_lineitem"]}), t AS (SELECT count(DISTINCT l_returnflag) AS n, count(*) = count(l_returnflag) AS whole FROM lineitem)
+    SELECT CASE WHEN len(string_split(members, ',')) = n THEN 'Lineitem' ELSE 'LineitemWith' || list_aggregate(list_transform(string_split(attributes, ','), lambda a: upper(a[1]) || regexp_replace(a[2:], '[^A-Za-z0-9]+', '_', 'g')), 'string_agg', '') END AS name,
+        members, TRUE AS disjoint, len(string_split(members, ',')) = n AND whole AS complete FROM x, t WHERE len(string_split(members, ',')) >= 2"""
+
+# an overlay with keys of all kinds, over rows
+
+KEY_OVERLAY = {
+    "version": 1,
+    "tables": {
+        "documents": {"primaryKey": ["doc_id"]},
+        "labels": {"primaryKey": ["doc_id"], "foreignKeys": [{"columns": ["doc_id"], "references": {"table": "documents", "columns": ["doc_id"]}}]},
+        "pages": {"primaryKey": ["page_id"], "uniqueConstraints": [["url"]], "foreignKeys": [{"columns": ["page_id"], "references": {"table": "documents", "columns": ["doc_id"]}}]},
+    },
+}
+
+
+def _overlaid(s, d):
+    frames = _frames(s, d, ["documents", "labels", "pages"])
+    return apply_overlay(from_frames(frames), KEY_OVERLAY), frames
+
+
+def _containment(s, d):
+    catalog, frames = _overlaid(s, d)
+    return concepts.containment_inputs(catalog, baseline.entity_names(catalog), frames)
+
+
+QUERIES["containment_inputs_overlay"] = _containment
+SQL["containment_inputs_overlay"] = " UNION ALL ".join(
+    f"SELECT '{child}' AS child, 'Documents' AS parent, ({_overlap_sql(t, c, 'documents', 'doc_id')}) AS ratio" for child, t, c in (("Labels", "labels", "doc_id"), ("Pages", "pages", "page_id"))
+)
+
+
+def _overlay_held(s, d):
+    """Whether the rows keep what an overlay declares: its keys are unique, its foreign keys are found."""
+    catalog, frames = _overlaid(s, d)
+    keys = [(r.table_name, r.kind, tuple(r["columns"])) for r in catalog.keys.orderBy("table_name", "key_pos").collect()]
+    twice = {t: dependencies.repeated(df, [k for u, _, k in keys if u == t]) for t, df in frames.items()}
+    rows = [(t, kind, ",".join(k), k not in twice[t]) for t, kind, k in keys]
+    pairs = [(r.table_name, r["columns"][0], r.foreign_table, r.foreign_columns[0]) for r in catalog.fks.collect()]
+    held = probes.value_overlap_pairs(frames, pairs).select("table_name", F.lit("FK").alias("kind"), F.col("column_name").alias("columns"), (F.col("overlap") == 1).alias("holds"))
+    return local_frame(s, rows, "table_name string, kind string, columns string, holds boolean").unionByName(held)
+
+
+QUERIES["overlay_keys_held"] = _overlay_held
+SQL["overlay_keys_held"] = """SELECT 'documents' AS table_name, 'PK' AS kind, 'doc_id' AS columns, count(DISTINCT doc_id) = count(*) AS holds FROM documents
+    UNION ALL SELECT 'labels', 'PK', 'doc_id', count(DISTINCT doc_id) = count(*) FROM labels
+    UNION ALL SELECT 'pages', 'PK', 'page_id', count(DISTINCT page_id) = count(*) FROM pages
+    UNION ALL SELECT 'pages', 'UNIQUE', 'url', count(DISTINCT url) = count(*) FROM pages
+    UNION ALL SELECT 'labels', 'FK', 'doc_id', bool_and(doc_id IN (SELECT doc_id FROM documents)) FROM labels
+    UNION ALL SELECT 'pages', 'FK', 'page_id', bool_and(page_id IN (SELECT doc_id FROM documents)) FROM pages"""
