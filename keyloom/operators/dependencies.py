@@ -66,9 +66,9 @@ def screened_profile(frames: dict[str, DataFrame], columns: dict[str, list[str]]
     return local_frame(spark, out, "table_name string, column_name string, n_rows long, n_values long, about long, is_unique boolean")
 
 
-def screened_enums(df: DataFrame, table: str, key: list[str] = (), threshold: int = 25, columns: list[str] | None = None) -> DataFrame:
+def screened_enums(df: DataFrame, table: str, key: list[str] = (), threshold: int = 25, columns: list[str] | None = None, repeat: bool = True) -> DataFrame:
     """table_name, column_name, n_distinct, values: columns outside the key with 1 to threshold distinct values, fewer than
-    there are values. Columns are screened by sketches; values of those left are gathered in one aggregation, in which a
+    there are values unless repeat is False. Columns are screened by sketches; values of those left are gathered in one aggregation, in which a
     task holds and hands on few of them."""
     chosen = [c for c in columns or plain_columns(df) if c not in key]
     schema = "table_name string, column_name string, n_distinct long, values array<string>"
@@ -79,7 +79,8 @@ def screened_enums(df: DataFrame, table: str, key: list[str] = (), threshold: in
     wide = df.agg(*(x for i, c in enumerate(few) for x in (F.count(F.col(f"`{c}`")).alias(f"n{i}"), F.array_sort(F.collect_set(F.col(f"`{c}`").cast("string"))).alias(f"s{i}"))))
     rows = F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(f"n{i}").alias("n"), F.col(f"s{i}").alias("values")) for i, c in enumerate(few)))
     long_ = wide.select(F.explode(rows).alias("x")).select("x.*").withColumn("n_distinct", F.size("values").cast("long"))
-    return long_.where((F.col("n_distinct") <= threshold) & (F.col("n_distinct") < F.col("n"))).select(F.lit(table).alias("table_name"), "column_name", "n_distinct", "values")
+    fit = (F.col("n_distinct") >= 1) & (F.col("n_distinct") <= threshold)
+    return long_.where(fit & (F.col("n_distinct") < F.col("n")) if repeat else fit).select(F.lit(table).alias("table_name"), "column_name", "n_distinct", "values")
 
 
 def minimal_keys(df: DataFrame, most: int = 3, columns: list[str] | None = None) -> list[Columns]:

@@ -6,6 +6,7 @@ order_4): tables, then columns as declared, then the patterns; composite keys af
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -170,17 +171,44 @@ def ranked(found: DataFrame, options: Options = Options()) -> DataFrame:
 
 def infer(catalog: Catalog, frames: dict[str, DataFrame] | None = None, options: Options = Options()) -> DataFrame:
     """Ranked candidates; with the tables' DataFrames, weighed by the overlap of all their column pairs in one pass. A pair of
-    which a table or column isn't among the DataFrames has no figure and stays as it is."""
+    which a table or column isn't among the DataFrames, or can't be read, has no figure and stays as it is."""
     found = candidates(catalog, options)
     if frames is not None:
-        found = local_frame(catalog.spark, found.collect(), found.schema.simpleString())  # metadata, worked out once for the pairs and the fold
+        rows = found.collect()  # metadata, worked out once for the pairs and the fold
+        found = local_frame(catalog.spark, rows, found.schema.simpleString())
         has = {t: set(df.columns) for t, df in frames.items()}
-        pairs = [p for p in pairs_of(found) if p[1] in has.get(p[0], ()) and p[3] in has.get(p[2], ())]
-    if frames is not None and pairs:
-        found = weigh(found, value_overlap_pairs(frames, pairs), options)
+        every = sorted({(r.table_name, l, r.foreign_table, f) for r in rows for l, f in zip(r["columns"], r.foreign_columns)})
+        if pairs := [p for p in every if p[1] in has.get(p[0], ()) and p[3] in has.get(p[2], ())]:
+            found = weigh(found, measured(frames, pairs), options)
     return ranked(found, options)
 
 
+def measured(frames: dict[str, DataFrame], pairs: list[Pair]) -> DataFrame:
+    """The overlaps of the pairs, gathered: a row a pair. All are measured in one plan; if reading fails, each table is read
+    on its own, and pairs of those that can't be are measured by nobody and stay neutral."""
+    spark = next(iter(frames.values())).sparkSession
+    schema = "table_name string, column_name string, foreign_table string, foreign_column string, overlap double"
+
+    def readable(name: str) -> bool:
+        try:
+            columns = sorted({c for t, c, u, d in pairs for table, c in ((t, c), (u, d)) if table == name})
+            frames[name].agg(*(F.count(F.col(f"`{c}`")) for c in columns)).collect()
+            return True
+        except Exception as error:  # a source's own errors, whatever their kind
+            logging.getLogger(__name__).warning("rows of %s can't be read: %s", name, type(error).__name__)
+            return False
+
+    def all_of(some: list[Pair]) -> DataFrame:
+        return local_frame(spark, [tuple(r) for r in value_overlap_pairs(frames, some).collect()] if some else [], schema)
+
+    try:
+        return all_of(pairs)
+    except Exception as error:
+        logging.getLogger(__name__).warning("measuring failed, tables are tried one by one: %s", type(error).__name__)
+    good = {t for t in {t for p in pairs for t in (p[0], p[2])} if readable(t)}
+    return all_of([p for p in pairs if p[0] in good and p[2] in good])
+
+
 def as_declared(found: DataFrame, constraint_prefix: str = "inferred:") -> DataFrame:
     """Candidates as rows of a catalog's foreign keys, not enforced."""
     rows = found.select(

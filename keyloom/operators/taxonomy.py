@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keyloom.operators import probes
+from keyloom.operators.dependencies import screened_enums
 from keyloom.plans.catalog import Catalog, local_frame
 
 #: Words that name a type column, alone or after an underscore.
@@ -56,7 +57,8 @@ def declared_discriminators(catalog: Catalog, options: Options = Options(), pars
 
 
 def sampled_discriminators(catalog: Catalog, frames: dict[str, DataFrame], options: Options = Options()) -> DataFrame:
-    """Columns named like a type whose values are few and label-shaped. Values are counted to the limit and one more."""
+    """Columns named like a type whose values are few and label-shaped. A table is read twice, whatever the number of its
+    columns: by sketches, and for the values of columns that have no more than the limit."""
     done = declared_discriminators(catalog, options).select("table_name", "column_name")
     open_ = catalog.columns.where(~F.col("is_unique") & named_like_a_type(F.col("column_name"), options.stems)).select("table_name", "column_name")
     open_ = open_.join(_structural(catalog), ["table_name", "column_name"], "left_anti").join(done, ["table_name", "column_name"], "left_anti")
@@ -64,7 +66,8 @@ def sampled_discriminators(catalog: Catalog, frames: dict[str, DataFrame], optio
     schema = "table_name string, column_name string, values array<string>, source string, confidence double"
     if not chosen:
         return local_frame(catalog.spark, [], schema)
-    found = [probes.enumerate_values(frames[t], c, options.sample_limit).agg(F.array_sort(F.collect_list("value")).alias("values")).select(F.lit(t).alias("table_name"), F.lit(c).alias("column_name"), "values") for t, c in chosen]
+    of_table = {t: [c for u, c in chosen if u == t] for t, _ in chosen}
+    found = [screened_enums(frames[t], t, threshold=options.sample_limit, columns=own, repeat=False) for t, own in of_table.items()]
     return reduce(DataFrame.unionByName, found).where(_labels(options)).select("table_name", "column_name", "values", F.lit("sampled").alias("source"), F.lit(0.6).alias("confidence"))
 
 

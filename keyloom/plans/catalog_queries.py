@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyspark
 from pyspark.sql import functions as F
 
 from keyloom.functions import naming
@@ -130,6 +131,10 @@ SQL["schema_diff"] = _values(
     ("nullability_changed", "users", "email", "false", "true"), ("primary_key_changed", "products", "", "id", "sku"), ("foreign_key_removed", "orders", "user_id -> users(id)", None, None),
 )
 QUERIES["schema_fingerprint"] = lambda s, d: graph.fingerprint(driver.catalog(s, d))
+_LINES = f"""SELECT 0 AS part, '{{"dialect":"spark","server_version":"{pyspark.__version__}"}}' AS line
+    UNION ALL SELECT DISTINCT 1, '{{"table_name":"' || table_name || '","is_view":false,"is_partitioned":false,"extra":[]}}' FROM ({COLUMNS})
+    UNION ALL SELECT 2, '{{"table_name":"' || table_name || '","column_name":"' || column_name || '","ordinal":' || ordinal || ',"data_type":"' || data_type || '","is_nullable":true,"is_primary_key":false,"is_unique":false,"extra":[]}}' FROM ({COLUMNS})"""
+SQL["schema_fingerprint"] = f"SELECT 'sha256-' || sha256(string_agg(line, chr(10) ORDER BY part, line)) AS fingerprint FROM ({_LINES})"
 
 # vocabularies
 _TYPES = [

@@ -160,14 +160,14 @@ def _by(partition: str | None, order: str):
     return Window.partitionBy(partition).orderBy(order) if partition else Window.orderBy(order)
 
 
-def roll_up_partitions(catalog: Catalog, partitions: DataFrame, most_levels: int = 32) -> Catalog:
+def roll_up_partitions(catalog: Catalog, partitions: DataFrame) -> Catalog:
     """Marks partitions (parent, child, parent_is_partitioned) with their root, and gives the root its partitions' foreign
-    keys, each once. Inheritance without a partitioned root is left alone."""
+    keys, each once, however deep. Inheritance without a partitioned root is left alone."""
     spark = catalog.spark
     links = partitions.select("parent", "child", F.col("parent_is_partitioned").cast("boolean").alias("p"))
     root = links.where("p").select("child", F.col("parent").alias("root"))
     up = links.where("p").select(F.col("child").alias("root"), F.col("parent").alias("above"))
-    for _ in range(most_levels):
+    for _ in range(root.count()):  # a way up can't be longer, unless it leads in a circle
         climbed = root.join(up, "root", "left")
         if climbed.where("above IS NOT NULL").isEmpty():
             break
