@@ -19,34 +19,56 @@ from keyloom.plans.catalog import local_frame
 
 #: Relative standard error of the sketches, how many of them a count may be off, and sets that one scan sketches.
 RSD, SIGMAS, SETS = 0.02, 6, 64
+#: Slices of a hash, of which one is looked at first.
+SLICES = 64
 
 LOW, HIGH = 1 - SIGMAS * RSD, 1 + SIGMAS * RSD
 Columns = tuple[str, ...]
 
 
-def _hash(columns: Columns, seed: int = 0) -> Column:
-    """Of the values together; a null is a value of its own, wherever it stands."""
-    return F.xxhash64(F.lit(seed), *(x for c in columns for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())))
+def _hashed(df: DataFrame, sets: list[Columns]) -> DataFrame:
+    """Two hashes of each column that is in a set, numbers without nulls: a null is a value of its own. So sets are hashed
+    by few numbers each, whatever the columns hold."""
+    used = sorted({c for s in sets for c in s})
+    value = lambda c, seed: F.xxhash64(F.lit(seed), F.col(f"`{c}`"), F.col(f"`{c}`").isNull()).alias(f"{c}#{seed}")
+    return df.select(*(value(c, seed) for c in used for seed in (1, 2)))
+
+
+def _hash(columns: Columns, seed: int = 1) -> Column:
+    """Of the values together, each in its place, over the columns' hashes."""
+    return F.xxhash64(F.lit(seed), *(F.col(f"`{c}#{seed}`") for c in columns))
 
 
 def about(df: DataFrame, sets: list[Columns]) -> dict[Columns, int]:
     """About how many combinations of values each set of columns has; SETS sets a scan, of which a task hands on a row each."""
     out: dict[Columns, int] = {}
     for some in (sets[k : k + SETS] for k in range(0, len(sets), SETS)):
-        hashes = df.select(F.posexplode(F.array(*map(_hash, some))).alias("i", "hash"))
+        hashes = _hashed(df, some).select(F.posexplode(F.array(*map(_hash, some))).alias("i", "hash"))
         found = hashes.groupBy("i").agg(F.approx_count_distinct("hash", RSD).alias("n")).collect()
         out |= {s: 0 for s in some} | {some[r.i]: r.n for r in found}
     return out
 
 
 def repeated(df: DataFrame, sets: list[Columns]) -> set[Columns]:
-    """The sets of which two rows have the same values, nulls being equal; one scan and one aggregation for all. Values are
-    the same if 128 bits of hash are, so that rows of numbers are shuffled whatever the values are."""
-    if not sets:
-        return set()
-    each = F.array(*(F.struct(F.lit(i).alias("i"), _hash(s, 1).alias("v"), _hash(s, 2).alias("w")) for i, s in enumerate(sets)))
-    found = df.select(F.explode(each).alias("x")).select("x.*").groupBy("i", "v", "w").agg(F.count("*").alias("n")).where("n > 1").select("i").distinct()
-    return {sets[r.i] for r in found.collect()}
+    """The sets of which two rows have the same values, nulls being equal. Values are the same if 128 bits of hash are, so
+    that rows of numbers are shuffled whatever the values are.
+
+    A first scan looks at one of SLICES of the values' hashes: equal values are in the same slice, so what repeats there
+    repeats, and sets with many repeats go without their other rows being shuffled. A second one takes the sets that are
+    left, all in one aggregation.
+    """
+
+    def twice(some: list[Columns], sliced: bool) -> set[Columns]:
+        if not some:
+            return set()
+        each = F.array(*(F.struct(F.lit(i).alias("i"), _hash(s, 1).alias("v"), _hash(s, 2).alias("w")) for i, s in enumerate(some)))
+        rows = _hashed(df, some).select(F.explode(each).alias("x")).select("x.*")
+        rows = rows.where(F.pmod("v", F.lit(SLICES)) == 0) if sliced else rows
+        found = rows.groupBy("i", "v", "w").agg(F.count("*").alias("n")).where("n > 1").select("i").distinct()
+        return {some[r.i] for r in found.collect()}
+
+    early = twice(sets, True)
+    return early | twice([s for s in sets if s not in early], False)
 
 
 def screened_profile(frames: dict[str, DataFrame], columns: dict[str, list[str]] | None = None) -> DataFrame:
@@ -118,7 +140,7 @@ def dependency_errors(df: DataFrame, wanted: list[tuple[Columns, str]]) -> dict[
         return {}
     halves = lambda columns, name: (_hash(columns, 1).alias(f"{name}1"), _hash(columns, 2).alias(f"{name}2"))
     each = F.array(*(F.struct(F.lit(i).alias("i"), *halves(x, "x"), *halves((a,), "a")) for i, (x, a) in enumerate(wanted)))
-    rows = df.select(F.explode(each).alias("e")).select("e.*")
+    rows = _hashed(df, [(*x, a) for x, a in wanted]).select(F.explode(each).alias("e")).select("e.*")
     groups = rows.groupBy("i", "x1", "x2", "a1", "a2").agg(F.count("*").alias("n"))
     kept = groups.groupBy("i", "x1", "x2").agg(F.max("n").alias("kept"), F.sum("n").alias("n"))
     found = kept.groupBy("i").agg(F.sum("kept").alias("kept"), F.sum("n").alias("n")).collect()
