@@ -50,25 +50,48 @@ def about(df: DataFrame, sets: list[Columns]) -> dict[Columns, int]:
 
 
 def repeated(df: DataFrame, sets: list[Columns]) -> set[Columns]:
-    """The sets of which two rows have the same values, nulls being equal. Values are the same if 128 bits of hash are, so
-    that rows of numbers are shuffled whatever the values are.
+    """The sets of which two rows have the same values, nulls being equal."""
+    return repeated_all([(df, sets)])[0]
+
+
+def repeated_all(asked: list[tuple[DataFrame, list[Columns]]]) -> list[set[Columns]]:
+    """Of each DataFrame the sets of which two rows have the same values. Values are the same if 128 bits of hash are, so that
+    rows of numbers are shuffled whatever the values are.
 
     A first scan looks at one of SLICES of the values' hashes: equal values are in the same slice, so what repeats there
     repeats, and sets with many repeats go without their other rows being shuffled. A second one takes the sets that are
-    left, all in one aggregation.
+    left. Both are one aggregation for all sets of all DataFrames.
     """
+    every = [(k, s) for k, (_, sets) in enumerate(asked) for s in sets]
 
-    def twice(some: list[Columns], sliced: bool) -> set[Columns]:
+    def twice(some: list[tuple[int, Columns]], sliced: bool) -> set[tuple[int, Columns]]:
         if not some:
             return set()
-        each = F.array(*(F.struct(F.lit(i).alias("i"), _hash(s, 1).alias("v"), _hash(s, 2).alias("w")) for i, s in enumerate(some)))
-        rows = _hashed(df, some).select(F.explode(each).alias("x")).select("x.*")
+        parts = []
+        for k in sorted({k for k, _ in some}):
+            own = [(i, s) for i, (u, s) in enumerate(some) if u == k]
+            each = F.array(*(F.struct(F.lit(i).alias("i"), _hash(s, 1).alias("v"), _hash(s, 2).alias("w")) for i, s in own))
+            parts.append(_hashed(asked[k][0], [s for _, s in own]).select(F.explode(each).alias("x")).select("x.*"))
+        rows = reduce(DataFrame.unionByName, parts)
         rows = rows.where(F.pmod("v", F.lit(SLICES)) == 0) if sliced else rows
         found = rows.groupBy("i", "v", "w").agg(F.count("*").alias("n")).where("n > 1").select("i").distinct()
         return {some[r.i] for r in found.collect()}
 
-    early = twice(sets, True)
-    return early | twice([s for s in sets if s not in early], False)
+    early = twice(every, True)
+    found = early | twice([x for x in every if x not in early], False)
+    return [{s for u, s in found if u == k} for k in range(len(asked))]
+
+
+def screened(frames: dict[str, DataFrame], columns: dict[str, list[str]]) -> dict[str, tuple[int, dict[str, tuple[int, int]]]]:
+    """Of each table the rows, and of each column the values and about how many distinct ones: one job, in which a task hands
+    on a row a table."""
+    parts = []
+    for name, df in frames.items():
+        each = [F.struct(F.count(F.col(f"`{c}`")).alias("v"), F.approx_count_distinct(F.col(f"`{c}`"), RSD).alias("d")) for c in columns[name]]
+        seen = F.array(*each) if each else F.array().cast("array<struct<v:bigint,d:bigint>>")
+        parts.append(df.agg(F.count("*").alias("n"), seen.alias("seen")).select(F.lit(name).alias("name"), "n", "seen"))
+    rows = reduce(DataFrame.unionByName, parts).collect()
+    return {r.name: (r.n, {c: (x.v, x.d) for c, x in zip(columns[r.name], r.seen, strict=True)}) for r in rows}
 
 
 def screened_profile(frames: dict[str, DataFrame], columns: dict[str, list[str]] | None = None) -> DataFrame:
@@ -78,31 +101,28 @@ def screened_profile(frames: dict[str, DataFrame], columns: dict[str, list[str]]
     One aggregation a table counts rows and values and sketches the distinct ones of all columns, a row a task; columns
     without nulls whose sketch has as many values as rows are then checked exactly. Of others nothing else is shuffled.
     """
-    spark, out = next(iter(frames.values())).sparkSession, []
-    for name, df in frames.items():
-        own = (columns or {}).get(name) or plain_columns(df)
-        seen = df.agg(F.count("*").alias("n"), *(x for i, c in enumerate(own) for x in (F.count(F.col(f"`{c}`")).alias(f"v{i}"), F.approx_count_distinct(F.col(f"`{c}`"), RSD).alias(f"d{i}")))).collect()[0]
-        full = [(c,) for i, c in enumerate(own) if seen.n and seen[f"v{i}"] == seen.n and seen[f"d{i}"] >= LOW * seen.n]
-        unique = set(full) - repeated(df, full)
-        out += [(name, c, seen.n, seen[f"v{i}"], seen[f"d{i}"], (c,) in unique) for i, c in enumerate(own)]
-    return local_frame(spark, out, "table_name string, column_name string, n_rows long, n_values long, about long, is_unique boolean")
+    own = {name: (columns or {}).get(name) or plain_columns(df) for name, df in frames.items()}
+    seen = screened(frames, own)
+    full = {t: [(c,) for c, (v, d) in of.items() if n and v == n and d >= LOW * n] for t, (n, of) in seen.items()}
+    twice = dict(zip(full, repeated_all([(frames[t], sets) for t, sets in full.items()]), strict=True))
+    out = [(t, c, n, v, d, (c,) in full[t] and (c,) not in twice[t]) for t, (n, of) in seen.items() for c, (v, d) in of.items()]
+    return local_frame(next(iter(frames.values())).sparkSession, out, "table_name string, column_name string, n_rows long, n_values long, about long, is_unique boolean")
 
 
-def screened_enums(df: DataFrame, table: str, key: list[str] = (), threshold: int = 25, columns: list[str] | None = None, repeat: bool = True) -> DataFrame:
+def enums(frames: dict[str, DataFrame], keys: dict[str, list[str]] | None = None, threshold: int = 25, columns: dict[str, list[str]] | None = None, repeat: bool = True) -> DataFrame:
     """table_name, column_name, n_distinct, values: columns outside the key with 1 to threshold distinct values, fewer than
-    there are values unless repeat is False. Columns are screened by sketches; values of those left are gathered in one aggregation, in which a
-    task holds and hands on few of them."""
-    chosen = [c for c in columns or plain_columns(df) if c not in key]
-    schema = "table_name string, column_name string, n_distinct long, values array<string>"
-    seen = df.agg(*(F.approx_count_distinct(F.col(f"`{c}`"), RSD).alias(f"d{i}") for i, c in enumerate(chosen))).collect()[0] if chosen else {}
-    few = [c for i, c in enumerate(chosen) if 1 <= seen[f"d{i}"] <= HIGH * threshold + 1]
-    if not few:
-        return local_frame(df.sparkSession, [], schema)
-    wide = df.agg(*(x for i, c in enumerate(few) for x in (F.count(F.col(f"`{c}`")).alias(f"n{i}"), F.array_sort(F.collect_set(F.col(f"`{c}`").cast("string"))).alias(f"s{i}"))))
-    rows = F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(f"n{i}").alias("n"), F.col(f"s{i}").alias("values")) for i, c in enumerate(few)))
-    long_ = wide.select(F.explode(rows).alias("x")).select("x.*").withColumn("n_distinct", F.size("values").cast("long"))
-    fit = (F.col("n_distinct") >= 1) & (F.col("n_distinct") <= threshold)
-    return long_.where(fit & (F.col("n_distinct") < F.col("n")) if repeat else fit).select(F.lit(table).alias("table_name"), "column_name", "n_distinct", "values")
+    there are values unless repeat is False. Columns are screened by sketches; values of those left are gathered in one
+    aggregation a table, in which a task holds and hands on few of them."""
+    own = {t: [c for c in (columns or {}).get(t) or plain_columns(df) if c not in (keys or {}).get(t, ())] for t, df in frames.items()}
+    parts = [local_frame(next(iter(frames.values())).sparkSession, [], "table_name string, column_name string, n_distinct long, values array<string>")]
+    for t, (_, of) in screened(frames, own).items():
+        few = [c for c, (_, d) in of.items() if 1 <= d <= HIGH * threshold + 1]
+        if few:
+            each = F.array(*(F.struct(F.lit(c).alias("column_name"), F.count(F.col(f"`{c}`")).alias("n"), F.array_sort(F.collect_set(F.col(f"`{c}`").cast("string"))).alias("values")) for c in few))
+            rows = frames[t].agg(each.alias("each")).select(F.explode("each").alias("x")).select("x.*").withColumn("n_distinct", F.size("values").cast("long"))
+            fit = (F.col("n_distinct") >= 1) & (F.col("n_distinct") <= threshold)
+            parts.append(rows.where(fit & (F.col("n_distinct") < F.col("n")) if repeat else fit).select(F.lit(t).alias("table_name"), "column_name", "n_distinct", "values"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def minimal_keys(df: DataFrame, most: int = 3, columns: list[str] | None = None) -> list[Columns]:
@@ -197,6 +217,3 @@ def dependencies_of(frames: dict[str, DataFrame], most: int = 2, max_error: floa
     rows = [(t, list(x), a, e) for t, df in frames.items() for x, a, e in dependencies(df, most, max_error)]
     return local_frame(next(iter(frames.values())).sparkSession, rows, "table_name string, determinant array<string>, dependent string, error double")
 
-
-def all_enums(frames: dict[str, DataFrame], keys: dict[str, list[str]] | None = None, threshold: int = 25) -> DataFrame:
-    return reduce(DataFrame.unionByName, [screened_enums(df, t, (keys or {}).get(t, []), threshold) for t, df in frames.items()])

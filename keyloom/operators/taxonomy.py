@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keyloom.operators import probes
-from keyloom.operators.dependencies import screened_enums
+from keyloom.operators.dependencies import enums
 from keyloom.plans.catalog import Catalog, local_frame
 
 #: Words that name a type column, alone or after an underscore.
@@ -67,8 +67,8 @@ def sampled_discriminators(catalog: Catalog, frames: dict[str, DataFrame], optio
     if not chosen:
         return local_frame(catalog.spark, [], schema)
     of_table = {t: [c for u, c in chosen if u == t] for t, _ in chosen}
-    found = [screened_enums(frames[t], t, threshold=options.sample_limit, columns=own, repeat=False) for t, own in of_table.items()]
-    return reduce(DataFrame.unionByName, found).where(_labels(options)).select("table_name", "column_name", "values", F.lit("sampled").alias("source"), F.lit(0.6).alias("confidence"))
+    found = enums({t: frames[t] for t in of_table}, threshold=options.sample_limit, columns=of_table, repeat=False)
+    return found.where(_labels(options)).select("table_name", "column_name", "values", F.lit("sampled").alias("source"), F.lit(0.6).alias("confidence"))
 
 
 def discriminators(catalog: Catalog, frames: dict[str, DataFrame] | None = None, options: Options = Options()) -> DataFrame:

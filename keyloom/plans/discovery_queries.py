@@ -71,7 +71,7 @@ SQL["unique_keys_screened"] = " UNION ALL ".join(
     for t, cs in PROFILED.items() for c in cs
 )
 _KEYS = {t: key for t, (key, _) in ENUMS.items()}
-QUERIES["enum_candidates_screened"] = lambda s, d: dependencies.all_enums(_frames(s, d), _KEYS).withColumn("values", F.array_join("values", "|"))
+QUERIES["enum_candidates_screened"] = lambda s, d: dependencies.enums(_frames(s, d), _KEYS).withColumn("values", F.array_join("values", "|"))
 SQL["enum_candidates_screened"] = " UNION ALL ".join(
     f"SELECT '{t}' AS table_name, '{c}' AS column_name, count(DISTINCT {c}) AS n_distinct, array_to_string(list_sort(list(DISTINCT {c}::VARCHAR)), '|') AS values FROM {t} HAVING count(DISTINCT {c}) BETWEEN 1 AND 25 AND count(DISTINCT {c}) < count({c})"
     for t, cs in COLUMNS.items() for c in cs if c not in _KEYS.get(t, [])

@@ -93,17 +93,17 @@ def test_screened_columns(spark):
     for i, c in enumerate(names):
         v = [r[i] for r in rows if r[i] is not None]
         assert (got[c].n_rows, got[c].n_values, got[c].is_unique) == (len(rows), len(v), len(v) == len(rows) == len(set(v)))
-    enums = {r.column_name: (r.n_distinct, r["values"]) for r in dep.screened_enums(df, "t", ["id"], 7).collect()}
+    enums = {r.column_name: (r.n_distinct, r["values"]) for r in dep.enums({"t": df}, {"t": ["id"]}, 7).collect()}
     want = {c: sorted({str(r[i]) for r in rows if r[i] is not None}) for i, c in enumerate(names) if c != "id"}
     assert enums == {c: (len(v), v) for c, v in want.items() if 1 <= len(v) <= 7}
-    assert dep.screened_enums(df.limit(0), "t").count() == 0 and not dep.screened_profile({"t": df.limit(0)}).where("is_unique").count()
+    assert dep.enums({"t": df.limit(0)}).count() == 0 and not dep.screened_profile({"t": df.limit(0)}).where("is_unique").count()
 
 
 def test_no_row_is_copied_for_a_screened_column(spark, monkeypatch):
     """All columns but the one that may be a key are told by one aggregation without an expansion of rows."""
     df = spark.range(5000).selectExpr("id", "id % 10 AS a", "id % 20 AS b", "id % 30 AS c")
     asked = []
-    repeated = dep.repeated
-    monkeypatch.setattr(dep, "repeated", lambda df, sets: asked.extend(sets) or repeated(df, sets))
+    repeated = dep.repeated_all
+    monkeypatch.setattr(dep, "repeated_all", lambda parts: asked.extend(s for _, sets in parts for s in sets) or repeated(parts))
     dep.screened_profile({"t": df})
     assert asked == [("id",)]
