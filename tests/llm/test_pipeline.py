@@ -54,3 +54,20 @@ def test_stages_with_nulls_and_clashing_columns(spark, tmp_path):
         if name != "packing":
             assert docs.columns == ["doc_id", "text", "lang", "kept"]
     assert sorted(str(r.doc_id) for r in docs.collect()) == sorted([str(2**60 + 1), "None", "5"])
+
+
+def test_stages_of_an_empty_table(spark, tmp_path):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES:
+        made = stage(spark, docs, DIR)
+        made.write.parquet(str(tmp_path / name))
+        docs = spark.read.schema(made.schema).parquet(str(tmp_path / name))
+        assert docs.count() == 0
+
+
+def test_an_id_with_many_texts_in_two_languages(spark):
+    say = {"en": "the cat and the dog {} were in the house", "de": "der hund und die katze {} waren in dem haus"}
+    rows = [(7 if i % 3 == 0 else i, say["en" if i % 2 else "de"].format(i), "en" if i % 2 else "de") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert corpus_pipeline.languages(spark, docs, DIR).count() == len(rows)
+    assert corpus_pipeline.exact_copies(spark, docs, DIR).count() == len(rows)

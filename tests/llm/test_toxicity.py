@@ -78,3 +78,12 @@ def test_edges(spark):
     assert len(got) == 7 and {r.doc_id for r in got} == {1, 2, 3, None, 4, 2**60 + 1} and all(0 <= r.score <= 1 for r in got)
     assert t.toxicity(docs.limit(0), labels).count() == 0
     assert {r.score for r in t.toxicity(docs, labels.limit(0)).collect()} == {0.5}
+
+
+def test_an_id_with_many_texts_is_learned_once_whatever_the_order(spark):
+    rows = [(i, ("vile hateful words " if i % 2 else "kind and gentle words ") + f"n{i}") for i in range(60)] + [(3, f"text {k}") for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    once = t.toxicity(docs, labels).select("doc_id", "score", "predicted").collect()
+    again = t.toxicity(docs.repartition(5), labels).select("doc_id", "score", "predicted").collect()
+    assert sorted(once) == sorted(again) and len(once) == len(rows)
