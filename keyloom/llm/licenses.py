@@ -27,11 +27,9 @@ WORD = re.compile(r"[a-z0-9]+(?:[.-][0-9]+)*")
 TEMPLATES = [
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
-    ("MIT", "SPDX-License-Identifier: MIT"),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'),
-    ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
@@ -47,7 +45,6 @@ TEMPLATES = [
     ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
     ("BSD-2-Clause", "%(bsd)s 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES"),
     ("BSD-3-Clause", "%(bsd)s 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
-    ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-only"),
     ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3."),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
@@ -55,10 +52,30 @@ TEMPLATES = [
     ("CC-BY-4.0", "This work is licensed under CC BY 4.0."),
     ("CC-BY-SA-4.0", "This work is licensed under CC BY-SA 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    ("MIT OR Apache-2.0", "Licensed under either of Apache License, Version 2.0 or MIT license."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License v2.0"),
+    ("EPL-1.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0"),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights to this work. CC0 1.0"),
 ]
 BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
 TEMPLATES = [(name, text.replace("%(bsd)s", BSD)) for name, text in TEMPLATES]
+#: Titles of license texts. Prose has such words too, so they count as whole lines only, never as windows.
+TITLES = [
+    ("MIT", "MIT License"),
+    ("MIT", "The MIT License (MIT)"),
+    ("Apache-2.0", "Apache License, Version 2.0"),
+    ("BSD-2-Clause", "BSD 2-Clause License"),
+    ("BSD-3-Clause", "BSD 3-Clause License"),
+    ("ISC", "ISC License"),
+    ("Unlicense", "The Unlicense"),
+    ("EPL-1.0", "Eclipse Public License - v 1.0"),
+    ("EPL-2.0", "Eclipse Public License - v 2.0"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+]
+#: A line that names its license by an expression of identifiers.
+TAG = "SPDX-License-Identifier:"
+EXPRESSION = re.compile(TAG + r"[ \t]*(\(*[A-Za-z0-9][\w.+:-]*\)*(?:[ \t]+(?i:AND|OR|WITH)[ \t]+\(*[A-Za-z0-9][\w.+:-]*\)*)*)", re.ASCII)
 #: Names of files that declare the license of their directory.
 DECLARES = r"(?i)^(un)?(licen[cs]e|copying)([._-].*)?$"
 
@@ -67,6 +84,27 @@ def words(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
+def _identifier(name: str, known: dict[str, str]) -> str:
+    """A license's identifier: as the templates spell it, without `-only`, and a GNU license's `+` as `-or-later`."""
+    name = name.rstrip(".:-")
+    if name.endswith("+") and "GPL-" in name.upper():
+        name = name[:-1] + "-or-later"
+    base, tail = re.fullmatch(r"(.*?)(-only|-or-later)?", name, re.IGNORECASE).groups()
+    return known.get(base.lower(), base) + ("-or-later" if (tail or "").lower() == "-or-later" else "")
+
+
+def expression(line: str, known: dict[str, str]) -> str | None:
+    """The expression of a line that has one, null if it doesn't: operators as capitals, single blanks, parentheses only
+    where they are closed."""
+    if TAG not in line or not (m := EXPRESSION.search(line)):
+        return None
+    parts = re.findall(r"[()]|[^()\s]+", m[1])
+    if parts.count("(") != parts.count(")"):
+        parts = [p for p in parts if p not in "()"]
+    out = [p if p in "()" else p.upper() if p.upper() in ("AND", "OR", "WITH") else _identifier(p, known) for p in parts]
+    return " ".join(out).replace("( ", "(").replace(" )", ")")
+
+
 #: Windows that are compared at once.
 STRETCH = 4096
 
@@ -82,8 +120,10 @@ def _stretches(first: np.ndarray, last: np.ndarray, gap: int) -> tuple[list[int]
 class Matcher:
     """Cosine of a line to the templates over TF-IDF weights; words of no template weigh as one in a document."""
 
-    def __init__(self, templates: list[tuple[str, str]], frequency: dict[str, int], total: int, least: float):
+    def __init__(self, templates: list[tuple[str, str]], frequency: dict[str, int], total: int, least: float, titles: list[tuple[str, str]] = ()):
+        windowed, templates = len(templates), [*templates, *titles]
         self.least, self.names = least, [name for name, _ in templates]
+        self.known = {name.lower(): name for name in self.names}
         idf = lambda n: float(np.log((1 + total) / (1 + n)) + 1)
         bags = [Counter(words(t)) for _, t in templates]
         self.idf, self.other = {t: idf(frequency.get(t, 0)) for b in bags for t in b}, idf(1)
@@ -98,7 +138,8 @@ class Matcher:
                 self.lists.setdefault(t, []).append((k, v[t] / length))
                 if rest >= least - 1e-9:  # what is left could still reach the least cosine
                     self.anchors.add(t)
-                    self.starts.setdefault(t, []).append(k)
+                    if k < windowed:
+                        self.starts.setdefault(t, []).append(k)
                 rest = max(0.0, rest**2 - (v[t] / length) ** 2) ** 0.5
 
     def line(self, tokens: list[str]) -> tuple[float, str] | None:
@@ -158,19 +199,23 @@ class Matcher:
 
     def text(self, text: str) -> tuple[str | None, float, int, float]:
         """The license of the best line or window, its cosine, how many lines match or lie in a window, and their share of
-        the words. A line inside a window of a longer template counts for the window's license."""
-        lines = [words(line) for line in text.split("\n")]
+        the words. A line inside a window of a longer template counts for the window's license; one with an expression of
+        identifiers has that, at a cosine of one."""
+        raw = text.split("\n")
+        lines = [words(line) for line in raw]
         tokens = [t for line in lines for t in line]
-        if self.anchors.isdisjoint(tokens):
+        tagged = TAG in text
+        if not tagged and self.anchors.isdisjoint(tokens):
             return None, 0.0, 0, 0.0
         windows, hits, covered, told, at, first = self.windows(tokens), [], [False] * len(tokens), 0, 0, 0
-        for line in lines:
+        for whole, line in zip(raw, lines):
             end = at + len(line)
             while first < len(windows) and windows[first][1] <= at:
                 first += 1
             over = list(takewhile(lambda w: w[0] < end, islice(windows, first, None)))  # noqa: B023
             longer = any(w[1] - w[0] > len(line) for w in over)
-            hit = self.line(line) if not longer and not self.anchors.isdisjoint(line) else None
+            given = expression(whole, self.known) if tagged else None
+            hit = (1.0, given) if given else self.line(line) if not longer and not self.anchors.isdisjoint(line) else None
             if hit:
                 hits.append((at, *hit))
                 covered[at:end] = [True] * len(line)
@@ -206,19 +251,21 @@ def above(directory: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
 
 
-def license_scan(files: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "path", least: float = 0.8, whole: float = 0.5, templates: list[tuple[str, str]] | None = None) -> DataFrame:
+def license_scan(files: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "path", least: float = 0.8, whole: float = 0.5, templates: list[tuple[str, str]] | None = None, titles: list[tuple[str, str]] | None = None) -> DataFrame:
     """doc_id, path, license, score, n_lines, declares, effective_license, origin, from_directory: a row for each row.
 
     license is that of the best line, or window over joined lines, of the whole text, null if none has a cosine of `least`; ties go to the earlier
-    line, then template. A file declares its directory's license if it has one and is named like a license file or `whole`
+    line, then template. titles are compared to whole lines only, and a line with an SPDX expression has that as its license,
+    whatever identifiers it names. A file declares its directory's license if it has one and is named like a license file or `whole`
     of its words are license lines; of several, the best score, then the least license, holds. origin: own, inherited or null. Null
     and empty texts have no license, null paths count as the root, slashes that repeat as one. Rows that repeat an id
     stay as they are. An empty table gives no rows; other columns are ignored.
     """
     scratch, templates = Scratch(files.sparkSession, "licenses"), templates or TEMPLATES
+    titles = TITLES if titles is None else titles
     texts = documents(files, id_col, text_col, path_col).withColumnRenamed(path_col, "path")
-    frequency = _frequencies(texts, {t for _, text in templates for t in words(text)})
-    matcher = Matcher(templates, frequency, texts.count(), least)
+    frequency = _frequencies(texts, {t for _, text in [*templates, *titles] for t in words(text)})
+    matcher = Matcher(templates, frequency, texts.count(), least, titles)
     parts = F.filter(F.split(F.coalesce("path", F.lit("")), "/"), lambda p: p != "")
     scanned = map_texts(
         texts,

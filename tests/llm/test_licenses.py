@@ -31,11 +31,11 @@ def brute():
     texts = [t or "" for _, t in FILES]
     total = len(texts)
     df = Counter(w for t in texts for w in set(li.words(t)))
-    known = {w for _, t in li.TEMPLATES for w in li.words(t)}
+    known = {w for _, t in li.TEMPLATES + li.TITLES for w in li.words(t)}
     idf = lambda w: math.log((1 + total) / (1 + (df[w] if w in known else 1))) + 1
     vec = lambda t: {w: n * idf(w) for w, n in Counter(li.words(t)).items()}
     norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
-    templates = [(name, vec(t)) for name, t in li.TEMPLATES]
+    templates = [(name, vec(t)) for name, t in li.TEMPLATES + li.TITLES]
     own = []
     for t in texts:
         best, lines, words, all_words = (0.0, None), 0, 0, 0
@@ -43,6 +43,8 @@ def brute():
             v = vec(line)
             all_words += len(li.words(line))
             hits = [(sum(x * u.get(w, 0) for w, x in v.items()) / norm(v) / norm(u), -k, name) for k, (name, u) in enumerate(templates) if v]
+            if given := re.match(r"SPDX-License-Identifier: (\S+)$", line):
+                hits = [(1.0, 0, given[1])]
             if hits and (hit := max(hits))[0] >= 0.8 - 1e-9:
                 lines += 1
                 words += len(li.words(line))
@@ -110,8 +112,41 @@ def test_windows_against_all_windows():
         assert [(a, b, k) for a, b, _, k in got] == [(a, b, k) for a, b, _, k in sorted(kept)]
 
 
+NOTICES = [
+    ("The MIT License (MIT)\n\nCopyright (c) 2020 X", "MIT"),
+    ("MIT License", "MIT"),
+    ("// SPDX-License-Identifier: BSD-3-Clause", "BSD-3-Clause"),
+    ("# SPDX-License-Identifier: GPL-2.0-or-later", "GPL-2.0-or-later"),
+    ("/* SPDX-License-Identifier: gpl-2.0+ */", "GPL-2.0-or-later"),
+    ("SPDX-License-Identifier: GPL-3.0-only", "GPL-3.0"),
+    ("x SPDX-License-Identifier: (mit or Apache-2.0) AND LicenseRef-Own.", "(MIT OR Apache-2.0) AND LicenseRef-Own"),
+    ("<!-- SPDX-License-Identifier: (GPL-2.0-only WITH Classpath-exception-2.0 -->", "GPL-2.0 WITH Classpath-exception-2.0"),
+    ("SPDX-License-Identifier: ", None),
+    ("Licensed under either of Apache License, Version 2.0 or MIT license", "MIT OR Apache-2.0"),
+    ("This is free and unencumbered software released into the public domain.", "Unlicense"),
+    ("Eclipse Public License - v 2.0", "EPL-2.0"),
+    ("Eclipse Public License - v 1.0", "EPL-1.0"),
+    ("unlike the terms of the MIT license, ours asks for a fee", None),
+]
+
+
+@pytest.mark.parametrize(("text", "license_"), NOTICES)
+def test_common_notices(text, license_):
+    frequency = {"the": 900, "of": 900, "is": 900, "this": 800, "or": 500, "under": 100, "license": 60, "licensed": 40, "version": 40, "public": 90}
+    matcher = li.Matcher(li.TEMPLATES, frequency, 1000, 0.8, li.TITLES)
+    name, cosine, _, _ = matcher.text("other words before\n" + text + "\nother words behind")
+    assert name == license_ and cosine == pytest.approx(1.0 if license_ else 0.0)
+
+
+def test_a_text_of_many_expressions_takes_no_square_of_them():
+    matcher = li.Matcher(li.TEMPLATES, {}, 10, 0.8, li.TITLES)
+    began = time.process_time()
+    assert matcher.text("SPDX-License-Identifier: MIT OR ISC\n" * 20_000 + "SPDX-License-Identifier: " + "(" * 100_000)[:3] == ("MIT OR ISC", 1.0, 20_000)
+    assert time.process_time() - began < 60
+
+
 def test_a_file_of_many_notices_takes_no_square_of_them():
-    matcher = li.Matcher(li.TEMPLATES, {}, 10, 0.8)
+    matcher = li.Matcher(li.TEMPLATES, {}, 10, 0.8, li.TITLES)
     text = "Licensed under the Apache License, Version 2.0.\n" * 20_000
     began = time.process_time()
     assert matcher.text(text)[:3] == ("Apache-2.0", pytest.approx(1.0), 20_000)
