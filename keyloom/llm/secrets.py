@@ -43,16 +43,28 @@ ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm")
 NEXT = {(a, b) for row in ROWS for x, y in zip(row, row[1:]) for a, b in ((x, y), (y, x))} | {
     (a, b) for up, low in zip(ROWS, ROWS[1:]) for i, x in enumerate(low) for y in up[i : i + 2] for a, b in ((x, y), (y, x))
 }
+#: The digit row with shift.
+SHIFTED = str.maketrans("!@#$%^&*()", ROWS[0])
+#: Whether a value has a block of characters that is there twice in a row.
+BLOCK = re.compile(rf"(.{{2,{LONGEST}}})\1", re.DOTALL)
 LEET = str.maketrans("013457@$!", "oieastasi")
 DATE = re.compile(r"(?:19|20)\d\d(?:[-/.]?(?:0[1-9]|1[0-2])(?:[-/.]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)?\d\d")
 
 
 def guess_cost(value: str, ranks: dict[str, int] = RANK) -> float:
-    """log10 of the least guesses over all segmentations; time in proportion to the length."""
+    """log10 of the least guesses over all segmentations; time in proportion to the length. Repeats are of a character or of a
+    block of LONGEST at most, whose own guesses count once; with shift, keys of the digit row are the same keys."""
+    alphabet = sum(k for k, p in ((26, r"[a-z]"), (26, r"[A-Z]"), (10, r"\d"), (33, r"[^A-Za-z0-9]")) if re.search(p, value)) or 1
+    return _cost(value, ranks, alphabet, {})
+
+
+def _cost(value: str, ranks: dict[str, int], alphabet: int, blocks: dict[str, float]) -> float:
+    """The guess cost over an alphabet of that size; blocks: the costs of blocks so far."""
     n = len(value)
     low = value.lower()
-    plain = low.translate(LEET)
-    alphabet = sum(k for k, p in ((26, r"[a-z]"), (26, r"[A-Z]"), (10, r"\d"), (33, r"[^A-Za-z0-9]")) if re.search(p, value)) or 1
+    plain, keys = low.translate(LEET), low.translate(SHIFTED)
+    periods = range(2, min(LONGEST, n // 2) + 1) if BLOCK.search(value) else ()
+    again = [0] * (LONGEST + 1)  # by period, how many characters on end equal those a period before
     brute, best = math.log10(alphabet), [0.0] + [math.inf] * n
     walk = same = 0  # lengths of the walk and of the repeat that end before the current character
     dates: dict[int, list[int]] = {}
@@ -66,11 +78,21 @@ def guess_cost(value: str, ranks: dict[str, int] = RANK) -> float:
                 cost = min(cost, best[i] + math.log10(rank + 1) + 0.3 * (value[i:j] != low[i:j]) + changed)
         for i in dates.get(j, ()):
             cost = min(cost, best[i] + math.log10(365 * 120 if j - i > 4 else 120))
-        walk = walk + 1 if j > 1 and (low[j - 2], low[j - 1]) in NEXT else 0
+        walk = walk + 1 if j > 1 and (keys[j - 2], keys[j - 1]) in NEXT else 0
         same = same + 1 if j > 1 and value[j - 2] == value[j - 1] else 0
         for run, start in ((walk, 47.0), (same, float(alphabet))):
             if run >= 2:
                 cost = min(cost, best[j - 1 - run] + math.log10(start * 2 * (run + 1)))
+        for period in periods:
+            if j <= period or value[j - 1] != value[j - 1 - period]:
+                again[period] = 0
+                continue
+            again[period] += 1
+            if (times := again[period] // period + 1) > 1:
+                block = value[j - period : j]
+                if block not in blocks:
+                    blocks[block] = _cost(block, ranks, alphabet, blocks)
+                cost = min(cost, best[j - period * times] + blocks[block] + math.log10(2 * times))
         best[j] = cost
     return best[n]
 

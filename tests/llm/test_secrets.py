@@ -59,10 +59,10 @@ def test_no_credentials_and_long_names():
     assert s.scan("token-" * 50_000 + "secret " * 50_000, 8.0, 8) == ([], -1.0)
 
 
-def brute_cost(value):
+def brute_cost(value, alphabet=None):
     n, low = len(value), value.lower()
-    plain = low.translate(s.LEET)
-    alphabet = sum(k for k, p in ((26, "[a-z]"), (26, "[A-Z]"), (10, r"\d"), (33, "[^A-Za-z0-9]")) if re.search(p, value)) or 1
+    plain, keys = low.translate(s.LEET), low.translate(str.maketrans("!@#$%^&*()", "1234567890"))
+    alphabet = alphabet or sum(k for k, p in ((26, "[a-z]"), (26, "[A-Z]"), (10, r"\d"), (33, "[^A-Za-z0-9]")) if re.search(p, value)) or 1
 
     def piece(i, j):
         part, costs = value[i:j], [(j - i) * math.log10(alphabet)]
@@ -70,23 +70,29 @@ def brute_cost(value):
             costs.append(math.log10(rank + 1) + 0.3 * (part != low[i:j]) + (low[i:j] not in s.RANK) + (part not in (low[i:j], low[i:j].upper(), low[i:j].capitalize())))
         if (m := s.DATE.match(value, i)) and m.end() == j:
             costs.append(math.log10(365 * 120 if j - i > 4 else 120))
-        if j - i >= 3 and all((low[k], low[k + 1]) in s.NEXT for k in range(i, j - 1)) and not (i > 0 and (low[i - 1], low[i]) in s.NEXT):
+        if j - i >= 3 and all((keys[k], keys[k + 1]) in s.NEXT for k in range(i, j - 1)) and not (i > 0 and (keys[i - 1], keys[i]) in s.NEXT):
             costs.append(math.log10(47 * 2 * (j - i)))
         if j - i >= 3 and len(set(part)) == 1 and not (i > 0 and value[i - 1] == value[i]):
             costs.append(math.log10(alphabet * 2 * (j - i)))
+        for p in range(2, (j - i) // 2 + 1):
+            block, times = part[:p], (j - i) // p
+            if part == block * times and not (i >= p and value[i - p : i] == block):
+                costs.append(brute_cost(block, alphabet) + math.log10(2 * times))
         return min(costs)
 
     cuts = (c for r in range(n) for c in itertools.combinations(range(1, n), r))
     return min((sum(piece(a, b) for a, b in itertools.pairwise([0, *c, n])) for c in cuts), default=0.0)
 
 
-@pytest.mark.parametrize("value", ["password", "P4ssword1", "qwerty12", "aaaa99", "20240131x", "zxcvbQ!", "k", "admin1999", "dragonaa"])
+@pytest.mark.parametrize("value", ["password", "P4ssword1", "qwerty12", "aaaa99", "20240131x", "zxcvbQ!", "k", "admin1999", "dragonaa", "abcabcabcabc", "xyxyx!@#$", "!@#$%^&*", "k7Qk7Qz", "a1!2@3#", "ababXabab"])
 def test_guess_cost_is_the_least_over_all_segmentations(value):
     assert s.guess_cost(value) == pytest.approx(brute_cost(value))
 
 
 def test_guess_cost_of_long_values():
     assert s.guess_cost("") == 0
+    assert s.guess_cost("abcabcabcabc") < 8 > s.guess_cost("!@#$%^&*()") and s.guess_cost("Zq8#xP" * 2) < s.guess_cost("Zq8#xP") + 1
+    assert s.guess_cost("Zq8#xP!w" * 30_000) < 25
     assert s.guess_cost("".join(random.Random(1).choices("abcXYZ0189", k=50_000))) > 10_000
 
 
