@@ -1,16 +1,21 @@
 """Keys of several columns and functional dependencies, found in rows: level by level over sets of columns.
 
-A scan with a mergeable distinct sketch for each set rules out most of them, and hands on a row a task; only sets that the
-sketches leave open are counted exactly, all of a level in one more scan. Sketches of distinct counts have a relative
+Sets are ruled out by slices of the rows first: two rows of a slice that agree are two rows of the table, and what a slice's
+rows lose at least, the table's do. Only what is left is counted over all rows, by a number a row and set; of a set that few
+values repeat in, its larger sets are told by the rows with these values alone. Sketches of distinct counts have a relative
 standard error of RSD; a set is ruled out if it would have to be off by SIGMAS of these, so that a wrong one has a chance of
 some 1e-9. Catalogs are the only thing that is gathered.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from functools import reduce
 from itertools import combinations
+from math import prod
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,19 +24,21 @@ from keyloom.plans.catalog import local_frame
 
 #: Relative standard error of the sketches, how many of them a count may be off, and sets that one scan sketches.
 RSD, SIGMAS, SETS = 0.02, 6, 64
-#: Slices of a hash, of which one is looked at first.
-SLICES = 64
+#: Slices of a hash, of which one is looked at first; of a column's hash, for sets with it; and of a row's, for all sets.
+SLICES, COLUMN_SLICES, ROW_SLICES = 64, 32, 512
+#: Repeated values of a set that are broadcast, numbers of eight bytes.
+FEW = 500_000
 
 LOW, HIGH = 1 - SIGMAS * RSD, 1 + SIGMAS * RSD
 Columns = tuple[str, ...]
 
 
-def _hashed(df: DataFrame, sets: list[Columns]) -> DataFrame:
+def _hashed(df: DataFrame, sets: list[Columns], *more: Column) -> DataFrame:
     """Two hashes of each column that is in a set, numbers without nulls: a null is a value of its own. So sets are hashed
     by few numbers each, whatever the columns hold."""
     used = sorted({c for s in sets for c in s})
     value = lambda c, seed: F.xxhash64(F.lit(seed), F.col(f"`{c}`"), F.col(f"`{c}`").isNull()).alias(f"{c}#{seed}")
-    return df.select(*(value(c, seed) for c in used for seed in (1, 2)))
+    return df.select(*(value(c, seed) for c in used for seed in (1, 2)), *more)
 
 
 def _hash(columns: Columns, seed: int = 1) -> Column:
@@ -82,6 +89,83 @@ def repeated_all(asked: list[tuple[DataFrame, list[Columns]]]) -> list[set[Colum
     return [{s for u, s in found if u == k} for k in range(len(asked))]
 
 
+def agreeing(df: DataFrame, sets: list[Columns], sizes: dict[str, float]) -> set[Columns]:
+    """Sets of which two rows have the same values, found in slices; others may be such too.
+
+    A set is looked at in a slice of that column of its own which has the most values, as rows that agree on the set are in
+    the same slice; and, for values that very many rows have, in a small slice of all rows. One scan for SETS * 4 sets, which
+    hands the slices' rows to Python; a task that has seen a set repeat says so once and hands on no more of it.
+    """
+    found: set[Columns] = set()
+    for some in (sets[k : k + 4 * SETS] for k in range(0, len(sets), 4 * SETS)):
+        by = [max(s, key=lambda c: (sizes[c], c)) for s in some]
+        # slices by another hash than the values': Spark's inferred filters would take each hash with and without its alias
+        slices = sorted(set(by))
+        inside = [F.pmod(F.hash(F.col(f"`{c}`")), F.lit(COLUMN_SLICES)) == 0 for c in slices]
+        inside.append(F.pmod(F.hash(*(F.col(f"`{c}`") for c in sorted({c for s in some for c in s}))), F.lit(ROW_SLICES)) == 0)
+        rows = _hashed(df.where(reduce(Column.__or__, inside)), some, F.array(*inside).alias("inside"))
+
+        def run(batches: Iterable[pa.RecordBatch], some=some, by=by, slices=slices) -> Iterator[pa.RecordBatch]:
+            told: set[int] = set()
+            for batch in batches:
+                *hashes, held = batch.columns
+                of = {name: c.to_numpy() for name, c in zip(batch.schema.names, hashes, strict=False)}
+                held = held.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, len(slices) + 1)
+                at = {c: np.flatnonzero(held[:, k] | held[:, -1]) for k, c in enumerate(slices)}
+                for i, s in enumerate(some):
+                    if i in told:
+                        continue
+                    v, w = (_mixed([of[f"{c}#{seed}"][at[by[i]]] for c in s]) for seed in (1, 2))
+                    order = np.lexsort((w, v))
+                    v, w = v[order], w[order]
+                    if ((v[1:] == v[:-1]) & (w[1:] == w[:-1])).any():
+                        told.add(i)
+                        v = w = np.zeros(2, np.int64)
+                    if len(v):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), i, np.int32)), pa.array(v), pa.array(w)], ["i", "v", "w"])
+
+        same = rows.mapInArrow(run, "i int, v long, w long").groupBy("i", "v", "w").agg(F.count("*").alias("n")).where("n > 1")
+        found |= {some[r.i] for r in same.select("i").distinct().collect()}
+    return found
+
+
+def _mixed(hashes: list[np.ndarray]) -> np.ndarray:
+    """One hash of several, each in its place."""
+    out = np.zeros(len(hashes[0]), np.uint64)
+    for h in hashes:
+        out = (out ^ h.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out.astype(np.int64)
+
+
+def repeats(df: DataFrame, sets: list[Columns]) -> tuple[DataFrame, list[int]]:
+    """i, v: of each set by its place the hashes of 64 bits that repeat, kept until they are unpersisted; and how many.
+    A number a row and set is shuffled, and a set's own columns are read for it."""
+    each = [_hashed(df, [s]).select(F.lit(i).alias("i"), _hash(s).alias("v")) for i, s in enumerate(sets)]
+    found = reduce(DataFrame.unionByName, each).groupBy("i", "v").agg(F.count("*").alias("n")).where("n > 1").select("i", "v").persist()
+    counts = {r.i: r["count"] for r in found.groupBy("i").count().collect()}
+    return found, [counts.get(i, 0) for i in range(len(sets))]
+
+
+def _holding(df: DataFrame, columns: Columns, values: DataFrame, sets: list[Columns]) -> DataFrame:
+    """The hashes of what the sets need, of the rows whose values in the columns are among FEW hashes."""
+    return _hashed(df, [columns, *sets]).withColumn("v", _hash(columns)).join(F.broadcast(values.select("v")), "v", "left_semi").drop("v")
+
+
+def repeated_within(df: DataFrame, asked: list[tuple[Columns, DataFrame, list[Columns]]]) -> set[Columns]:
+    """Sets of which two rows have the same values, each given with a part of it and all hashes that repeat there: rows
+    that agree on the set agree on the part."""
+    if not asked:
+        return set()
+    every, parts = [s for _, _, sets in asked for s in sets], []
+    place = {s: i for i, s in enumerate(every)}
+    for columns, values, sets in asked:
+        each = F.array(*(F.struct(F.lit(place[s]).alias("i"), _hash(s, 1).alias("v"), _hash(s, 2).alias("w")) for s in sets))
+        parts.append(_holding(df, columns, values, sets).select(F.explode(each).alias("x")).select("x.*"))
+    same = reduce(DataFrame.unionByName, parts).groupBy("i", "v", "w").agg(F.count("*").alias("n")).where("n > 1")
+    return {every[r.i] for r in same.select("i").distinct().collect()}
+
+
 def screened(frames: dict[str, DataFrame], columns: dict[str, list[str]]) -> dict[str, tuple[int, dict[str, tuple[int, int]]]]:
     """Of each table the rows, and of each column the values and about how many distinct ones: one job, in which a task hands
     on a row a table."""
@@ -128,28 +212,35 @@ def enums(frames: dict[str, DataFrame], keys: dict[str, list[str]] | None = None
 def minimal_keys(df: DataFrame, most: int = 3, columns: list[str] | None = None) -> list[Columns]:
     """The sets of up to `most` columns without nulls whose values no two rows share, and of which no column can go.
 
-    A set with a key in it isn't looked at, nor one whose columns, or parts that are known already, can't have as many
-    combinations as there are rows. What is left of a level is sketched, then counted exactly where the sketch allows it to
-    be a key. A table without rows has no keys.
+    A set with a key in it isn't looked at, nor one whose columns can't have as many combinations as there are rows. What
+    is left of a level is looked at in slices; sets that no slice rules out are counted exactly, but for those with a part
+    of which few values repeat. A table without rows has no keys.
     """
     chosen = columns or plain_columns(df)
-    n, *values = df.agg(F.count("*"), *(F.count(F.col(f"`{c}`")) for c in chosen)).collect()[0]
-    usable = [c for c, v in zip(chosen, values, strict=True) if v == n]
+    n, of = screened({"": df}, {"": chosen})[""]
+    usable = [c for c in chosen if of[c][0] == n]
+    sizes = {c: min(n, HIGH * of[c][1]) for c in usable}
     keys: list[Columns] = []
-    room: dict[Columns, float] = {}  # combinations that a set has at most
+    few: dict[Columns, tuple[int, DataFrame]] = {}  # what repeats of sets that aren't keys
+    kept: list[DataFrame] = []
     for size in range(1, (most if n else 0) + 1):
-        level = []
-        for s in combinations(usable, size):
-            if any(set(k) <= set(s) for k in keys):
-                continue
-            parts = [room.get(s[:i] + s[i + 1 :], n) * room.get((s[i],), n) for i in range(size)] if size > 1 else [n]
-            if min(parts) >= n:
-                level.append(s)
-        counts = about(df, level)
-        open_ = [s for s in level if counts[s] >= LOW * n]
-        twice = repeated(df, open_)
-        keys += [s for s in open_ if s not in twice]
-        room |= {s: min(n, HIGH * c) for s, c in counts.items()}
+        level = [s for s in combinations(usable, size) if not any(set(k) <= set(s) for k in keys) and prod(sizes[c] for c in s) >= n]
+        twice = agreeing(df, level, sizes)
+        part = {s: min((p for p in few if set(p) <= set(s)), key=lambda p: few[p][0], default=None) for s in level if s not in twice}
+        alone = [s for s, p in part.items() if p is None]
+        if alone:
+            found, counts = repeats(df, alone)
+            kept.append(found)
+            for i, (s, c) in enumerate(zip(alone, counts, strict=True)):
+                if c > FEW:
+                    twice.add(s)
+                elif c:  # told by both hashes below
+                    few[s], part[s] = (c, found.where(F.col("i") == i)), s
+        asked = {p: [s for s, q in part.items() if q == p and s not in twice] for p in part.values() if p is not None}
+        twice |= repeated_within(df, [(p, few[p][1], sets) for p, sets in asked.items() if sets])
+        keys += [s for s in level if s not in twice]
+    for found in kept:
+        found.unpersist()
     return keys
 
 

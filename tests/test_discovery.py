@@ -107,3 +107,18 @@ def test_no_row_is_copied_for_a_screened_column(spark, monkeypatch):
     monkeypatch.setattr(dep, "repeated_all", lambda parts: asked.extend(s for _, sets in parts for s in sets) or repeated(parts))
     dep.screened_profile({"t": df})
     assert asked == [("id",)]
+
+
+def test_few_sets_are_counted_over_all_rows(spark, monkeypatch):
+    """Sets that slices rule out aren't counted, nor larger sets of one in which few values repeat."""
+    names = [f"c{i}" for i in range(8)]
+    df = spark.range(6000).selectExpr("id % 5999 AS a", "id * 7919 % 6000 % 3000 AS b", "id % 2 AS h", *(f"id % {i + 2} AS c{i}" for i in range(8)))
+    asked = []
+    counted = dep.repeats
+    monkeypatch.setattr(dep, "repeats", lambda df, sets: asked.extend(sets) or counted(df, sets))
+    got = dep.minimal_keys(df, 3, ["a", "b", "h", *names])
+    rows = df.toPandas()
+    unique = lambda x: not rows.duplicated(list(x)).any()
+    sets = [x for k in (1, 2, 3) for x in combinations(["a", "b", "h", *names], k) if unique(x)]
+    assert got == [x for x in sets if not any(set(y) < set(x) for y in sets)]
+    assert ("a",) in asked and not [s for s in asked if "a" in s and len(s) > 1] and len(asked) < 40
