@@ -244,18 +244,52 @@ def minimal_keys(df: DataFrame, most: int = 3, columns: list[str] | None = None)
     return keys
 
 
-def dependency_errors(df: DataFrame, wanted: list[tuple[Columns, str]]) -> dict[tuple[Columns, str], float]:
-    """Of each determinant and dependent, the least share of rows that must go for the dependency to hold (g3); nulls
-    are values, and values are the same if 128 bits of hash are. One scan and two aggregations for all."""
-    if not wanted:
-        return {}
+def _pairs(rows: DataFrame, own: list[tuple[int, Columns, str]]) -> DataFrame:
+    """i, x1, x2, a1, a2: of rows of hashes those of each determinant and dependent."""
     halves = lambda columns, name: (_hash(columns, 1).alias(f"{name}1"), _hash(columns, 2).alias(f"{name}2"))
-    each = F.array(*(F.struct(F.lit(i).alias("i"), *halves(x, "x"), *halves((a,), "a")) for i, (x, a) in enumerate(wanted)))
-    rows = _hashed(df, [(*x, a) for x, a in wanted]).select(F.explode(each).alias("e")).select("e.*")
-    groups = rows.groupBy("i", "x1", "x2", "a1", "a2").agg(F.count("*").alias("n"))
+    each = F.array(*(F.struct(F.lit(i).alias("i"), *halves(x, "x"), *halves((a,), "a")) for i, x, a in own))
+    return rows.select(F.explode(each).alias("e")).select("e.*")
+
+
+def _lost(parts: list[DataFrame]) -> dict[int, int]:
+    """How many rows must go for each dependency to hold, if any."""
+    if not parts:
+        return {}
+    groups = reduce(DataFrame.unionByName, parts).groupBy("i", "x1", "x2", "a1", "a2").agg(F.count("*").alias("n"))
     kept = groups.groupBy("i", "x1", "x2").agg(F.max("n").alias("kept"), F.sum("n").alias("n"))
-    found = kept.groupBy("i").agg(F.sum("kept").alias("kept"), F.sum("n").alias("n")).collect()
-    return {wanted[r.i]: (r.n - r.kept) / r.n for r in found}
+    return {r.i: r.lost for r in kept.groupBy("i").agg((F.sum("n") - F.sum("kept")).alias("lost")).collect()}
+
+
+def dependency_errors(df: DataFrame, wanted: list[tuple[Columns, str]], n: int, counts: dict[Columns, int], max_error: float = 1.0) -> dict[tuple[Columns, str], float]:
+    """Of each determinant and dependent, the least share of the n rows that must go for the dependency to hold (g3), if
+    that may be `max_error` at most; nulls are values, and values are the same if 128 bits of hash are.
+
+    A slice of a determinant's values loses rows that the whole loses too, which rules out what loses more than `max_error`
+    of all rows there. Of determinants that have about as many values as rows, only rows whose values repeat are compared,
+    once for all dependents; of the others, tasks add up their rows before the shuffle.
+    """
+    by: dict[Columns, list[tuple[int, str]]] = {}
+    for i, (x, a) in enumerate(wanted):
+        by.setdefault(x, []).append((i, a))
+    own = lambda x: [(i, x, a) for i, a in by[x]]
+    sets = lambda x: [(*x, a) for _, a in by[x]]
+    slices = min(SLICES, int(0.25 / max_error)) if max_error else SLICES
+    if slices > 1:
+        lost = _lost([_pairs(_hashed(df, sets(x)).where(F.pmod(_hash(x), F.lit(slices)) == 0), own(x)) for x in by if x])
+        by = {x: left for x, of in by.items() if (left := [(i, a) for i, a in of if lost.get(i, 0) <= max_error * n])}
+    single = [x for x in by if x and counts[x] >= n / 2]
+    found, times = repeats(df, single) if single else (None, [])
+    parts = []
+    for x in by:
+        at = single.index(x) if x in single else -1
+        if at < 0 or times[at] > FEW:
+            parts.append(_pairs(_hashed(df, sets(x)), own(x)))
+        elif times[at]:
+            parts.append(_pairs(_holding(df, x, found.where(F.col("i") == at), sets(x)), own(x)))
+    lost = _lost(parts)
+    if found is not None:
+        found.unpersist()
+    return {wanted[i]: lost.get(i, 0) / n for of in by.values() for i, _ in of}
 
 
 def dependencies(df: DataFrame, most: int = 2, max_error: float = 0.0, columns: list[str] | None = None) -> list[tuple[Columns, str, float]]:
@@ -285,8 +319,8 @@ def dependencies(df: DataFrame, most: int = 2, max_error: float = 0.0, columns:
             most_x = min(n, HIGH * counts[x]) if x else 1
             if (LOW * both - most_x) / n <= max_error:
                 open_.append((x, a))
-        errors = dependency_errors(df, open_)
-        found += [(x, a, errors[x, a]) for x, a in open_ if errors[x, a] <= max_error]
+        errors = dependency_errors(df, open_, n, counts, max_error)
+        found += [(x, a, errors[x, a]) for x, a in open_ if errors.get((x, a), 2.0) <= max_error]
         exact |= {k for k, e in errors.items() if e == 0}
     return found
 

@@ -122,3 +122,15 @@ def test_few_sets_are_counted_over_all_rows(spark, monkeypatch):
     sets = [x for k in (1, 2, 3) for x in combinations(["a", "b", "h", *names], k) if unique(x)]
     assert got == [x for x in sets if not any(set(y) < set(x) for y in sets)]
     assert ("a",) in asked and not [s for s in asked if "a" in s and len(s) > 1] and len(asked) < 40
+
+
+def test_dependents_of_one_determinant_are_told_by_its_repeated_values(spark, monkeypatch):
+    df = spark.range(4000).selectExpr("id % 3990 AS k", "id AS u", "id % 7 AS a", "id % 11 AS b")
+    held = []
+    holding = dep._holding
+    monkeypatch.setattr(dep, "_holding", lambda df, x, values, sets: held.append(x) or holding(df, x, values, sets))
+    got = {(x, a): e for x, a, e in dep.dependencies(df, 1, 0.02)}
+    rows = df.toPandas()
+    error = lambda x, a: sum(len(g) - g.value_counts().max() for _, g in rows.groupby(x)[a]) / len(rows)
+    want = {((x,), a): error(x, a) for x in df.columns for a in df.columns if a != x}
+    assert got == {p: e for p, e in want.items() if e <= 0.02} and held == [("k",)]
