@@ -16,6 +16,8 @@ from keyloom.operators.inclusions import plain_columns, short_text
 from keyloom.operators.probes import _share
 
 VALUES = "column_name string, v string, n long, batch long"
+#: Values that a task counts, about, however many there are in all.
+TASK = 1_000_000
 SUMS = "column_name string, n_rows long, n_values long, low string, high string, sketch binary, mark string, batch long"
 
 
@@ -30,12 +32,16 @@ class Measures:
     mark: str
 
     def absorb(self, rows: DataFrame, batch: int) -> None:
-        """Adds a batch, or writes it again. Batches that were merged into others are known and left out."""
+        """Adds a batch, or writes it again. Batches that were merged into others are known and left out. Rows are dealt by a
+        hash of all of them, so that tasks don't hold more values where files are larger, and frequent values are counted by
+        all tasks."""
         if batch <= self.merged_up_to():
             return
-        values = F.explode(F.array(*(F.struct(F.lit(c).alias("column_name"), short_text(c).alias("v")) for c in self.exact)))
-        counted = rows.select(values.alias("x")).select("x.*").where("v IS NOT NULL").groupBy("column_name", "v").agg(F.count("*").alias("n"))
         own = plain_columns(rows)
+        tasks = -(-rows.count() * len(self.exact) // TASK)
+        dealt = rows.repartition(tasks, F.xxhash64(*(F.col(f"`{c}`") for c in own))) if tasks > 1 else rows
+        values = F.explode(F.array(*(F.struct(F.lit(c).alias("column_name"), short_text(c).alias("v")) for c in self.exact)))
+        counted = dealt.select(values.alias("x")).select("x.*").where("v IS NOT NULL").groupBy("column_name", "v").agg(F.count("*").alias("n"))
         text = lambda c: F.col(f"`{c}`").cast("string")
         wide = rows.agg(
             F.count("*").alias("n"), F.max(F.col(f"`{self.mark}`")).cast("string").alias("mark"),
@@ -62,8 +68,14 @@ class Measures:
 
     def values(self) -> DataFrame:
         """column_name, v, n over all batches, but such as were cut off while they were written."""
-        done = self.sums().select("batch").distinct()
-        return self._read("values", VALUES).join(F.broadcast(done), "batch", "left_semi").groupBy("column_name", "v").agg(F.sum("n").alias("n"))  # done: a row a batch
+        return self._merged(self.sums())
+
+    def _merged(self, sums: DataFrame) -> DataFrame:
+        """The values of the batches in sums. A batch has a value once, so nothing is gained before the shuffle, and no task
+        gets many rows of a value."""
+        done = sums.select("batch").distinct()
+        rows = self._read("values", VALUES).join(F.broadcast(done), "batch", "left_semi")  # done: a row a batch
+        return rows.repartition(max(1, -(-rows.count() // TASK)), "column_name", "v").groupBy("column_name", "v").agg(F.sum("n").alias("n"))
 
     def sums(self) -> DataFrame:
         return self._read("sums", SUMS)
@@ -104,8 +116,7 @@ class Measures:
         fs = path("").getFileSystem(conf)
         if not fs.exists(path(f"merged/{up_to}")):
             old = self.sums().where(F.col("batch") <= up_to)
-            done = old.select("batch").distinct()
-            values = self._read("values", VALUES).join(F.broadcast(done), "batch", "left_semi").groupBy("column_name", "v").agg(F.sum("n").alias("n"))  # a row a batch
+            values = self._merged(old)
             sums = old.groupBy("column_name").agg(
                 F.sum("n_rows").alias("n_rows"), F.sum("n_values").alias("n_values"), F.min("low").alias("low"), F.max("high").alias("high"),
                 F.theta_union_agg("sketch").alias("sketch"), F.max_by("mark", F.struct(F.col("mark").try_cast("double"), "mark")).alias("mark"),
@@ -122,12 +133,13 @@ class Measures:
 
 
 def measured_in_increments(rows: DataFrame, parts: list, folder: str, exact: tuple[str, ...], mark: str) -> Measures:
-    """Measures after a stream took up a table in increments, one file each, the last one twice."""
+    """Measures after a stream took up a table in increments, a batch each whatever the number of its files, the last one
+    twice."""
     spark = rows.sparkSession
     measures = Measures(spark, f"{folder}/measures", exact, mark)
     for part in parts:
-        rows.where(part).coalesce(1).write.mode("append").parquet(f"{folder}/rows")
-        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/rows")
+        rows.where(part).write.mode("append").parquet(f"{folder}/rows")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/rows")
         measures.follow(stream, f"{folder}/checkpoint")
     measures.absorb(rows.where(parts[-1]), len(parts) - 1)
     return measures

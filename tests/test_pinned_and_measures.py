@@ -96,3 +96,13 @@ def test_stream_that_is_started_again(spark, tmp_path):
         m.follow(spark.readStream.schema(schema).parquet(f"{tmp_path}/rows"), f"{tmp_path}/checkpoint")
     m.follow(spark.readStream.schema(schema).parquet(f"{tmp_path}/rows"), f"{tmp_path}/checkpoint")
     assert told(m, spark)[0]["k"] == (130, 130, 7)
+
+
+def test_tasks_grow_with_the_values(spark, tmp_path, monkeypatch):
+    from keyloom.streaming import measures
+
+    monkeypatch.setattr(measures, "TASK", 50)
+    m = Measures(spark, str(tmp_path / "m"), ("id", "k"), "id")
+    m.absorb(rows_of(spark, 0, 130).coalesce(1), 0)
+    assert m.values().rdd.getNumPartitions() == 3  # 137 values
+    assert told(m, spark)[0] == {"id": (130, 130, 130), "k": (130, 130, 7), "s": (130, 104, None)}
