@@ -17,18 +17,23 @@ import re
 from array import array
 from collections import Counter
 from collections.abc import Iterable
+from itertools import chain, repeat
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import documents, hash_sample, held_out, map_slices, map_texts, one_text_each
+from keyloom.llm.common import SLICE, documents, hash_sample, held_out, map_slices, map_texts, one_text_each, tidy
 from keyloom.llm.embed_dedup import spherical_kmeans
 
 WORD = re.compile(r"\w+")
+#: ASCII characters of no word become blanks; bytes of other characters stay.
+SPLIT = bytes(c if c >= 128 or WORD.fullmatch(chr(c)) else 32 for c in range(256))
 #: Share of the examples from which a term's list is dense, examples of a block, and texts whose bounds are taken at once.
-COMMON, BLOCK, BATCH = 0.02, 64, 128
+COMMON, BLOCK, BATCH = 0.05, 64, 128
+#: Share of a batch from which a block is multiplied with all of it, and list entries that are added up at once, but for one text.
+MANY, AT_ONCE = 0.25, 1 << 20
 #: How much more a word weighs that tells all of the label; the likelihood ratio that counts as chance.
 EVIDENCE, CHANCE = 1000.0, 6.0
 #: Added to a distance, so that a copy votes a hundred times as much as an example at right angles.
@@ -38,17 +43,30 @@ JUDGED, LEAST_CALIBRATION, MOST_CALIBRATION = 2, 20, 500
 
 
 def terms(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    """The matches of WORD in the text in small letters: split at ASCII characters and blanks where that makes them too."""
+    low = text.lower()
+    found = low.encode("utf-8", "surrogatepass").translate(SPLIT).decode("utf-8", "surrogatepass").split()
+    rest = "".join(found)
+    return found if rest.isascii() or rest.replace("_", "").isalnum() else WORD.findall(low)
 
 
 class Index:
     """Products with the examples' vectors (term -> weight), each of length one at most."""
 
     def __init__(self, vectors: list[dict[str, float]]):
-        self.n = len(vectors)
-        self.column: dict[str, int] = {}
-        columns = [np.array([self.column.setdefault(t, len(self.column)) for t in v], np.int64) for v in vectors]
-        weights = [np.fromiter(v.values(), float, len(v)) for v in vectors]
+        column: dict[str, int] = {}
+        columns = [np.array([column.setdefault(t, len(column)) for t in v], np.int64) for v in vectors]
+        self._build(column, columns, [np.fromiter(v.values(), float, len(v)) for v in vectors])
+
+    @classmethod
+    def of(cls, column: dict[str, int], columns: list[np.ndarray], weights: list[np.ndarray]) -> Index:
+        """Of vectors whose terms are columns already; there may be columns of none."""
+        made = cls.__new__(cls)
+        made._build(column, columns, weights)
+        return made
+
+    def _build(self, column: dict[str, int], columns: list[np.ndarray], weights: list[np.ndarray]) -> None:
+        self.n, self.column = len(columns), column
         size = np.bincount(np.concatenate(columns), minlength=len(self.column)) if self.n else np.zeros(0, int)
         common = np.flatnonzero(size >= max(1, COMMON * self.n))
         self.place = np.full(len(self.column), -1, np.int32)  # of common terms in the dense lists
@@ -85,15 +103,20 @@ class Index:
         home[some] = (unit @ centres.T).argmax(axis=1)
         return np.argsort(home, kind="stable")
 
-    def lists(self) -> tuple[np.ndarray, np.ndarray]:
-        """The common terms' dense lists and their block maxima; made where they are used, once a task."""
+    def lists(self) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+        """Of each block the common terms it has and their dense lists, and all common terms' block maxima; made where they
+        are used, once a task."""
         if "_dense" not in self.__dict__:
             blocks = -(-self.n // BLOCK)
-            self._dense = np.zeros((int(self.place.max(initial=-1)) + 1, blocks * BLOCK), np.float32)
+            dense = np.zeros((int(self.place.max(initial=-1)) + 1, blocks * BLOCK), np.float32)
             for c in np.flatnonzero(self.place >= 0):
                 own = slice(self.at[c], self.at[c + 1])
-                self._dense[self.place[c], self.rows[own]] = self.of_rows[own]
-            self._most = self._dense.reshape(len(self._dense), blocks, BLOCK).max(axis=2)
+                dense[self.place[c], self.rows[own]] = self.of_rows[own]
+            self._most = dense.reshape(len(dense), blocks, BLOCK).max(axis=2)
+            self._dense = []
+            for b in range(blocks):
+                held = np.flatnonzero(self._most[:, b])
+                self._dense.append((held, np.ascontiguousarray(dense[held, b * BLOCK : (b + 1) * BLOCK].T)))
         return self._dense, self._most
 
     def __getstate__(self):
@@ -103,88 +126,108 @@ class Index:
     def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
         return np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
 
-    def _products(self, queries: list[dict[str, float]], k: int) -> tuple[np.ndarray, list]:
-        """Single-precision products, of which those that may be among the k largest are all computed; others are 0."""
-        dense, most = self.lists()
-        blocks = most.shape[1]
-        part, known = np.zeros((len(queries), len(dense)), np.float32), []
-        rest = np.zeros((len(queries), blocks * BLOCK), np.float32)  # of the terms that aren't common: their whole lists
-        for r, q in enumerate(queries):
-            own = [(c, w) for t, w in q.items() if (c := self.column.get(t)) is not None]
-            c, w = np.array([c for c, _ in own], np.int64), np.array([w for _, w in own], float)
-            known.append((c, w))
-            put = self.place[c] >= 0
-            part[r, self.place[c[put]]] = w[put]
-            c, w = c[~put], w[~put]
-            size = self.at[c + 1] - self.at[c]
-            at = self._ranges(self.at[c], size)
+    def _rest(self, n: int, of: np.ndarray, c: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Products of the terms that aren't common, from their whole lists, some queries at a time."""
+        width = -(-self.n // BLOCK) * BLOCK
+        out = np.zeros((n, width), np.float32)
+        size = self.at[c + 1] - self.at[c]
+        done = np.concatenate([[0], np.cumsum(size)])
+        first = np.searchsorted(of, np.arange(n + 1))  # of each query
+        a = 0
+        while a < n:
+            b = max(a + 1, int(np.searchsorted(done[first], done[first[a]] + AT_ONCE, "right")) - 1)
+            own = slice(first[a], first[b])
+            at = self._ranges(self.at[c[own]], size[own])
             if len(at):
-                rest[r, : self.n] = np.bincount(self.rows[at], self.of_rows[at] * np.repeat(w, size), self.n)
-        bound = part @ most + rest.reshape(len(queries), blocks, BLOCK).max(axis=2)
-        near, done = np.zeros_like(rest), np.zeros((len(queries), blocks), bool)
+                cell = np.repeat((of[own] - a) * width, size[own]) + self.rows[at]
+                out[a:b] = np.bincount(cell, self.of_rows[at] * np.repeat(w[own], size[own]), (b - a) * width).reshape(b - a, width)
+            a = b
+        return out
+
+    def _products(self, n: int, of: np.ndarray, c: np.ndarray, w: np.ndarray, k: int) -> list[np.ndarray]:
+        """For each of n queries the examples that may be among its k nearest, by products in single precision."""
+        dense, most = self.lists()
+        blocks, m = most.shape[1], min(k, self.n)
+        put = self.place[c]
+        common = put >= 0
+        part = np.zeros((len(most), n), np.float32)
+        part[put[common], of[common]] = w[common]
+        rest = self._rest(n, of[~common], c[~common], w[~common])
+        bound = part.T @ most + rest.reshape(n, blocks, BLOCK).max(axis=2)
+        near, done = np.zeros_like(rest), np.zeros((n, blocks), bool)
 
         def visit(wanted: np.ndarray) -> None:
             for b in np.flatnonzero(wanted.any(axis=0)).tolist():
-                rows, own = np.flatnonzero(wanted[:, b]), slice(b * BLOCK, (b + 1) * BLOCK)
-                near[rows, own] = part[rows] @ dense[:, own] + rest[rows, own]
+                rows, own, (held, block) = np.flatnonzero(wanted[:, b]), slice(b * BLOCK, (b + 1) * BLOCK), dense[b]
+                mine = part[held]
+                if len(rows) < MANY * n:
+                    mine = mine[:, rows]
+                    near[rows, own] = (block @ mine).T + rest[rows, own]
+                else:
+                    near[rows, own] = (block @ mine).T[rows] + rest[rows, own]
             done[:] |= wanted
 
-        first = -(-k // BLOCK) + 1
+        first = np.argpartition(-bound, min(-(-k // BLOCK), blocks - 1), axis=1)[:, : -(-k // BLOCK) + 1]
         best = np.zeros_like(done)
-        np.put_along_axis(best, np.argsort(-bound, axis=1)[:, :first], True, axis=1)
+        np.put_along_axis(best, first, True, axis=1)
         visit(best)
-        m = min(k, self.n)
-        least = np.partition(near, near.shape[1] - m, axis=1)[:, near.shape[1] - m]
-        visit((bound >= least[:, None] - 1e-4) & (bound > 0) & ~done)
-        return near[:, : self.n], known
+        some = np.take_along_axis(near.reshape(n, blocks, BLOCK), first[:, :, None], axis=1).reshape(n, -1)
+        least = np.partition(some, some.shape[1] - m, axis=1)[:, some.shape[1] - m, None]
+        visit((bound >= least - 1e-4) & (bound > 0) & ~done)
+        at, hit = np.nonzero((near >= least - 1e-4) & (near > 0))
+        value, edges = near[at, hit], np.searchsorted(at, np.arange(n + 1)).tolist()
+        out = []
+        for a, b in zip(edges, edges[1:], strict=False):
+            own, x = hit[a:b], value[a:b]
+            out.append(own[x >= np.partition(x, -m)[-m] - 1e-4] if len(own) > m else own)
+        return out
 
-    def nearest_all(self, queries: list[dict[str, float]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each: examples, and their cosines, that are among the k nearest with a cosine over 0, ties with the last too."""
+    def nearest_of(self, n: int, of: np.ndarray, c: np.ndarray, w: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """nearest_all of n queries as one list of entries: query, in rising order, column and weight."""
         if not self.n:
-            return [(np.empty(0, int), np.empty(0))] * len(queries)
-        near, known = self._products(queries, k)
-        values, out, m = np.zeros(len(self.column)), [], min(k, self.n)
-        for (c, w), row in zip(known, near, strict=True):
-            least = np.partition(row, self.n - m)[self.n - m]
-            hit = np.flatnonzero((row > 0) & (row >= least - 1e-4))
+            return [(np.empty(0, int), np.empty(0))] * n
+        values, out = np.zeros(len(self.column)), []
+        edges = np.searchsorted(of, np.arange(n + 1)).tolist()
+        for a, b, hit in zip(edges, edges[1:], self._products(n, of, c, w, k), strict=False):
             if not len(hit):
                 out.append((hit, np.empty(0)))
                 continue
-            values[c] = w
+            values[c[a:b]] = w[a:b]
             size = self.starts[hit + 1] - self.starts[hit]
             at = self._ranges(self.starts[hit], size)
             cosine = np.add.reduceat(self.weights[at] * values[self.columns[at]], np.cumsum(size) - size)
-            values[c] = 0
+            values[c[a:b]] = 0
             if len(hit) > k:
                 kept = cosine >= np.partition(cosine, -k)[-k] - 1e-12
                 hit, cosine = hit[kept], cosine[kept]
             hit = self.order[hit]
-            by = np.lexsort((hit, -cosine))
+            by = np.argsort(-cosine)
+            level = np.cumsum(np.diff(-cosine[by], prepend=-cosine[by[0]]) > 1e-12)  # equal ones, whatever the rounding
+            by = by[np.lexsort((hit[by], level))]
             out.append((hit[by], cosine[by]))
         return out
 
+    def nearest_all(self, queries: list[dict[str, float]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each: examples, and their cosines, that are among the k nearest with a cosine over 0, ties with the last too."""
+        own = [(r, c, w) for r, q in enumerate(queries) for t, w in q.items() if (c := self.column.get(t)) is not None]
+        of, c, w = (np.array([e[x] for e in own], kind) for x, kind in enumerate((np.int64, np.int64, float)))
+        return self.nearest_of(len(queries), of, c, w, k)
+
     def nearest(self, query: dict[str, float], k: int) -> tuple[np.ndarray, np.ndarray]:
         return self.nearest_all([query], k)[0]
 
 
-def evidence(examples: list[tuple[int, int, list[str], list[int]]]) -> dict[str, float]:
-    """The factor of each word that tells of the label more than by chance: 1 + EVIDENCE times the share of the label's
-    entropy that it explains, less CHANCE."""
-    seen: dict[str, list[int]] = {}
-    for _, y, words, _ in examples:
-        for t in words:
-            seen.setdefault(t, [0, 0])[y] += 1
-    rows = [sum(y == k for _, y, _, _ in examples) for k in (0, 1)]
-    n = sum(rows)
-    log = lambda c, expected: c * math.log(c / expected) if c else 0.0
-    most = -2 * sum(log(r, n) for r in rows)
-    out = {}
-    for t, c in seen.items():
-        both = sum(c)
-        ratio = 2 * sum(log(c[k], rows[k] * both / n) + log(rows[k] - c[k], rows[k] * (n - both) / n) for k in (0, 1) if rows[k])
-        if ratio > CHANCE and most > 0:
-            out[t] = 1 + EVIDENCE * (ratio - CHANCE) / most
-    return out
+def evidence(seen: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The factor of each word, of which seen has the examples with it, a row a label, among rows of each label: more than 1
+    where it tells of the label by more than chance, by EVIDENCE times the share of the label's entropy that it explains, less
+    CHANCE."""
+    some = lambda c, expected: c * np.log(np.where(c > 0, c, 1) / np.where(c > 0, expected, 1))
+    n, both, of = rows.sum(), seen.sum(axis=0), rows[:, None]
+    most = -2 * some(rows, n).sum()
+    if not most > 0:
+        return np.ones(seen.shape[1])
+    ratio = 2 * (some(seen, of * both / n) + some(of - seen, of * (n - both) / n)).sum(axis=0)
+    return np.where(ratio > CHANCE, 1 + EVIDENCE * (ratio - CHANCE) / most, 1.0)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
@@ -204,28 +247,53 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, f
 class Model:
     def __init__(self, examples: list[tuple[int, int, list[str], list[int]]], share: dict[int, float], frequency: dict[str, int], total: int, k: int):
         """examples: id, label, all words and their counts; share: true rows of a label for each of its examples."""
-        self.idf = {t: math.log((1 + total) / (1 + n)) + 1 for t, n in frequency.items()}
-        self.other = math.log((1 + total) / 2) + 1
         self.k, self.share, self.curve = k, share, (1.0, 0.0)
-        self.factor = evidence(examples)
         toxic = sum(share[y] for _, y, _, _ in examples if y)
         self.base = (toxic + 0.5) / (sum(share[y] for _, y, _, _ in examples) + 1.0)
         told = [e for e in examples if e[2]]
         self.ids, self.labels = [e[0] for e in told], np.array([e[1] for e in told], float)
         mean = np.mean([share[e[1]] for e in told]) if told else 1.0
         self.weights = np.array([share[e[1]] / mean for e in told])
-        self.index = Index([self.vector(dict(zip(words, counts, strict=True))) for _, _, words, counts in told])
+        # the examples' words are columns in order, then come others of the table, which have no lists; the last weight is of
+        # words that neither has, as in one document
+        place: dict[str, int] = {}
+        columns = [np.array([place.setdefault(t, len(place)) for t in words], np.int64) for _, _, words, _ in told]
+        for t in frequency:
+            place.setdefault(t, len(place))
+        seen = np.zeros((2, len(place)))
+        for y, c in zip(self.labels.astype(int), columns, strict=True):
+            seen[y, c] += 1
+        factor = evidence(seen, np.bincount([e[1] for e in examples], minlength=2).astype(float))
+        words = list(place)
+        self.factor = {words[k]: float(factor[k]) for k in np.flatnonzero(factor > 1)}
+        held = np.array([frequency.get(t, 1) for t in words] + [1], float)
+        self.weight = (np.log((1 + total) / (1 + held)) + 1) * np.append(factor, 1.0)
+        weights = [self._unit(c, np.array(counts, float)) for c, (_, _, _, counts) in zip(columns, told, strict=True)]
+        self.index = Index.of(place, columns, weights)
+
+    def _unit(self, c: np.ndarray, n: np.ndarray) -> np.ndarray:
+        w = (1 + np.log(n)) * self.weight[c]
+        return w / math.sqrt((w * w).sum()) if len(w) else w
 
     def vector(self, counts: dict[str, int]) -> dict[str, float]:
         """Of all words, of length one; words of no example weigh as in one document."""
-        v = {t: (1.0 if n == 1 else 1 + math.log(n)) * self.idf.get(t, self.other) * self.factor.get(t, 1.0) for t, n in counts.items()}
-        scale = 1 / math.sqrt(sum(w * w for w in v.values())) if v else 0.0
-        return {t: w * scale for t, w in v.items()}
+        c = np.array([self.index.column.get(t, -1) for t in counts], np.int64)
+        return dict(zip(counts, self._unit(c, np.array(list(counts.values()), float)).tolist(), strict=True))
+
+    def entries(self, texts: list[dict[str, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The texts' vectors: text, column and weight of each word that has a column."""
+        size = np.array([len(x) for x in texts], np.int64)
+        of, n = np.repeat(np.arange(len(texts)), size), int(size.sum())
+        c = np.fromiter(map(self.index.column.get, chain.from_iterable(texts), repeat(-1)), np.int64, n)
+        w = (1 + np.log(np.fromiter(chain.from_iterable(x.values() for x in texts), float, n))) * self.weight[c]
+        length = np.sqrt(np.bincount(of, w * w, len(texts)))
+        known = c >= 0
+        return of[known], c[known], (w / length[of])[known]
 
     def shares(self, texts: list[dict[str, int]]) -> list[tuple[float, list[tuple[int, float]]]]:
         """The share of the votes for label 1, smoothed by the base rate, and the nearest examples."""
         out = []
-        for rows, near in self.index.nearest_all([self.vector(c) for c in texts], self.k):
+        for rows, near in self.index.nearest_of(len(texts), *self.entries(texts), self.k):
             vote = near / (1 + NEAR - np.minimum(near, 1.0)) * self.weights[rows]
             rest = 0.1
             share = (float((vote * self.labels[rows]).sum()) + rest * self.base) / (float(vote.sum()) + rest)
@@ -234,10 +302,10 @@ class Model:
 
     def scores(self, texts: list[dict[str, int]]) -> list[tuple[float, list[dict]]]:
         a, b = self.curve
-        out = []
+        labels, out = self.labels.astype(int).tolist(), []
         for share, near in self.shares(texts):
             score = 1 / (1 + math.exp(-(a * math.log(share / (1 - share)) + b))) if near else self.base
-            out.append((score, [{"doc_id": self.ids[r], "similarity": c, "toxic": int(self.labels[r])} for r, c in near]))
+            out.append((score, [{"doc_id": self.ids[r], "similarity": c, "toxic": labels[r]} for r, c in near]))
         return out
 
 
@@ -258,19 +326,23 @@ def calibrated(examples: list[tuple[int, int, list[str], list[int]]], share: dic
     return logistic(np.log(x / (1 - x)), y, weight * len(y) / weight.sum())
 
 
-def _counts(docs: DataFrame, vocabulary: set[str]) -> dict[str, int]:
-    """Documents of the whole table that hold each term, a row a term and task before the sum."""
+def _counts(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:
+    """Documents of the whole table that hold each term, a row a term and task before the sum; terms go as their places."""
 
-    def run(frames: Iterable[pd.DataFrame]):
-        seen: Counter = Counter()
-        for f in frames:
-            for text in f["text"]:
-                seen.update(vocabulary.intersection(terms(text)))
-        if seen:  # an empty frame has no string column that Arrow takes
-            yield pd.DataFrame({"term": list(seen), "n": list(seen.values())})
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        place = {t: k for k, t in enumerate(vocabulary)}
+        seen = np.zeros(len(place) + 1, np.int64)  # the last: of other words
+        for batch in (whole.slice(at, SLICE) for whole in batches for at in range(0, whole.num_rows, SLICE)):
+            own = chain.from_iterable(set(terms(text)) for text in batch.column(0).to_pylist())
+            at = np.fromiter(map(place.get, own, repeat(len(place))), np.int64)
+            seen += np.bincount(at, minlength=len(seen))
+        hit = np.flatnonzero(seen[:-1])
+        yield pa.RecordBatch.from_arrays([pa.array(hit, pa.int32()), pa.array(seen[hit], pa.int64())], names=["term", "n"])
+        del place, seen
+        tidy()
 
-    found = docs.select("text").mapInPandas(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
-    return {t: n for f in found.to_batches(10_000) for t, n in zip(f["term"].to_pylist(), f["n"].to_pylist(), strict=True)}
+    found = docs.select("text").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    return {vocabulary[k]: n for f in found.to_batches(10_000) for k, n in zip(f["term"].to_pylist(), f["n"].to_pylist(), strict=True)}
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 2000, k: int = 15) -> Model:
@@ -290,7 +362,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     examples.sort(key=lambda e: e[0])
     used = Counter(y for _, y, _, _ in examples)
     share = {y: true.get(y, 0) / used[y] if used[y] else 0.0 for y in (0, 1)}
-    frequency, total = _counts(texts, set(same)) if examples else {}, texts.count()
+    frequency, total = _counts(texts, list(same)) if examples else {}, texts.count()
     model = Model(examples, share, frequency, total, k)
     model.curve = calibrated(examples, share, frequency, total, k)
     return model

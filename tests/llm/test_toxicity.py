@@ -87,3 +87,56 @@ def test_an_id_with_many_texts_is_learned_once_whatever_the_order(spark):
     once = t.toxicity(docs, labels).select("doc_id", "score", "predicted").collect()
     again = t.toxicity(docs.repartition(5), labels).select("doc_id", "score", "predicted").collect()
     assert sorted(once) == sorted(again) and len(once) == len(rows)
+
+
+def test_terms_are_the_matches_of_the_pattern():
+    r = random.Random(3)
+    odd = "aB_9 \n\t.,-'\u00e9\u00df\u0130\u2019\u2014\u00a0\u3000\u00b2\u0301\u4e2d\u0661\x1c\x85\u2028\u200b\U0001f600\ud800"
+    for text in ["", *odd, *("".join(r.choices(odd, k=r.randrange(1, 12))) for _ in range(5000))]:
+        assert t.terms(text) == t.WORD.findall(text.lower())
+
+
+def test_a_block_is_multiplied_by_its_own_terms_only():
+    """Four groups of examples without a word in common: blocks of one group have no lists of the others' words."""
+    r = random.Random(5)
+    vectors = [{f"{'abcd'[i % 4]}{r.randrange(60)}": 0.2 for _ in range(25)} for i in range(1024)]
+    index = t.Index(vectors)
+    dense, most = index.lists()
+    assert len(most) == 240 and len(dense) == 16
+    assert sum(block.size for _, block in dense) <= 0.5 * len(most) * index.n
+
+
+def test_products_by_pieces(monkeypatch):
+    """Texts whose lists together are longer than what is added up at once."""
+    r = random.Random(6)
+    vectors = [{f"w{r.randrange(3000)}": 0.1 + r.random() for _ in range(40)} for _ in range(500)]
+    queries = [{f"w{r.randrange(3000)}": r.random() for _ in range(r.choice([0, 1, 30, 900]))} for _ in range(70)]
+    index = t.Index(vectors)
+    whole = index.nearest_all(queries, 15)
+    for most in (1, 50, 1000):
+        monkeypatch.setattr(t, "AT_ONCE", most)
+        for (rows, near), (rows_1, near_1), q in zip(whole, index.nearest_all(queries, 15), queries, strict=True):
+            assert rows.tolist() == rows_1.tolist() and np.array_equal(near, near_1)
+            assert np.allclose(near, [sum(w * vectors[k].get(x, 0.0) for x, w in q.items()) for k in rows])
+
+
+def test_documents_of_a_term_go_as_numbers(spark):
+    docs = spark.createDataFrame([("b a a",), ("A, c",), ("",), ("d e f",)] * 700, "text string").repartition(3)
+    assert t._counts(docs, ["c", "none", "a"]) == {"c": 700, "a": 1400}
+    assert t._counts(docs.limit(0), ["a"]) == {}
+
+
+def test_equally_near_ones_are_in_the_order_of_ids():
+    """Copies but for a word of their own, which stands anywhere: their cosines differ by rounding only."""
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(60)]
+    told = []
+    for i in range(400):
+        own = list(words)
+        own.insert(r.randrange(61), f"own{i}")
+        told.append((i, i % 2, own, [1 if w.startswith("own") else 1 + int(w[1:]) % 3 for w in own]))
+    frequency = t.Counter(w for _, _, own, _ in told for w in own)
+    model = t.Model(told, {0: 1.0, 1: 1.0}, frequency, 1000, 15)
+    for n in (5, 20, 60):
+        [(_, near)] = model.shares([dict.fromkeys(words[:n], 2)])
+        assert [k for k, _ in near] == list(range(15))
